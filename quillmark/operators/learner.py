@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
@@ -62,11 +62,25 @@ def pair_struggles(signals: DataFrame) -> DataFrame:
     """
     sign = F.when(F.col("signal_type").isin(*V.STRUGGLES), 1).when(
         F.col("signal_type").isin(*V.RESOLVING), -1)
-    steps = signals.select(*PAIR, *ORDER, sign.alias("step")).filter(F.col("step").isNotNull())
     hour = hour_of(F.col("observed_at"))
-    depth = running(steps, PAIR, ORDER, hour, {"total": ("sum", F.col("step"))})
-    low = running(depth, PAIR, ORDER, hour, {"seen_low": ("min", F.col("total"))},
-                  inclusive=False)
+    steps = (
+        signals.select(*PAIR, *ORDER, sign.alias("step")).filter(F.col("step").isNotNull())
+        .withColumn("hour", hour).repartition(*PAIR, "hour")
+    )
+    inside = Window.partitionBy(*PAIR, "hour").orderBy(*ORDER)
+    local = steps.withColumn("run", F.sum("step").over(inside)).withColumn(
+        "run_low", F.min("run").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    # one row per hour carries the height and the lowest point reached before it
+    before = Window.partitionBy(*PAIR).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        local.groupBy(*PAIR, "hour").agg(F.sum("step").alias("net"), F.min("run").alias("dip"))
+        .withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
+        .withColumn("past_low", F.min(F.col("base") + F.col("dip")).over(before))
+        .select(*PAIR, "hour", "base", "past_low")
+    )
+    low = local.join(carry, [*PAIR, "hour"]).select(
+        *PAIR, *ORDER, "step", (F.col("base") + F.col("run")).alias("total"),
+        F.least("past_low", F.col("base") + F.col("run_low")).alias("seen_low"))
     floor_before = F.least(F.lit(0), F.coalesce("seen_low", F.lit(0)))
     floor_now = F.least(floor_before, F.col("total"))
     opens = F.col("step") == 1
@@ -126,8 +140,6 @@ def states(observations: DataFrame) -> DataFrame:
 
 def style_counts(observations: DataFrame) -> DataFrame:
     """Resolutions per style with their rank, for choosing another explanation."""
-    from pyspark.sql import Window
-
     counted = (
         observations.filter(F.col("resolves_observation_id").isNotNull()
                             & F.col("style_in_play").isNotNull())

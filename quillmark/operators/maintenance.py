@@ -64,10 +64,10 @@ def apply_grants(grants: DataFrame, events: DataFrame) -> DataFrame:
     Only the last event decides whether access is revoked; a revoke alone never
     creates a row. One aggregation per key, then one full join.
     """
-    order = F.struct("at", "event_id")
+    order = F.struct("happened_at", "event_id")
     folded = events.groupBy("user_id", "paper_id").agg(
-        F.min(F.when(F.col("kind") == "grant", F.col("at"))).alias("first_grant"),
-        F.max_by(F.struct("kind", "at"), order).alias("last"),
+        F.min(F.when(F.col("kind") == "grant", F.col("happened_at"))).alias("first_grant"),
+        F.max_by(F.struct("kind", "happened_at"), order).alias("last"),
     )
     both = grants.join(folded, ["user_id", "paper_id"], "full_outer")
     return both.filter(F.col("added_at").isNotNull() | F.col("first_grant").isNotNull()).select(
@@ -75,7 +75,7 @@ def apply_grants(grants: DataFrame, events: DataFrame) -> DataFrame:
         "paper_id",
         F.coalesce("added_at", "first_grant").alias("added_at"),
         "last_opened_at",
-        F.when(F.col("last.kind") == "revoke", F.col("last.at"))
+        F.when(F.col("last.kind") == "revoke", F.col("last.happened_at"))
         .when(F.col("last.kind").isNull(), F.col("revoked_at")).alias("revoked_at"),
     )
 

@@ -56,8 +56,8 @@ def a3(v):
 
 
 @query("a4_grant_upsert", """
-WITH ev AS (SELECT user_id, paper_id, min(at) FILTER (kind = 'grant') AS first_grant,
-    arg_max(kind, (at, event_id)) AS last_kind, max(at) AS last_at
+WITH ev AS (SELECT user_id, paper_id, min(happened_at) FILTER (WHERE kind = 'grant') AS first_grant,
+    arg_max(kind, (happened_at, event_id)) AS last_kind, max(happened_at) AS last_at
   FROM grant_events GROUP BY user_id, paper_id)
 SELECT user_id, paper_id, epoch_us(coalesce(added_at, first_grant)) AS added_at,
   epoch_us(last_opened_at) AS last_opened_at,
@@ -115,7 +115,7 @@ def a7(v):
 
 @query("a7_retention_report", """
 SELECT count(*) AS total, epoch_us(TIMESTAMP '2024-01-02 00:00:00') AS cutoff,
-  count(*) FILTER (created_at < TIMESTAMP '2024-01-02 00:00:00') AS expired FROM messages""")
+  count(*) FILTER (WHERE created_at < TIMESTAMP '2024-01-02 00:00:00') AS expired FROM messages""")
 def a7r(v):
     return M.sweep_report(v.messages, v.as_of()).select("total", "expired", us("cutoff"))
 
@@ -254,7 +254,7 @@ def _audit_oracle() -> str:
         for name, rule in rules.items():
             parts.append(
                 f"SELECT '{table}' AS table_name, '{name}' AS rule, "
-                f"count(*) FILTER (NOT ({rule})) AS violations FROM {table}")
+                f"count(*) FILTER (WHERE NOT ({rule})) AS violations FROM {table}")
     for table, key in UNIQUE_RULES:
         where = _live(table) or "1 = 1"
         parts.append(

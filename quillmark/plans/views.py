@@ -264,7 +264,7 @@ FROM (SELECT doc_id, <<sha256 <<bytes '%PDF-1.7 ' || text>>>> AS content_hash
 SHARED["grant_events"] = """
 SELECT user_id, (event_id * 3) % (SELECT max(n) FROM doc_count) AS paper_id,
   CASE WHEN event_type IN ('error', 'view') THEN 'revoke' ELSE 'grant' END AS kind,
-  ts AS at, event_id FROM events"""
+  ts AS happened_at, event_id FROM events"""
 
 SHARED["quizzes"] = """
 SELECT conv_id AS quiz_id, user_id, user_id * 12 + conv_id % 12 AS concept_id,
