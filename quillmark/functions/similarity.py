@@ -75,6 +75,7 @@ def blocked_top_k(
 ) -> DataFrame:
     """Up to ``k`` best items per (query, group block): a superset of the top k.
 
+    With no keys the whole of both sides is one group (and ``sizes`` one row).
     A non-null query tag restricts a query to items with the same tag. The
     caller ranks the union of the blocks.
     """
@@ -92,9 +93,10 @@ def blocked_top_k(
         (no_tag if item_tag is None else item_tag).alias("tag"),
     )
     # one small row per group: how many blocks each side needs
+    n_q = q.groupBy(*keys).agg(F.count("*").alias("_nq"))
+    n_c = c.groupBy(*keys).agg(F.count("*").alias("_nc"))
     sizes = (
-        q.groupBy(*keys).agg(F.count("*").alias("_nq"))
-        .join(c.groupBy(*keys).agg(F.count("*").alias("_nc")), keys)
+        (n_q.join(n_c, keys) if keys else n_q.crossJoin(n_c))  # no keys: two single rows
         .select(
             *keys,
             F.ceil(F.col("_nq") / query_block).cast("int").alias("_nqb"),
@@ -104,7 +106,7 @@ def blocked_top_k(
 
     def place(df: DataFrame, ident: str, own: str, own_n: str, other: str, other_n: str):
         return (
-            df.join(sizes, keys)
+            (df.join(sizes, keys) if keys else df.crossJoin(F.broadcast(sizes)))
             .withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
             .drop("_nqb", "_ncb")

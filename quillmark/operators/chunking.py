@@ -281,24 +281,21 @@ _WORD = r"(?U)\b([A-Za-z][A-Za-z0-9-]{2,})\b"
 def candidate_counts(section_rows: DataFrame) -> DataFrame:
     """Weighted counts of two- and three-word phrases per paper."""
     words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(1)), F.lower)
-    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
     src = section_rows.filter(F.col("section_role") != "references").select(
         "paper_id", X.lookup(F.col("section_role"), V.ROLE_WEIGHT, 1).alias("weight"),
-        words.alias("w")).withColumn(
-        "ok", F.transform("w", lambda x: ~F.array_contains(stop, x)))
-
-    def grams(n: int) -> Column:
-        last = F.size("w") - n
-        slots = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(
-            F.array().cast("array<int>"))
-        good = F.filter(slots, lambda i: F.forall(
-            F.slice("ok", i + 1, F.lit(n)), lambda b: b))
-        return F.transform(good, lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
-
-    return (
-        src.select("paper_id", "weight", F.explode(F.concat(grams(2), grams(3))).alias("phrase"))
-        .groupBy("paper_id", "phrase").agg(F.sum("weight").alias("score"))
-    )
+        # a stop word leaves a hole, so no phrase runs across it
+        F.transform(words, lambda x: F.when(~x.isin(*V.STOP_WORDS), x)).alias("a"))
+    aligned = src.select(
+        "paper_id", "weight",
+        F.explode(F.arrays_zip(
+            "a", F.slice("a", F.lit(2), F.size("a")).alias("b"),
+            F.slice("a", F.lit(3), F.size("a")).alias("c"))).alias("z")
+    ).filter(F.col("z.a").isNotNull() & F.col("z.b").isNotNull())
+    two = F.concat_ws(" ", "z.a", "z.b")
+    three = F.when(F.col("z.c").isNotNull(), F.concat_ws(" ", "z.a", "z.b", "z.c"))
+    phrases = aligned.select("paper_id", "weight", F.explode(F.array(two, three)).alias("phrase"))
+    return phrases.filter(F.col("phrase").isNotNull()).groupBy("paper_id", "phrase").agg(
+        F.sum("weight").alias("score"))
 
 
 def accept_candidates(counts: DataFrame, most: int = V.MAX_CANDIDATES) -> DataFrame:

@@ -236,7 +236,15 @@ def b24(v):
     return counts.select("paper_id", "phrase", F.col("score").cast("bigint").alias("score"))
 
 
-@query("b24_concept_candidates")
+@query("b24_concept_candidates", """
+WITH ranked AS (SELECT paper_id, list(phrase ORDER BY score DESC, phrase) AS ps FROM (
+    SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, phrase) AS rn
+    FROM phrase_counts) q WHERE rn <= 60 AND score >= 2 GROUP BY paper_id),
+taken AS (SELECT paper_id, list_reduce(list_transform(ps, lambda p: [p]), lambda acc, p:
+    CASE WHEN len(acc) < 20 AND len(list_filter(acc, lambda a: contains(a, p[1]))) = 0
+      THEN list_concat(acc, p) ELSE acc END) AS names FROM ranked)
+SELECT paper_id, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS candidate_no,
+  unnest(names) AS name FROM taken""")
 def b24a(v):
     return C.accept_candidates(C.candidate_counts(doc_sections(v)))
 
