@@ -104,16 +104,19 @@ def blocked_top_k(
         )
     )
 
-    def place(df: DataFrame, ident: str, own: str, own_n: str, other: str, other_n: str):
-        return (
+    def place(df: DataFrame, side: str, ident: str, own: str, own_n: str, other: str,
+              other_n: str) -> DataFrame:
+        placed = (
             (df.join(sizes, keys) if keys else df.crossJoin(F.broadcast(sizes)))
             .withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-            .drop("_nqb", "_ncb")
         )
+        # both sides may come from one table: give each its own key columns
+        cells = [F.col(k).alias(f"{side}{k}") for k in [*keys, "_qb", "_cb"]]
+        return placed.select(*cells, ident, "vec", "tag")
 
-    q = place(q, "query_key", "_qb", "_nqb", "_cb", "_ncb")
-    c = place(c, "item_key", "_cb", "_ncb", "_qb", "_nqb")
+    q = place(q, "q", "query_key", "_qb", "_nqb", "_cb", "_ncb")
+    c = place(c, "c", "item_key", "_cb", "_ncb", "_qb", "_nqb")
     schema = T.StructType(
         [
             T.StructField("query_key", q.schema["query_key"].dataType),
@@ -123,8 +126,8 @@ def blocked_top_k(
     )
     grid = [*keys, "_qb", "_cb"]
     return (
-        q.groupBy(*grid)
-        .cogroup(c.groupBy(*grid))
+        q.groupBy(*[f"q{k}" for k in grid])
+        .cogroup(c.groupBy(*[f"c{k}" for k in grid]))
         .applyInPandas(_score_block(k), schema)
         .withColumnRenamed("query_key", query_id)
         .withColumnRenamed("item_key", item_id)

@@ -107,7 +107,7 @@ _REQUESTS = """SELECT turn_id, chunk_id, CASE WHEN rank_no % 2 = 0 THEN 0 ELSE m
 
 
 @query("d8_click_through", f"""
-SELECT q.turn_id, q.user_id, q.chunk_id, citation_marker, title, section_path, content, c.page_start
+SELECT q.turn_id, q.user_id, q.chunk_id, citation_marker, title, section_path, c.content, c.page_start
 FROM ({_REQUESTS}) q
 JOIN messages m ON m.message_id = q.turn_id AND m.user_id = q.user_id
 JOIN flagged_sets f ON f.turn_id = q.turn_id AND f.chunk_id = q.chunk_id AND f.was_cited

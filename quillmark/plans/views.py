@@ -407,7 +407,7 @@ LEFT JOIN styles s USING (user_id, concept_id)"""
 
 _CONCEPT_COLUMNS = """
   user_id, concept_id,
-  coalesce(p_name, 'concept') || ' ' || CAST(concept_id % 7 AS STRING) AS canonical_name,
+  coalesce(p_name, 'concept') || ' ' || CAST(concept_id % 12 AS STRING) AS canonical_name,
   <<arr 'alias ' || CAST(concept_id % 5 AS STRING), 'Alias-' || CAST(concept_id % 12 AS STRING)>>
     AS aliases,
   round(raw_score, 6) AS understanding_score, round(score_confidence, 6) AS score_confidence,
