@@ -10,7 +10,8 @@ from quillmark.operators import chunking as C
 from quillmark.plans.chunking_plans import hashed
 from quillmark.plans.common import r6
 from quillmark.plans.registry import query
-from quillmark.plans.views import DIM, ORACLE_VIEWS, dialect, _DUCK, _SPARK
+from quillmark.functions.shared import materialise
+from quillmark.plans.views import DIM, ORACLE_VIEWS, add_stored, dialect, _DUCK, _SPARK
 
 _KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
@@ -91,7 +92,7 @@ FROM proposed_edges p WHERE source_concept_id <> target_concept_id AND NOT EXIST
 GROUP BY user_id, source_concept_id, target_concept_id, relationship_type"""
 
 
-def candidates(v):
+def _candidates(v):
     base = v.sql(dialect(_CANDIDATES, _SPARK))
     vectors = C.hash_vectors(base, "candidate_no", "name", DIM)
     return base.join(vectors, "candidate_no")
@@ -101,7 +102,7 @@ def bare_candidates(v):
     return v.sql(dialect(_CANDIDATES, _SPARK))
 
 
-def stored_concepts(v):
+def _named_concepts(v):
     """Concepts with a name key, and name vectors in place of passage vectors."""
     keyed = v.concepts.drop("embedding").withColumn(
         "normalized_name", X.name_key(F.col("canonical_name")))
@@ -109,6 +110,18 @@ def stored_concepts(v):
     return keyed.join(vectors.withColumnRenamed("vector", "embedding"), "concept_id")
 
 
+add_stored("named_candidates", _candidates)
+add_stored("named_concepts", _named_concepts)
+
+
+def candidates(v):
+    return v.named_candidates
+
+
+def stored_concepts(v):
+    return v.named_concepts
+
+
 def judge(rows):
     """The stored verdicts for a set of candidates."""
     return rows.select("user_id", "candidate_no").selectExpr(
@@ -130,7 +143,7 @@ def _split(text):
 def _round(v):
     c = candidates(v)
     concepts = stored_concepts(v)
-    return concepts, G.resolve_round(c, concepts, judge(c))
+    return concepts, materialise(G.resolve_round(c, concepts, judge(c)), "resolved")
 
 
 @query("g1_name_key", f"""

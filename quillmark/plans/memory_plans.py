@@ -14,6 +14,7 @@ from quillmark.plans.views import ORACLE_VIEWS
 ORACLE_VIEWS["live_concepts"] = f"""
 SELECT *, coalesce(score < 0.4 AND score_confidence >= 0.3, false) AS is_weak
 FROM (SELECT *, round({SCORE}, 9) AS score FROM concepts WHERE merged_into_id IS NULL) q"""
+ORACLE_VIEWS["all_scored"] = f"SELECT *, round({SCORE}, 9) AS score FROM concepts"
 ORACLE_VIEWS["near_concepts"] = """
 SELECT * FROM (SELECT query_id, user_id, concept_id, sim, row_number() OVER (PARTITION BY query_id
     ORDER BY round(sim, 9) DESC, concept_id) AS rank_no

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
+from quillmark.functions.shared import materialise
 
 AS_OF = "2024-02-01 00:00:00"
 BASE = (
@@ -448,11 +449,23 @@ BUILDERS["observations"] = _observations
 BUILDERS["states"] = _states
 BUILDERS["turns"] = _turns
 
+# Tables a deployment keeps on disk. They are derived once per session, written
+# to the shared folder, and read from there by every job that needs them.
+STORED = {"observations", "states", "turns", "concepts", "edges"}
+_stored_paths: dict[tuple[str, str, str], DataFrame] = {}
+
 ORACLE_VIEWS = {k: dialect(s, _DUCK) for k, s in {**SHARED, **DUCK_SQL}.items()}
 _SPARK_VIEWS = {k: dialect(s, _SPARK) for k, s in {**SHARED, **SPARK_SQL}.items()}
 NAMES = set(BASE) | set(_SPARK_VIEWS) | set(BUILDERS)
 
 
+def add_stored(name: str, build: Callable[["Views"], DataFrame]) -> None:
+    BUILDERS[name] = build
+    NAMES.add(name)
+    STORED.add(name)
+
+
+
 class Views:
     """Lazy access to base tables and derived views: ``views.turns`` and so on."""
 
@@ -474,9 +487,16 @@ class Views:
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key in _stored_paths:
+            return _stored_paths[key]
         if name in BUILDERS:
-            return BUILDERS[name](self)
-        return self.sql(_SPARK_VIEWS[name], skip=name)
+            df = BUILDERS[name](self)
+        else:
+            df = self.sql(_SPARK_VIEWS[name], skip=name)
+        if name in STORED:
+            df = _stored_paths[key] = materialise(df, name)
+        return df
 
     def sql(self, text: str, skip: str = "") -> DataFrame:
         """Spark SQL over the views it names."""
