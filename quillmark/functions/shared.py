@@ -26,9 +26,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, label: str) -> str:
+    path = new_path(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a written table, which survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))

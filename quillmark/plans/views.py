@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
-from quillmark.functions.shared import materialise
+from quillmark.functions.shared import store
 
 AS_OF = "2024-02-01 00:00:00"
 BASE = (
@@ -452,7 +452,7 @@ BUILDERS["turns"] = _turns
 # Tables a deployment keeps on disk. They are derived once per session, written
 # to the shared folder, and read from there by every job that needs them.
 STORED = {"observations", "states", "turns", "concepts", "edges"}
-_stored_paths: dict[tuple[str, str, str], DataFrame] = {}
+_stored_paths: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 ORACLE_VIEWS = {k: dialect(s, _DUCK) for k, s in {**SHARED, **DUCK_SQL}.items()}
 _SPARK_VIEWS = {k: dialect(s, _SPARK) for k, s in {**SHARED, **SPARK_SQL}.items()}
@@ -489,15 +489,28 @@ class Views:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key in _stored_paths:
-            return _stored_paths[key]
+            return _stored_paths[key][1]
         if name in BUILDERS:
             df = BUILDERS[name](self)
         else:
             df = self.sql(_SPARK_VIEWS[name], skip=name)
         if name in STORED:
-            df = _stored_paths[key] = materialise(df, name)
+            path = store(df, name)
+            df = self.spark.read.schema(df.schema).parquet(path)
+            _stored_paths[key] = (path, df)
         return df
 
+    def path_of(self, name: str) -> str:
+        """Folder of a stored table, for readers that stream it."""
+        getattr(self, name)
+        return _stored_paths[(self.spark.sparkContext.applicationId, self.sf_dir, name)][0]
+
+    def streamed(self, name: str) -> DataFrame:
+        """A given table as a file stream."""
+        schema = getattr(self, name).schema
+        return self.spark.readStream.schema(schema).option(
+            "pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
     def sql(self, text: str, skip: str = "") -> DataFrame:
         """Spark SQL over the views it names."""
         used = {}
