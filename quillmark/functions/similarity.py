@@ -80,6 +80,10 @@ def blocked_top_k(
     caller ranks the union of the blocks.
     """
     no_tag = F.lit(None).cast("string")
+    one_group = not keys
+    if one_group:
+        keys = ["_all"]
+        queries, items = queries.withColumn("_all", F.lit(0)), items.withColumn("_all", F.lit(0))
     q = queries.filter(F.col(query_vector).isNotNull()).select(
         *keys,
         F.col(query_id).alias("query_key"),
@@ -96,7 +100,7 @@ def blocked_top_k(
     n_q = q.groupBy(*keys).agg(F.count("*").alias("_nq"))
     n_c = c.groupBy(*keys).agg(F.count("*").alias("_nc"))
     sizes = (
-        (n_q.join(n_c, keys) if keys else n_q.crossJoin(n_c))  # no keys: two single rows
+        n_q.join(n_c, keys)
         .select(
             *keys,
             F.ceil(F.col("_nq") / query_block).cast("int").alias("_nqb"),
@@ -107,7 +111,8 @@ def blocked_top_k(
     def place(df: DataFrame, side: str, ident: str, own: str, own_n: str, other: str,
               other_n: str) -> DataFrame:
         placed = (
-            (df.join(sizes, keys) if keys else df.crossJoin(F.broadcast(sizes)))
+            # one group means one row of sizes, so it can always be broadcast
+            df.join(F.broadcast(sizes) if one_group else sizes, keys)
             .withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
         )
@@ -137,7 +142,7 @@ def blocked_top_k(
 def sign_codes(
     df: DataFrame, ident: str, vector: str, dim: int, tables: int, bits: int, seed: int = 7
 ) -> DataFrame:
-    """Random-hyperplane codes: one row per (row, table) with a ``bits``-bit code."""
+    """Random-hyperplane codes: one row per (row, table) with its ``bits``-bit code."""
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     weights = 2 ** np.arange(bits)
 
@@ -148,11 +153,12 @@ def sign_codes(
             m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
             on = (m @ planes > 0).reshape(len(m), tables, bits)
             codes = (on * weights).sum(axis=2)
-            yield pd.DataFrame({ident: pdf[ident].to_numpy(), "codes": list(codes)})
+            yield pdf.assign(codes=list(codes))
 
     src = df.filter(F.col(vector).isNotNull()).select(ident, vector)
     schema = T.StructType(
-        [df.schema[ident], T.StructField("codes", T.ArrayType(T.LongType()))]
+        [src.schema[ident], src.schema[vector],
+         T.StructField("codes", T.ArrayType(T.LongType()))]
     )
     coded = src.mapInPandas(encode, schema)
-    return coded.select(ident, F.posexplode("codes").alias("table_no", "code"))
+    return coded.select(ident, vector, F.posexplode("codes").alias("table_no", "code"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
+from quillmark.functions.running import hour_of, running
 from quillmark.operators.callbacks import preferences, turns_since
 from quillmark.operators.memory import scored
 
@@ -69,8 +70,10 @@ def validate_grades(gradings: DataFrame) -> DataFrame:
 
 
 def number_attempts(attempts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("quiz_id").orderBy("created_at", "attempt_id")
-    return attempts.withColumn("attempt_no", F.row_number().over(w))
+    """One-based attempt numbers; a much-tried check is still spread over hours."""
+    out = running(attempts, ["quiz_id"], ["created_at", "attempt_id"],
+                  hour_of(F.col("created_at")), {"attempt_no": ("sum", F.lit(1))})
+    return out.withColumn("attempt_no", F.col("attempt_no").cast("int"))
 
 
 def next_actions(graded: DataFrame, quizzes: DataFrame, weak_prerequisites: DataFrame) -> DataFrame:

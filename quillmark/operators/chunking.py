@@ -354,23 +354,24 @@ def hash_vectors(rows: DataFrame, ident: str, text: str, dim: int) -> DataFrame:
     Tokens of one row combine before the shuffle, so at most ``dim`` small rows
     per id travel.
     """
-    tokens = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
+    tokens = F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
     digest = F.md5("token")
     slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
     sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
     votes = rows.select(ident, tokens.alias("token")).select(
         ident, slot.cast("int").alias("slot"), sign.alias("vote")).groupBy(ident, "slot").agg(
-        F.sum("vote").alias("v")).filter(F.col("v") != 0)
+        F.sum("vote").alias("v"))
+    cast = F.when(F.col("slot").isNotNull() & (F.col("v") != 0), F.struct("slot", "v"))
     packed = votes.groupBy(ident).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"),
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        F.map_from_entries(F.collect_list(cast)).alias("m"),
+        F.sqrt(F.sum(F.when(F.col("slot").isNotNull(), F.col("v") * F.col("v")))).alias("norm"))
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
     first = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                         lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return rows.select(ident).distinct().join(packed, ident, "left").select(
-        ident, F.when(F.col("norm").isNull(), first).otherwise(dense).alias("vector"))
+    return packed.select(
+        ident, F.when(F.coalesce("norm", F.lit(0.0)) == 0, first).otherwise(dense).alias("vector"))
 
 
 def external_vectors(

@@ -85,10 +85,10 @@ def unanswered(messages: DataFrame) -> DataFrame:
 def session_listing(sessions: DataFrame, papers: DataFrame, limit: int | None = None) -> DataFrame:
     """Sessions with their paper's title, latest activity first."""
     title = papers.select(F.col("paper_id").alias("active_paper_id"), "title")
-    out = sessions.join(title, "active_paper_id", "left")
-    w = Window.partitionBy("user_id").orderBy(F.desc("last_activity_at"), F.desc("session_id"))
-    ranked = out.withColumn("place", F.row_number().over(w))
-    return ranked if limit is None else ranked.filter(F.col("place") <= limit)
+    titled = sessions.join(title, "active_paper_id", "left")
+    out = running(titled, ["user_id"], ["last_activity_at", "session_id"],
+                  hour_of(F.col("last_activity_at")), {"place": ("sum", F.lit(1))}, backward=True)
+    return out if limit is None else out.filter(F.col("place") <= limit)
 
 
 def paper_listing(grants: DataFrame, papers: DataFrame) -> DataFrame:

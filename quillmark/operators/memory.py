@@ -194,9 +194,14 @@ def review_targets(concepts: DataFrame, edges: DataFrame, as_of: Column) -> Data
     holds = edges.filter(F.col("relationship_type") == "prerequisite_of").groupBy(
         F.col("source_concept_id").alias("concept_id")).agg(
         F.count_distinct("target_concept_id").alias("unblocks"))
+    weak = scored(live(concepts), as_of).filter("is_weak").join(holds, "concept_id").select(
+        "user_id", "concept_id", "unblocks")
+    # rank the few distinct counts of a reader, not the reader's concepts
     w = Window.partitionBy("user_id").orderBy(F.desc("unblocks"))
-    return scored(live(concepts), as_of).filter("is_weak").join(holds, "concept_id").withColumn(
-        "place", F.dense_rank().over(w)).select("user_id", "concept_id", "unblocks", "place")
+    places = weak.select("user_id", "unblocks").distinct().withColumn(
+        "place", F.row_number().over(w))
+    return weak.join(places, ["user_id", "unblocks"]).select(
+        "user_id", "concept_id", "unblocks", "place")
 
 
 def type_mix(edges: DataFrame) -> DataFrame:

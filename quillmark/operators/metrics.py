@@ -22,21 +22,55 @@ def span_breakdown(spans: DataFrame, totals: DataFrame, digits: int | None = 1)
         (shown(F.col("total_ms")) - F.sum(shown(F.col("ms"))).over(w)).alias("unaccounted_ms"))
 
 
-def span_medians(spans: DataFrame) -> DataFrame:
-    """Median, least and most per span over turns.
+def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact median, least, most and count per key without sorting a key in one task.
 
-    ``percentile`` counts equal values on the map side, so what travels is
-    bounded by distinct millisecond values, not by turns.
+    Equal values are counted first. Whole-number bins say which one or two bins
+    hold the middle; only the values of those bins are then put in order.
     """
-    return spans.groupBy("span").agg(
-        F.expr("percentile(ms, 0.5)").alias("median_ms"), F.min("ms").alias("min_ms"),
-        F.max("ms").alias("max_ms"), F.count("*").alias("turns"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count("*").alias("n")).withColumn("bin", F.floor(value))
+    bins = counted.groupBy(*keys, "bin").agg(
+        F.sum("n").alias("in_bin"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumns({
+        "before": F.coalesce(F.sum("in_bin").over(upto), F.lit(0)),
+        "total": F.sum("in_bin").over(whole), "least": F.min("lo").over(whole),
+        "most": F.max("hi").over(whole)})
+    left, right = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+
+    def covers(rank, before, n):
+        return (rank > before) & (rank <= before + n)
+
+    middle = placed.filter(
+        covers(left, F.col("before"), F.col("in_bin"))
+        | covers(right, F.col("before"), F.col("in_bin"))
+    ).select(*keys, "bin", "before", "total", "least", "most")
+    inside = Window.partitionBy(*keys, "bin").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranked = counted.join(middle, [*keys, "bin"]).withColumn(
+        "below", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+
+    def at(rank):
+        return F.max(F.when(covers(rank, F.col("below"), F.col("n")), F.col(value)))
+
+    return ranked.groupBy(*keys).agg(
+        ((at(left) + at(right)) / 2).alias("median"), F.max("least").alias("least"),
+        F.max("most").alias("most"), F.max("total").alias("rows"))
+
+
+def span_medians(spans: DataFrame) -> DataFrame:
+    return exact_median(spans, ["span"], "ms").select(
+        "span", F.col("median").alias("median_ms"), F.col("least").alias("min_ms"),
+        F.col("most").alias("max_ms"), F.col("rows").alias("turns"))
 
 
 def latency_summary(turns: DataFrame) -> DataFrame:
-    return turns.agg(
-        F.expr("percentile(latency_ms, 0.5)").alias("median_ms"), F.min("latency_ms").alias("min_ms"),
-        F.max("latency_ms").alias("max_ms"), F.count("latency_ms").alias("turns"))
+    one = turns.withColumn("_all", F.lit(0))
+    return exact_median(one, ["_all"], "latency_ms").select(
+        F.col("median").alias("median_ms"), F.col("least").alias("min_ms"),
+        F.col("most").alias("max_ms"), F.col("rows").alias("turns"))
 
 
 def approximate_latency(turns: DataFrame) -> DataFrame:

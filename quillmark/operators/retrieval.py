@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
+from quillmark.functions.shared import materialise
 from quillmark.functions.similarity import blocked_top_k, order_key, sign_codes
 
 OVERFETCH = 3
+BUSY_READER = 64
 
 
 def scope(grants: DataFrame, papers: DataFrame | None = None, requested: DataFrame | None = None,
@@ -63,15 +65,26 @@ def retrieve(queries: DataFrame, scoped: DataFrame, chunks: DataFrame, papers: D
 
     Scope, visibility, model and role are applied before scoring. The nearest
     3k are kept first, then the floor, then one row per content, then k.
-    Vectors meet in per-paper blocks; only block winners are shuffled, and chunk
-    details are joined for the survivors alone.
+    Vectors meet in blocks; only block winners are shuffled, and chunk details
+    are joined for the survivors alone.
+
+    Readers with few queries send each query to each paper in scope. Readers
+    with many would multiply queries by papers, so their scope's chunks are
+    brought to them instead. Either way the rows moved are linear in the inputs.
     """
     asked = clamp_requests(queries, override, active)
     items = searchable(chunks, papers, active)
-    wanted = asked.join(scoped, "user_id").select("paper_id", "query_id", "query_vector", "role")
-    near = blocked_top_k(
-        wanted, items, ["paper_id"], "query_id", "chunk_id", "query_vector", "embedding",
-        OVERFETCH * V.MAX_TOP_K, F.col("role"), F.col("section_role"))
+    load = asked.groupBy("user_id").agg((F.count("*") > BUSY_READER).alias("busy"))
+    asked_by = asked.join(load, "user_id")
+    few = asked_by.filter(~F.col("busy")).join(scoped, "user_id").select(
+        "paper_id", "query_id", "query_vector", "role")
+    many = asked_by.filter("busy").select("user_id", "query_id", "query_vector", "role")
+    theirs = scoped.join(load.filter("busy"), "user_id", "left_semi").join(items, "paper_id")
+    best = OVERFETCH * V.MAX_TOP_K
+    names = ("query_id", "chunk_id", "query_vector", "embedding", best, F.col("role"),
+             F.col("section_role"))
+    near = blocked_top_k(few, items, ["paper_id"], *names).unionByName(
+        blocked_top_k(many, theirs, ["user_id"], *names))
     by_query = Window.partitionBy("query_id").orderBy(
         F.desc(order_key(F.col("similarity"))), "chunk_id")
     limits = asked.select("query_id", "user_id", "k", "floor")
@@ -129,15 +142,13 @@ def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int, dim: int, t
     query is never short because of the index. Buckets are scored in blocks, so
     a crowded bucket is neither gathered nor paired out.
     """
-    def coded(df: DataFrame, ident: str, vector: str) -> DataFrame:
-        codes = sign_codes(df, ident, vector, dim, tables, bits, seed)
-        return codes.join(df.select(ident, vector), ident)
-
     near = blocked_top_k(
-        coded(queries, "query_id", "query_vector"), coded(chunks, "chunk_id", "embedding"),
+        sign_codes(queries, "query_id", "query_vector", dim, tables, bits, seed),
+        sign_codes(chunks, "chunk_id", "embedding", dim, tables, bits, seed),
         ["table_no", "code"], "query_id", "chunk_id", "query_vector", "embedding", k)
     once = near.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
-    found = _best(once, k)
+    # read three times below: written out once, so the scoring runs once
+    found = materialise(_best(once, k), "near")
     enough = found.filter(F.col("rank_no") == k).select("query_id")
     short = queries.join(enough, "query_id", "left_anti")
     exact = exact_top_k(short, chunks, k)

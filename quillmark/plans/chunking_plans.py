@@ -158,13 +158,26 @@ def b16(v):
         "paper_id", "line_idx", C.role_of(F.col("line")).alias("role"))
 
 
-@query("b17_paragraphs")
+@query("b17_paragraphs", f"""
+SELECT paper_id, ordinal, CAST(pos - 1 AS INTEGER) AS pos, p AS paragraph FROM (
+  SELECT paper_id, ordinal, generate_subscripts(ps, 1) AS pos, unnest(ps) AS p FROM (
+    SELECT paper_id, ordinal, list_filter([{strip("replace(x, chr(10), ' ')")} FOR x IN
+      regexp_split_to_array(text, '\\n\\s*\\n')], lambda x: x <> '') AS ps FROM doc_sections) a) b""")
 def b17(v):
     return doc_sections(v).select(
         "paper_id", "ordinal", F.posexplode(C.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
-@query("b18_sentences")
+_ABBR = "|".join(a.replace(".", "\\.") for a in V.ABBREVIATIONS)
+
+
+@query("b18_sentences", f"""
+SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos, s AS sentence FROM (
+  SELECT doc_id, generate_subscripts(ss, 1) AS pos, unnest(ss) AS s FROM (
+    SELECT doc_id, list_filter([{strip("replace(x, chr(1), '.')")} FOR x IN string_split(
+      regexp_replace(regexp_replace(flat, '(^|[^\\p{{L}}\\p{{N}}_])({_ABBR})\\.', '\\1\\2' || chr(1), 'g'),
+        '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2))], lambda x: x <> '') AS ss
+    FROM (SELECT doc_id, {strip("replace(text, chr(10), ' ')")} AS flat FROM documents) z) a) b""")
 def b18(v):
     return v.documents.select(
         "doc_id", F.posexplode(C.sentences(C.flow(F.col("text")))).alias("pos", "sentence"))

@@ -72,7 +72,8 @@ SELECT s.session_id, s.user_id, title, CAST(row_number() OVER (PARTITION BY s.us
   ORDER BY last_activity_at DESC, s.session_id DESC) AS INTEGER) AS place
 FROM sessions s LEFT JOIN papers p ON p.paper_id = s.active_paper_id""")
 def j6(v):
-    return J.session_listing(v.sessions, v.papers).select("session_id", "user_id", "title", "place")
+    return J.session_listing(v.sessions, v.papers).select(
+        "session_id", "user_id", "title", F.col("place").cast("int").alias("place"))
 
 
 @query("j7_paper_listing", """

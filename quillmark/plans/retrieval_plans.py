@@ -211,9 +211,11 @@ def c15r(v):
     papers.write.parquet(f"{root}/papers")
     chunks.write.parquet(f"{root}/chunks")
     stored = v.spark.read.parquet(f"{root}/papers")
-    first = R.reindex_set(v.papers, ACTIVE_MODEL).agg(F.count("*").alias("first_run"))
-    second = R.reindex_set(stored, ACTIVE_MODEL).agg(F.count("*").alias("second_run"))
-    return first.crossJoin(second)
+    first = R.reindex_set(v.papers, ACTIVE_MODEL).select(F.lit(1).alias("run"))
+    second = R.reindex_set(stored, ACTIVE_MODEL).select(F.lit(2).alias("run"))
+    return first.unionByName(second).agg(
+        F.count_if(F.col("run") == 1).alias("first_run"),
+        F.count_if(F.col("run") == 2).alias("second_run"))
 
 
 @query("c16_listing_flags", f"""

@@ -129,6 +129,5 @@ def m7(v):
     stream = v.spark.readStream.schema(v.messages.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = S.drain_batches(stream, "m7", S.retain_batches())
     stored = v.spark.read.parquet(out)
-    newest = stored.agg(F.max("created_at").alias("newest"))
-    return S.kept_messages(stored.crossJoin(F.broadcast(newest)), F.col("newest")).select(
-        "message_id", "session_id", "ordinal")
+    dated = v.spark.sql("SELECT *, (SELECT max(created_at) FROM {m}) AS newest FROM {m}", m=stored)
+    return S.kept_messages(dated, F.col("newest")).select("message_id", "session_id", "ordinal")
