@@ -60,7 +60,8 @@ def searchable(chunks: DataFrame, papers: DataFrame, active: str) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, scoped: DataFrame, chunks: DataFrame, papers: DataFrame,
-             active: str, override: float | None = None) -> DataFrame:
+             active: str, override: float | None = None,
+             busy_reader: int = BUSY_READER) -> DataFrame:
     """Filtered top-k per query.
 
     Scope, visibility, model and role are applied before scoring. The nearest
@@ -74,7 +75,7 @@ def retrieve(queries: DataFrame, scoped: DataFrame, chunks: DataFrame, papers: D
     """
     asked = clamp_requests(queries, override, active)
     items = searchable(chunks, papers, active)
-    load = asked.groupBy("user_id").agg((F.count("*") > BUSY_READER).alias("busy"))
+    load = asked.groupBy("user_id").agg((F.count("*") > busy_reader).alias("busy"))
     asked_by = asked.join(load, "user_id")
     few = asked_by.filter(~F.col("busy")).join(scoped, "user_id").select(
         "paper_id", "query_id", "query_vector", "role")

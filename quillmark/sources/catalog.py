@@ -62,7 +62,11 @@ def replace_papers(
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw uploads as (path, content)."""
+    """Raw uploads as (path, content, page_count).
+
+    Spark's file reader passes over zero-length files, so an empty upload only
+    shows up when the rows come from elsewhere (an upload log, a stream).
+    """
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select("path", "content", F.lit(None).cast("int").alias("page_count"))
