@@ -2,8 +2,9 @@
 
 Rows of a group meet as blocks: a block of query vectors and a block of item
 vectors form one matrix product inside one task, and only the best ``k`` items
-per query leave it. A hot group simply has more blocks. No pair is emitted and
-no group is gathered whole.
+per query leave it. A hot group simply has more blocks; small groups share a
+task call and are scored one by one inside it. No pair is emitted and no group
+is gathered whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 ITEM_BLOCK = 4096
 QUERY_BLOCK = 1024
+CELL_ROWS = 2048
 ORDER_DIGITS = 9
 
 
@@ -31,11 +33,10 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _score_block(k: int):
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_key": [], "item_key": [], "similarity": []})
-        c = c.sort_values("item_key", kind="stable")
+def _score_cell(k: int, grid: list[str]):
+    """Score one cell: a block pair of a large group, or many small groups together."""
+
+    def best_of(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         sims = _unit(q["vec"]) @ _unit(c["vec"]).T
         ranked = np.round(sims, ORDER_DIGITS)
         tags = q["tag"].to_numpy()
@@ -56,6 +57,17 @@ def _score_block(k: int):
             }
         )
 
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_key": [], "item_key": [], "similarity": []})]
+        if not q.empty and not c.empty:
+            # item order breaks ties, and stays put through the grouping
+            c = c.sort_values("item_key", kind="stable")
+            theirs = c.groupby([f"c{g}" for g in grid], sort=False).indices
+            for group, mine in q.groupby([f"q{g}" for g in grid], sort=False).indices.items():
+                if group in theirs:
+                    out.append(best_of(q.iloc[mine], c.iloc[theirs[group]]))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
     return score
 
 
@@ -105,8 +117,13 @@ def blocked_top_k(
             *keys,
             F.ceil(F.col("_nq") / query_block).cast("int").alias("_nqb"),
             F.ceil(F.col("_nc") / item_block).cast("int").alias("_ncb"),
+            (F.col("_nq") + F.col("_nc")).alias("_rows"),
         )
     )
+    # small groups share cells, so a task call is never about a handful of rows
+    total = sizes.agg(F.greatest(
+        F.lit(8), F.ceil(F.sum("_rows") / CELL_ROWS)).cast("bigint").alias("n"))
+    sizes = sizes.withColumn("_cells", total.scalar()).drop("_rows")
 
     def place(df: DataFrame, side: str, ident: str, own: str, own_n: str, other: str,
               other_n: str) -> DataFrame:
@@ -116,9 +133,12 @@ def blocked_top_k(
             .withColumn(own, F.pmod(F.xxhash64(ident), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
         )
+        alone = F.col("_nqb") * F.col("_ncb") > 1
+        cell = F.when(alone, F.xxhash64(*keys, "_qb", "_cb")).otherwise(
+            F.pmod(F.xxhash64(*keys), F.col("_cells")))
         # both sides may come from one table: give each its own key columns
-        cells = [F.col(k).alias(f"{side}{k}") for k in [*keys, "_qb", "_cb"]]
-        return placed.select(*cells, ident, "vec", "tag")
+        own_keys = [F.col(k).alias(f"{side}{k}") for k in [*keys, "_qb", "_cb"]]
+        return placed.select(cell.alias(f"{side}_cell"), *own_keys, ident, "vec", "tag")
 
     q = place(q, "q", "query_key", "_qb", "_nqb", "_cb", "_ncb")
     c = place(c, "c", "item_key", "_cb", "_ncb", "_qb", "_nqb")
@@ -129,11 +149,9 @@ def blocked_top_k(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    grid = [*keys, "_qb", "_cb"]
     return (
-        q.groupBy(*[f"q{k}" for k in grid])
-        .cogroup(c.groupBy(*[f"c{k}" for k in grid]))
-        .applyInPandas(_score_block(k), schema)
+        q.groupBy("q_cell").cogroup(c.groupBy("c_cell"))
+        .applyInPandas(_score_cell(k, [*keys, "_qb", "_cb"]), schema)
         .withColumnRenamed("query_key", query_id)
         .withColumnRenamed("item_key", item_id)
     )

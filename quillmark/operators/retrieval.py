@@ -77,15 +77,21 @@ def retrieve(queries: DataFrame, scoped: DataFrame, chunks: DataFrame, papers: D
     items = searchable(chunks, papers, active)
     load = asked.groupBy("user_id").agg((F.count("*") > busy_reader).alias("busy"))
     asked_by = asked.join(load, "user_id")
-    few = asked_by.filter(~F.col("busy")).join(scoped, "user_id").select(
-        "paper_id", "query_id", "query_vector", "role")
-    many = asked_by.filter("busy").select("user_id", "query_id", "query_vector", "role")
-    theirs = scoped.join(load.filter("busy"), "user_id", "left_semi").join(items, "paper_id")
-    best = OVERFETCH * V.MAX_TOP_K
-    names = ("query_id", "chunk_id", "query_vector", "embedding", best, F.col("role"),
-             F.col("section_role"))
-    near = blocked_top_k(few, items, ["paper_id"], *names).unionByName(
-        blocked_top_k(many, theirs, ["user_id"], *names))
+
+    def grouped(df: DataFrame, kind: str, group: str) -> DataFrame:
+        return df.withColumns({"_kind": F.lit(kind), "_group": F.col(group).cast("string")})
+
+    query_cols = ("_kind", "_group", "query_id", "query_vector", "role")
+    item_cols = ("_kind", "_group", "chunk_id", "embedding", "section_role")
+    sent = grouped(asked_by.filter(~F.col("busy")).join(scoped, "user_id"), "paper", "paper_id")
+    kept = grouped(asked_by.filter("busy"), "reader", "user_id")
+    brought = scoped.join(load.filter("busy"), "user_id", "left_semi").join(items, "paper_id")
+    near = blocked_top_k(
+        sent.select(*query_cols).unionByName(kept.select(*query_cols)),
+        grouped(items, "paper", "paper_id").select(*item_cols).unionByName(
+            grouped(brought, "reader", "user_id").select(*item_cols)),
+        ["_kind", "_group"], "query_id", "chunk_id", "query_vector", "embedding",
+        OVERFETCH * V.MAX_TOP_K, F.col("role"), F.col("section_role"))
     by_query = Window.partitionBy("query_id").orderBy(
         F.desc(order_key(F.col("similarity"))), "chunk_id")
     limits = asked.select("query_id", "user_id", "k", "floor")

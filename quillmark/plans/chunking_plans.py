@@ -357,7 +357,7 @@ def b27b(v):
 
 
 @query("b_document_to_chunks")
-def pipeline(v):
+def document_to_chunks(v):
     """Text runs to stored chunks in one plan."""
     pages = D.pages(v.spans)
     secs = C.sections(pages)

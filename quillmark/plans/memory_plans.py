@@ -61,16 +61,14 @@ def f2(v):
 
 
 def _roots(v):
-    return v.concepts.filter("concept_id % 12 IN (0, 5)").select(
-        F.col("user_id").alias("call_id"), "user_id", "concept_id")
+    """Every concept, absorbed or not, as the root of a call of its own."""
+    return v.concepts.select(F.col("concept_id").alias("call_id"), "user_id", "concept_id")
 
 
 @query("f3_neighbours", """
-WITH roots AS (SELECT user_id AS call_id, user_id, concept_id AS near FROM concepts
-  WHERE concept_id % 12 IN (0, 5)),
+WITH roots AS (SELECT concept_id AS call_id, user_id, concept_id AS near FROM concepts),
 h1 AS (SELECT r.call_id, g.* FROM roots r JOIN graph g ON g.user_id = r.user_id AND g.near = r.near),
-f2 AS (SELECT DISTINCT call_id, user_id, far AS near FROM h1 WHERE (call_id, far) NOT IN
-  (SELECT (call_id, near) FROM roots))
+f2 AS (SELECT DISTINCT call_id, user_id, far AS near FROM h1 WHERE far <> call_id)
 SELECT call_id, near, far, far_name, relationship_type, confidence, 1 AS hop FROM h1
 UNION ALL SELECT f.call_id, g.near, g.far, g.far_name, g.relationship_type, g.confidence, 2
 FROM f2 f JOIN graph g ON g.user_id = f.user_id AND g.near = f.near""")

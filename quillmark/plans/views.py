@@ -451,7 +451,7 @@ BUILDERS["turns"] = _turns
 
 # Tables a deployment keeps on disk. They are derived once per session, written
 # to the shared folder, and read from there by every job that needs them.
-STORED = {"observations", "states", "turns", "concepts", "edges"}
+STORED = {"observations", "states", "turns", "concepts", "edges", "user_paper_access"}
 _stored_paths: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 ORACLE_VIEWS = {k: dialect(s, _DUCK) for k, s in {**SHARED, **DUCK_SQL}.items()}

@@ -56,7 +56,9 @@ def replace_papers(
     merged = kept.unionByName(rows.select(*stored.columns))
     # read fully before the folders it came from are rewritten
     staged = materialise(merged, "replace")
-    staged.repartition("paper_bucket").write.mode("overwrite").option(
+    plain = [c for c, t in staged.dtypes if "map<" not in t]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(8))  # a large bucket is written by eight tasks
+    staged.repartition("paper_bucket", spread).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("paper_bucket").parquet(path)
 

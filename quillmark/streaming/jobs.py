@@ -80,7 +80,8 @@ class OpenStruggles(StatefulProcessor):
     """A stack of open struggles per reader and concept; resolutions pop it.
 
     Each level is one map entry, so a push or pop touches one value however
-    deep the stack is.
+    deep the stack is. What one call holds is one key's share of a micro-batch,
+    which the source's ``maxFilesPerTrigger`` bounds.
     """
 
     def init(self, handle) -> None:
