@@ -452,7 +452,7 @@ BUILDERS["turns"] = _turns
 # Tables a deployment keeps on disk. They are derived once per session, written
 # to the shared folder, and read from there by every job that needs them.
 STORED = {"observations", "states", "turns", "concepts", "edges", "user_paper_access"}
-_stored_paths: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_stored_paths: dict[tuple, tuple[str, DataFrame]] = {}
 
 ORACLE_VIEWS = {k: dialect(s, _DUCK) for k, s in {**SHARED, **DUCK_SQL}.items()}
 _SPARK_VIEWS = {k: dialect(s, _SPARK) for k, s in {**SHARED, **SPARK_SQL}.items()}
@@ -471,6 +471,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self._made = spark, sf_dir.rstrip("/"), {}
+        self._state = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Views":
@@ -487,7 +488,7 @@ class Views:
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = self._key(name)
         if key in _stored_paths:
             return _stored_paths[key][1]
         if name in BUILDERS:
@@ -503,7 +504,17 @@ class Views:
     def path_of(self, name: str) -> str:
         """Folder of a stored table, for readers that stream it."""
         getattr(self, name)
-        return _stored_paths[(self.spark.sparkContext.applicationId, self.sf_dir, name)][0]
+        return _stored_paths[self._key(name)][0]
+
+    def _key(self, name: str) -> tuple:
+        """Names a stored table by session, source folder and the state of its files."""
+        if self._state is None:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+            fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            self._state = tuple(sorted(
+                (s.getPath().getName(), s.getModificationTime(), s.getLen())
+                for s in fs.listStatus(root)))
+        return (self.spark.sparkContext.applicationId, self.sf_dir, self._state, name)
 
     def streamed(self, name: str) -> DataFrame:
         """A given table as a file stream."""
