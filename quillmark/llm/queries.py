@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise
-from quillmark.llm import mixing, sharding
+from quillmark.llm import mixing, sharding, suffix, superkmer
 from quillmark.llm.common import documents, text_of, word_count
 
 
@@ -64,8 +64,20 @@ FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c
 """
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = superkmer.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), 13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), 400, keep_first=False)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_mix": op2_mix,
+    "op7_passages": op7_passages,
+    "op10_factors": op10_factors,
 }
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL}
