@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.functions.shared import materialise
-from quillmark.llm import mixing, sharding, suffix, superkmer
+from quillmark.functions.shared import materialise, new_path
+from quillmark.llm import classifier, mixing, quality_rules, sharding, suffix, superkmer, tokens
 from quillmark.llm.common import documents, text_of, word_count
 
 
@@ -64,11 +64,32 @@ FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c
 """
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-codes")
+    tokens.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read(spark, path)
+
+
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = superkmer.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), 13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = classifier.fit(docs, documents(spark, sf_dir, "labels"))
+    return classifier.score(docs, model).select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), 400, keep_first=False)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -77,7 +98,10 @@ def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_mix": op2_mix,
+    "op5_rules": op5_rules,
+    "op6_tokens": op6_tokens,
     "op7_passages": op7_passages,
+    "op9_quality": op9_quality,
     "op10_factors": op10_factors,
 }
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL}

@@ -186,10 +186,15 @@ def with_spans(docs: DataFrame, text: Column, found: DataFrame) -> DataFrame:
     return keyed(docs, text).join(own, ["_ord", "_key"], "left").drop("_ord", "_key")
 
 
-def flags_of(found: list[dict] | None, size: int) -> np.ndarray:
-    """Which of ``size`` items the spans cover."""
+def covered(starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` items some span holds."""
     depth = np.zeros(size + 1, np.int64)
-    if found:
-        np.add.at(depth, [s["start"] for s in found], 1)
-        np.add.at(depth, [s["stop"] for s in found], -1)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, stops, -1)
     return np.cumsum(depth[:-1]) > 0
+
+
+def flags_of(found: list[dict] | None, size: int) -> np.ndarray:
+    found = found or []
+    return covered(
+        np.array([s["start"] for s in found], np.int64), np.array([s["stop"] for s in found], np.int64), size)
