@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, new_path
-from quillmark.llm import classifier, mixing, quality_rules, sharding, suffix, superkmer, tokens
+from quillmark.llm import (
+    classifier, decontaminate, mixing, quality_rules, secret_scan, sharding, suffix, superkmer, tokens)
 from quillmark.llm.common import documents, text_of, word_count
 
 
@@ -64,6 +65,43 @@ FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("version"), "text")
+    ledger = new_path(spark, "blob-ledger")
+    secret_scan.update(history, ledger)
+    return secret_scan.report(history, ledger).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+_OP4_RULE = """
+  SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, gaps, sizes, vals FROM (
+    SELECT doc_id, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gaps,
+      list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x)) AS sizes,
+      list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x)) AS vals
+    FROM texts WHERE regexp_matches(t, '{pattern}'))"""
+OP4_SQL = (
+    "WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), per_rule AS ("
+    + " UNION ALL ".join(
+        _OP4_RULE.format(kind=r.kind, rank=i, least=r.least, group=r.group, pattern=r.pattern.replace("'", "''"))
+        for i, r in enumerate(secret_scan.RULES))
+    + """),
+spots AS (
+  SELECT doc_id, kind, rank, least, i, gaps[i] AS gap, sizes[i] AS size, vals[i] AS val
+  FROM (SELECT *, unnest(range(1, len(sizes) + 1)) AS i FROM per_rule)),
+placed AS (
+  SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM spots),
+good AS (SELECT * FROM placed WHERE val >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+    count(*) FILTER (kind = 'hex') AS h,
+    string_agg(kind || ':' || (stop - size) || ':' || stop, ',' ORDER BY stop - size, rank) AS spans
+  FROM good GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed USING (doc_id)
+""")
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
@@ -82,6 +120,41 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), lambda x: x <> '') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+igrams AS (
+  SELECT item_id, len(w) - 4 AS m, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM items WHERE len(w) >= 5)),
+dgrams AS (
+  SELECT doc_id, len(w) - 4 AS n, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)),
+hits AS (SELECT DISTINCT d.doc_id, d.n, d.p, d.g, i.item_id, i.m FROM dgrams d JOIN igrams i ON d.g = i.g),
+windows AS (SELECT DISTINCT doc_id, item_id, m, least(m, n) AS size, greatest(0, least(p, n - m)) AS start FROM hits),
+counts AS (
+  SELECT w.doc_id, w.item_id, w.m, w.size, w.start, h.g, count(*) AS ours
+  FROM windows w JOIN hits h ON h.doc_id = w.doc_id AND h.item_id = w.item_id
+    AND h.p BETWEEN w.start AND w.start + w.size - 1
+  GROUP BY ALL),
+theirs AS (SELECT item_id, g, count(*) AS theirs FROM igrams GROUP BY ALL),
+scored AS (
+  SELECT doc_id, item_id, m, start, sum(least(ours, theirs)) AS common, any_value(size) AS size
+  FROM counts JOIN theirs USING (item_id, g) GROUP BY doc_id, item_id, m, start),
+rated AS (SELECT *, common::DOUBLE / (size + m - common)::DOUBLE AS similarity FROM scored)
+SELECT doc_id, item_id, similarity, start::INT AS start, (m + 4)::INT AS n_words
+FROM rated WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = classifier.fit(docs, documents(spark, sf_dir, "labels"))
@@ -98,10 +171,12 @@ def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_mix": op2_mix,
+    "op4_secrets": op4_secrets,
     "op5_rules": op5_rules,
     "op6_tokens": op6_tokens,
     "op7_passages": op7_passages,
+    "op8_leaks": op8_leaks,
     "op9_quality": op9_quality,
     "op10_factors": op10_factors,
 }
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_secrets": OP4_SQL, "op8_leaks": OP8_SQL}
