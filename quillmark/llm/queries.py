@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, new_path
 from quillmark.llm import (
-    classifier, decontaminate, mixing, quality_rules, secret_scan, sharding, suffix, superkmer, tokens)
+    classifier, decontaminate, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens)
 from quillmark.llm.common import documents, text_of, word_count
 
 
@@ -65,6 +65,10 @@ FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c
 """
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.groups(documents(spark, sf_dir), 4, 80)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("version"), "text")
     ledger = new_path(spark, "blob-ledger")
@@ -126,10 +130,12 @@ def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH texts AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), lambda x: x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-
+]+'), lambda x: x <> '') AS w
   FROM documents),
 items AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-]+'), lambda x: x <> '') AS w
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ 	-
+]+'), lambda x: x <> '') AS w
   FROM benchmark),
 igrams AS (
   SELECT item_id, len(w) - 4 AS m, array_to_string(w[i:i + 4], ' ') AS g
@@ -171,6 +177,7 @@ def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_mix": op2_mix,
+    "op3_near_copies": op3_near_copies,
     "op4_secrets": op4_secrets,
     "op5_rules": op5_rules,
     "op6_tokens": op6_tokens,
