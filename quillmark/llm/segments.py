@@ -8,6 +8,7 @@ its places, which keeps common passages small before the shuffle.
 
 from __future__ import annotations
 
+import array
 import math
 import pickle
 from collections.abc import Callable, Iterator
@@ -18,11 +19,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import hinted
+
 #: Rows with a null id come after all others.
 LAST = 9223372036854775807
+SMALL = 1_000_000  # repeated ids up to which they are sent to every task
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 MARKS = "_ord long, _key long, start long, stop long"
+_MARK = (1 << 24) - 1  # bits of a minimiser that travel beside its bucket; equal ones always meet
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -72,24 +77,27 @@ class Packer:
     def __init__(self, buckets: int):
         self.buckets, self.held, self.bytes = buckets, {}, 0
 
-    def add(self, order: int, key: int, value: int, string: bytes, start: int, several: bool = True) -> None:
-        strings, values, places = self.held.setdefault(value % self.buckets, ({}, [], []))
+    def add(self, order: int, key: int, value: int, string: bytes, start: int, several: bool = False) -> None:
+        """``several``: the string may hold one window twice."""
+        strings, marks, places = self.held.setdefault(
+            value % self.buckets, ({}, array.array("q"), array.array("q")))
         at = strings.get(string)
         if at is None:
             at = strings[string] = len(strings)
-            values.append((value, several))
-        places.append((at, order, key, start))
+            marks.append((value // self.buckets & _MARK) << 1 | several)
+        places.extend((at, order, key, start))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         rows = []
-        for bucket, (strings, values, places) in self.held.items():
-            lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        for bucket, (strings, marks, places) in self.held.items():
+            spots = np.frombuffer(places, np.int64).reshape(-1, 4)
+            spots = spots[np.argsort(spots[:, 0], kind="stable")]
             parts = (
-                lengths.tobytes(), b"".join(strings),
-                np.array([v for v, _ in values], np.uint64).tobytes(),
-                np.array([s for _, s in values], np.bool_).tobytes(),
-                np.array(places, np.int64).tobytes())
+                np.fromiter(map(len, strings), np.int32, len(strings)).tobytes(), b"".join(strings),
+                np.frombuffer(marks, np.int64).astype(np.int32).tobytes(),
+                np.bincount(spots[:, 0], minlength=len(strings)).astype(np.int32).tobytes(),
+                np.diff(spots[:, 1], prepend=0).tobytes(), spots[:, 2].tobytes(), spots[:, 3].tobytes())
             rows.append((bucket, squeeze.compress(pickle.dumps(parts))))
         self.held, self.bytes = {}, 0
         for i in range(0, len(rows), 64):
@@ -100,32 +108,38 @@ class Packer:
 
 
 class Bucket:
-    """All strings of one bucket, each once: lengths, bytes, minimisers, and places sorted by string."""
+    """The strings of a bucket that can share a window with another, each once, with places sorted by string.
+
+    A string whose minimiser has no other place in the bucket is left out before it is unpacked."""
 
     def __init__(self, payloads: list[bytes]):
+        parts = [pickle.loads(zstandard.ZstdDecompressor().decompress(p)) for p in payloads]
+        marks = [np.frombuffer(p[2], np.int32) for p in parts]
+        tallies = [np.frombuffer(p[3], np.int32) for p in parts]
+        line = np.concatenate(marks)
+        _, inverse = np.unique(line >> 1, return_inverse=True)
+        seen = np.bincount(inverse, weights=np.concatenate(tallies))[inverse]
+        wanted = (seen > 1) | (line & 1 > 0)
         known: dict[bytes, int] = {}
-        values, several, places = [], [], []
-        for payload in payloads:
-            raw = pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
-            lengths = np.frombuffer(raw[0], np.int64)
+        places, at = [], 0
+        for part, tally in zip(parts, tallies, strict=True):
+            keep = wanted[at : at + len(tally)]
+            at += len(tally)
+            chosen = np.flatnonzero(keep)
+            if not len(chosen):
+                continue
+            lengths = np.frombuffer(part[0], np.int32).astype(np.int64)
             ends = np.cumsum(lengths)
-            own = np.empty(len(lengths), np.int64)
-            vals, sev = np.frombuffer(raw[2], np.uint64), np.frombuffer(raw[3], np.bool_)
-            for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
-                string = raw[1][a:b]
-                at = known.get(string)
-                if at is None:
-                    at = known[string] = len(known)
-                    values.append(vals[i])
-                    several.append(sev[i])
-                own[i] = at
-            spots = np.frombuffer(raw[4], np.int64).reshape(-1, 4).copy()
-            spots[:, 0] = own[spots[:, 0]]
-            places.append(spots)
-        spots = np.concatenate(places)
+            own = np.zeros(len(tally), np.int64)
+            own[chosen] = [
+                known.setdefault(part[1][a:b], len(known))
+                for a, b in zip((ends - lengths)[chosen].tolist(), ends[chosen].tolist(), strict=True)]
+            spots = np.column_stack((
+                np.repeat(own, tally), np.cumsum(np.frombuffer(part[4], np.int64)),
+                np.frombuffer(part[5], np.int64), np.frombuffer(part[6], np.int64)))
+            places.append(spots[np.repeat(keep, tally)])
+        spots = np.concatenate(places) if places else np.empty((0, 4), np.int64)
         self.strings = list(known)
-        self.values = np.array(values, np.uint64)
-        self.several = np.array(several, np.bool_)
         self.places = spots[np.lexsort((spots[:, 3], spots[:, 2], spots[:, 1], spots[:, 0]))]
         self.count = np.bincount(self.places[:, 0], minlength=len(known))
         self.offset = np.concatenate(([0], np.cumsum(self.count)))
@@ -142,7 +156,12 @@ def spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.withColumns({"_ord": F.coalesce(F.col("doc_id"), F.lit(LAST)), "_key": F.xxhash64(text)})
+    """Add ``_ord`` and ``_key``, which tells rows that share an id (or have none) apart by their texts."""
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_twice"))
+    own = F.when(F.col("doc_id").isNull() | F.col("_twice").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    return (
+        docs.join(hinted(twice, SMALL), F.col("doc_id") == F.col("_twice"), "left")
+        .withColumns({"_ord": F.coalesce(F.col("doc_id"), F.lit(LAST)), "_key": own}).drop("_twice"))
 
 
 def buckets_for(docs: DataFrame, text: Column) -> int:
@@ -154,7 +173,7 @@ def marks(
     docs: DataFrame, text: Column, cut: Callable[[Packer, int, int, bytes], None],
     judge: Callable[[Bucket], list[np.ndarray]],
 ) -> DataFrame:
-    """Spans to remove: ``cut`` packs a text's runs, ``judge`` returns (order, key, start, stop) arrays of a bucket."""
+    """Spans to remove from keyed rows: ``cut`` packs a text's runs, ``judge`` returns (order, key, start, stop) arrays of a bucket."""
     buckets = buckets_for(docs, text)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +190,7 @@ def marks(
         found = judge(Bucket(table.column("payload").to_pylist()))
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("_ord", "_key", "start", "stop"), found, strict=True)})
 
-    packed = keyed(docs, text).select("_ord", "_key", text.cast("binary").alias("_text")).mapInArrow(
+    packed = docs.select("_ord", "_key", text.cast("binary").alias("_text")).mapInArrow(
         pack, "bucket long, payload binary")
     return packed.groupBy("bucket").applyInArrow(settle, MARKS)
 
@@ -180,10 +199,10 @@ def places_of(bucket: Bucket, string: int) -> np.ndarray:
     return bucket.places[bucket.offset[string] : bucket.offset[string + 1]]
 
 
-def with_spans(docs: DataFrame, text: Column, found: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``, the marked spans of each row; a row has at most as many as it has windows."""
+def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Keyed rows with ``_spans``, the marked spans of each row; a row has at most as many as it has windows."""
     own = found.groupBy("_ord", "_key").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return keyed(docs, text).join(own, ["_ord", "_key"], "left").drop("_ord", "_key")
+    return docs.join(own, ["_ord", "_key"], "left").drop("_ord", "_key")
 
 
 def covered(starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:

@@ -73,15 +73,9 @@ def _ranked(keys: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def judge(size: int, keep_first: bool):
     def settle(bucket: segments.Bucket) -> list[np.ndarray]:
-        order = np.argsort(bucket.values, kind="stable")
-        _, start, tally = np.unique(bucket.values[order], return_index=True, return_counts=True)
-        total = np.add.reduceat(bucket.count[order], start) if len(start) else np.empty(0, np.int64)
-        seen = np.empty(len(order), np.int64)
-        seen[order] = np.repeat(total, tally)
-        chosen = np.flatnonzero((seen > 1) | bucket.several)
-        if not len(chosen):
+        strings = bucket.strings
+        if not strings:
             return [np.empty(0, np.int64)] * 4
-        strings = [bucket.strings[s] for s in chosen.tolist()]
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         line = np.frombuffer(b"".join(strings), np.uint8)
         rank = suffix_ranks(line, size)
@@ -89,20 +83,19 @@ def judge(size: int, keep_first: bool):
         string = np.repeat(np.arange(len(lengths)), counts)
         within = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
         group = segments.dense(rank[(np.cumsum(lengths) - lengths)[string] + within])
-        places = bucket.count[chosen]
-        times = np.bincount(group, weights=places[string]).astype(np.int64)
+        times = np.bincount(group, weights=bucket.count[string]).astype(np.int64)
         hit = times[group] > 1
         edges = np.concatenate(([0], np.cumsum(counts)))
         out: list[list[np.ndarray]] = [[], [], [], []]
         if keep_first:
-            head = bucket.places[bucket.offset[chosen]]
+            head = bucket.places[bucket.offset[:-1]]
             sort = np.lexsort((head[string, 3] + within, head[string, 2], head[string, 1], group))
             leads = sort[np.concatenate(([True], group[sort][1:] != group[sort][:-1]))]
             first = np.zeros(len(group), np.bool_)
             first[leads] = True
         for s in np.unique(string[hit]).tolist():
             own = hit[edges[s] : edges[s + 1]]
-            spots = segments.places_of(bucket, int(chosen[s]))
+            spots = segments.places_of(bucket, s)
             parts = [(spots, own)]
             if keep_first:
                 parts = [(spots[:1], own & ~first[edges[s] : edges[s + 1]]), (spots[1:], own)]
@@ -121,8 +114,9 @@ def deduplicate(docs: DataFrame, size: int = 400, gram: int = 64, keep_first: bo
     """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes left (a cut may fall inside a character)."""
     rows = plain(docs, *RESULT)
     text = text_of()
-    found = segments.marks(rows, text, cutter(size, min(gram, size)), judge(size, keep_first))
-    joined = segments.with_spans(rows, text, found)
+    named = segments.keyed(rows, text)
+    found = segments.marks(named, text, cutter(size, min(gram, size)), judge(size, keep_first))
+    joined = segments.with_spans(named, found)
     names = rows.columns
     at = names.index("text")
 

@@ -47,6 +47,8 @@ def cutter(size: int, gram: int):
 def judge(size: int):
     def settle(bucket: segments.Bucket) -> list[np.ndarray]:
         """Windows of a bucket that start in an earlier document, as word spans of every place they occur at."""
+        if not bucket.strings:
+            return [np.empty(0, np.int64)] * 4
         ids: dict[bytes, int] = {}
         split = [s.split(b" ") for s in bucket.strings]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
@@ -90,8 +92,9 @@ def deduplicate(docs: DataFrame, size: int = 13, gram: int = 4) -> DataFrame:
     """``docs`` with n_words, n_removed and ``kept``, the words left, one space apart."""
     rows = plain(docs, *RESULT)
     text = text_of()
-    found = segments.marks(rows, text, cutter(size, gram), judge(size))
-    joined = segments.with_spans(rows, text, found)
+    named = segments.keyed(rows, text)
+    found = segments.marks(named, text, cutter(size, gram), judge(size))
+    joined = segments.with_spans(named, found)
     names = rows.columns
     at = names.index("text")
 
