@@ -87,8 +87,12 @@ def windows(docs: DataFrame, item_grams: DataFrame) -> DataFrame:
     return laid.dropDuplicates(WINDOW).select(*WINDOW, grams(F.col("_piece")).alias("_h"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """One row for each document and item it holds: doc_id, item_id, similarity, start (word) and n_words."""
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, by: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """One row for each document and item it holds: doc_id, item_id, similarity, start (word) and n_words.
+
+    With ``_key``, a hash of the text, in ``by``, rows of one doc_id (or none) are told apart by their texts."""
     item_grams = materialise(items_of(benchmark), "benchmark-shingles")
     laid = materialise(windows(docs, item_grams), "item-windows")
     shown = laid.select(*WINDOW, F.explode("_h").alias("h"))
@@ -111,7 +115,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radiu
         F.sum(F.least("_ours", "_theirs")).alias("_both"))
     scored = shared.alias("a").join(sizes.alias("b"), same).select(
         "a.*", (F.col("_both") / (F.col("_n") + F.col("a.m") - F.col("_both"))).alias("similarity"))
-    best = scored.filter(F.col("similarity") >= similar).groupBy("doc_id", "item_id").agg(
+    best = scored.filter(F.col("similarity") >= similar).groupBy(*by, "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("s"), "m")).alias("b"))
     return best.select(
-        "doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start"), (F.col("b.m") + SHINGLE - 1).alias("n_words"))
+        *by, "item_id", "b.similarity", (-F.col("b.s")).alias("start"), (F.col("b.m") + SHINGLE - 1).alias("n_words"))
+
+
+def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without those that hold an item."""
+    held = leaks(docs, benchmark, by=("doc_id", "_key")).select(F.col("doc_id").alias("_id"), "_key").distinct()
+    return docs.join(
+        materialise(held, "leaked"),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_key")), "left_anti")
