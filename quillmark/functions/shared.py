@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
     where = tempfile.mkdtemp(prefix="quillmark-")
     spark.sparkContext.setCheckpointDir(where)

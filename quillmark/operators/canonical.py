@@ -184,19 +184,40 @@ def run_result(placed: DataFrame, added: DataFrame) -> DataFrame:
     return counted.join(edges, "user_id", "left").fillna({"edges": 0})
 
 
-def survivors(concepts: DataFrame, rounds: int = 4) -> DataFrame:
-    """The concept each row finally stands for after merges.
+def survivors(concepts: DataFrame) -> DataFrame:
+    """The concept each row finally stands for after merges, however long the chain.
 
-    Path doubling: every round doubles the chain length that is resolved.
+    Path doubling: every round doubles the chain length that is resolved, until
+    all rows end at an unmerged concept. Rows that lead into a circle stand for
+    its smallest id; they are what is left when a round resolves no row.
     """
     jump = concepts.select(
-        "concept_id", F.coalesce("merged_into_id", "concept_id").alias("survivor_id"))
-    for _ in range(rounds):
-        nxt = jump.select(F.col("concept_id").alias("survivor_id"),
-                          F.col("survivor_id").alias("_next"))
-        jump = jump.join(nxt, "survivor_id", "left").select(
-            "concept_id", F.coalesce("_next", "survivor_id").alias("survivor_id"))
-    return jump
+        "concept_id", F.coalesce("merged_into_id", "concept_id").alias("survivor_id"),
+        F.least("concept_id", F.coalesce("merged_into_id", "concept_id")).alias("low"),
+        F.col("merged_into_id").isNull().alias("done"))
+    left = None
+    while True:
+        now = jump.filter("not done").count() if left is not None else -1
+        if now == 0:
+            return jump.select("concept_id", "survivor_id")
+        if now == left:
+            break
+        left, jump = now, materialise(_doubled(jump), "jumps")
+    circling = jump.filter("not done")
+    for _ in range(max(1, left - 1).bit_length()):  # past every tail, and once around every circle
+        circling = materialise(_doubled(circling), "circles")
+    ends = circling.alias("a").join(circling.alias("b"), F.col("a.survivor_id") == F.col("b.concept_id"))
+    return jump.filter("done").select("concept_id", "survivor_id").unionByName(
+        ends.select("a.concept_id", F.col("b.low").alias("survivor_id")))
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """Every row jumps as far again as the row it points to; a missing row ends a chain."""
+    nxt = jump.select(F.col("concept_id").alias("survivor_id"), F.col("survivor_id").alias("_next"),
+                      F.col("low").alias("_low"), F.col("done").alias("_done"))
+    return jump.join(nxt, "survivor_id", "left").select(
+        "concept_id", F.coalesce("_next", "survivor_id").alias("survivor_id"),
+        F.least("low", "_low").alias("low"), F.coalesce("_done", F.lit(True)).alias("done"))
 
 
 def canonicalize(

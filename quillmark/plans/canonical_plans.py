@@ -271,6 +271,15 @@ def g12(v):
     return G.survivors(v.concepts)
 
 
+@query("g12_long_merge_chains", """
+SELECT concept_id, min(CASE WHEN merged_into_id IS NULL THEN concept_id END) OVER (
+    ORDER BY concept_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS survivor_id
+FROM merge_chains""")
+def g12_long(v):
+    """Chains of up to forty merges."""
+    return G.survivors(v.merge_chains)
+
+
 @query("g_canonicalise_rounds")
 def rounds(v):
     """The full loop: three arrivals per reader, each seeing what the last one committed."""

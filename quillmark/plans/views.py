@@ -34,6 +34,7 @@ _SPARK = {
     "explode": "explode(array({0}))",
     "bytes": "CAST({0} AS BINARY)",
     "at": "element_at({0}, CAST({1} AS INT))",
+    "none": "CAST(array() AS ARRAY<BIGINT>)",
 }
 _DUCK = {
     "sha256": "sha256({0})",
@@ -43,6 +44,7 @@ _DUCK = {
     "explode": "unnest([{0}])",
     "bytes": "encode({0})",
     "at": "list_extract({0}, CAST({1} AS INTEGER))",
+    "none": "CAST([] AS BIGINT[])",
 }
 
 
@@ -288,6 +290,47 @@ SELECT conv_id * 1000 + turn AS attempt_id, conv_id AS quiz_id, conv_id % u AS u
 FROM (SELECT c.*, (SELECT max(user_id) + 1 FROM events) AS u FROM conversations c) q
 WHERE role = 'user'"""
 
+# Whole stored tables with every reference and checked column, some of them broken on purpose.
+SHARED["full_users"] = """
+SELECT user_id, 'sub-' || CAST(CASE WHEN user_id % 40 = 39 THEN user_id - 1 ELSE user_id END AS STRING)
+    AS auth_subject,
+  CASE WHEN user_id % 3 = 0 THEN 'reader' || CAST(user_id % 600 AS STRING) || '@mail' END AS email,
+  preferences FROM users"""
+SHARED["full_sessions"] = """
+SELECT s.*, CASE WHEN session_id % 101 = 0 THEN -1 WHEN session_id % 3 = 0
+    THEN user_id * 12 + session_id % 12 END AS active_concept_id FROM sessions s"""
+SHARED["full_messages"] = """
+SELECT m.*, CASE WHEN ordinal % 5 <> 4 THEN CAST(length(content) % 97 AS INT) END AS token_count,
+  CASE WHEN role = 'assistant' THEN message_id WHEN ordinal % 7 = 3 THEN -message_id END AS turn_id
+FROM messages m"""
+SHARED["full_retrievals"] = """
+SELECT turn_id, chunk_id, CAST(rank_no AS INT) AS rank, similarity, rank_no % 2 = 1 AS was_cited,
+  CASE WHEN rank_no % 2 = 1 AND turn_id % 13 <> 0 THEN '[' || CAST(rank_no AS STRING) || ']' END
+    AS citation_marker FROM retrieval_sets"""
+SHARED["full_edges"] = """
+SELECT e.*, CASE relationship_id % 4 WHEN 0 THEN 'embedding' WHEN 1 THEN 'model' WHEN 2 THEN 'user_stated'
+    ELSE 'guess' END AS discovery_method,
+  CASE WHEN relationship_id % 2 = 0 THEN relationship_id END AS evidence_turn_id FROM edges e"""
+SHARED["full_quizzes"] = """
+SELECT q.*, CASE WHEN quiz_id % 9 <> 4 THEN <<arr quiz_id % 7>> ELSE <<none >> END AS grounding_chunk_ids
+FROM quizzes q"""
+SHARED["full_attempts"] = """
+SELECT attempt_id, quiz_id, user_id, CASE WHEN attempt_id % 3 = 0 THEN attempt_id + 1 END AS turn_id,
+  answer_text, returned_grade AS grade,
+  CASE WHEN returned_grade IS NULL OR attempt_id % 17 = 0 THEN 'model_timeout' END AS grading_error,
+  CAST(attempt_id % 110 AS DOUBLE) / 100 AS grader_confidence,
+  CAST(attempt_id % 1000 - attempt_id % 3 AS INT) AS attempt_no, created_at FROM attempts"""
+SHARED["full_observations"] = """
+SELECT o.*, user_id * 4 + observation_id % 5 AS session_id,
+  CASE WHEN signal_type IN ('quiz_correct', 'quiz_incorrect') THEN observation_id * 1000 END
+    AS quiz_attempt_id FROM observations o"""
+SHARED["full_feedback"] = """
+SELECT f.*, CASE WHEN feedback_id % 4 = 1 THEN feedback_id + 3 END AS applied_to_turn_id FROM feedback f"""
+SHARED["turn_ids"] = "SELECT turn_id FROM raw_turns UNION SELECT turn_id FROM answers"
+SHARED["merge_chains"] = """
+SELECT event_id AS concept_id, CASE WHEN event_id % 40 <> 39 AND event_id + 1 <= (SELECT max(event_id) FROM events)
+    THEN event_id + 1 END AS merged_into_id FROM events"""
+
 SPARK_SQL["doc_pages"] = """
 SELECT doc_id AS paper_id, CAST(p + 1 AS INT) AS page_no, body AS text FROM (
   SELECT doc_id, posexplode(array(

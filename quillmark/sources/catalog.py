@@ -64,12 +64,29 @@ def replace_papers(
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw uploads as (path, content, page_count).
+    """Raw uploads as (path, content, page_count), empty files included.
 
-    Spark's file reader passes over zero-length files, so an empty upload only
-    shows up when the rows come from elsewhere (an upload log, a stream).
+    Spark's file reader drops zero-length files while it splits its input, but
+    its listing has them: the names come from there, the content from a read,
+    and a name without content is an empty file.
     """
-    return (
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select("path", "content", F.lit(None).cast("int").alias("page_count"))
     )
+    named = spark.createDataFrame([(f,) for f in _empty_files(spark, path)], "path STRING").select(
+        "path", F.lit(b"").alias("content"))
+    return files.select("path", "content").unionByName(named).withColumn(
+        "page_count", F.lit(None).cast("int"))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Zero-length files under a folder, from the store's own recursive listing (names only)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().getName()
+        if status.getLen() == 0 and not name.startswith(("_", ".")):
+            found.append(status.getPath().toString())
+    return found

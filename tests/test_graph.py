@@ -85,6 +85,16 @@ def test_chains_end_at_the_survivor(spark):
     assert {r.survivor_id for r in G.survivors(c).collect()} == {11}
 
 
+def test_long_chains_circles_and_missing_ends(spark):
+    rows = [(i, i + 1 if i < 99 else None) for i in range(100)]  # far longer than sixteen hops
+    rows += [(200, 201), (201, 202), (202, 200), (190, 201), (189, 190), (300, 300), (400, 999)]
+    c = spark.createDataFrame(rows, "concept_id INT, merged_into_id INT")
+    got = {r.concept_id: r.survivor_id for r in G.survivors(c).collect()}
+    assert got == {**{i: 99 for i in range(100)}, 200: 200, 201: 200, 202: 200, 190: 200, 189: 200,
+                   300: 300, 400: 999}
+    assert G.survivors(c.limit(0)).count() == 0
+
+
 def test_second_hop_is_keyed_by_the_near_node(spark):
     concepts = spark.createDataFrame(
         [(1, i, f"c{i}", None if i != 4 else 1) for i in range(1, 6)],

@@ -10,11 +10,9 @@ from quillmark.sources import catalog
 
 def test_intake_reads_raw_files_and_first_rule_wins(spark, tmp_path):
     for name, data in {"a.pdf": b"%PDF-1.7 x", "c.txt": b"hello",
-                       "d.pdf": b"%PDF-" + b"x" * 100}.items():
+                       "d.pdf": b"%PDF-" + b"x" * 100, "b.pdf": b""}.items():
         (tmp_path / name).write_bytes(data)
-    files = catalog.read_files(spark, str(tmp_path))
-    void = spark.createDataFrame([("x/b.pdf", b"", None)], files.schema)
-    out = M.intake(files.unionByName(void), max_bytes=50)
+    out = M.intake(catalog.read_files(spark, str(tmp_path)), max_bytes=50)
     got = {r.path.rsplit("/", 1)[1]: r for r in out.collect()}
     assert got["a.pdf"].reject_reason is None and got["a.pdf"].storage_uri.endswith(".pdf")
     assert [got[n].reject_reason for n in ("b.pdf", "c.txt", "d.pdf")] == [
