@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark import vocab as V
 from quillmark.functions import expr as X
 from quillmark.functions.running import hour_of, running
+from quillmark.operators.canonical import new_id
 
 PAIR = ["user_id", "concept_id"]
 ORDER = ["observed_at", "observation_id"]
@@ -210,6 +211,27 @@ def recall(signals: DataFrame, concepts: DataFrame) -> DataFrame:
     return signals.join(chosen, "signal_id", "left")
 
 
+def create_missing(recalled: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """One new concept for each name key that no signal of the reader could be matched to.
+
+    The first signal gives the name and the first paper; ``vectors`` maps name keys to embeddings.
+    """
+    missing = recalled.filter(F.col("matched_concept_id").isNull()).withColumn(
+        "normalized_name", F.substring(X.name_key(F.col("concept_name")), 1, 200))
+    made = missing.groupBy("user_id", "normalized_name").agg(
+        F.substring(F.min_by("concept_name", "signal_id"), 1, 200).alias("canonical_name"),
+        F.min_by("paper_id", "signal_id").alias("first_paper_id"), F.count("*").alias("signals"))
+    made = made.withColumn("concept_id", new_id(F.col("user_id"), F.col("normalized_name")))
+    return made if vectors is None else made.join(vectors, "normalized_name", "left")
+
+
+def placed_signals(recalled: DataFrame) -> DataFrame:
+    """Every signal with the concept it counts for: the matched one, or the one made for its name."""
+    key = F.substring(X.name_key(F.col("concept_name")), 1, 200)
+    return recalled.withColumn(
+        "concept_id", F.coalesce("matched_concept_id", new_id(F.col("user_id"), key)))
+
+
 def add_sources(concepts: DataFrame, matched: DataFrame) -> DataFrame:
     """Append the papers signals came from to the provenance of their concepts."""
     new = matched.filter(F.col("paper_id").isNotNull()).groupBy(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
@@ -89,6 +89,18 @@ def insert_absent(target: DataFrame, new: DataFrame, keys: list[str], order: lis
     return one.join(target.select(*keys).distinct(), keys, "left_anti").select(*new.columns)
 
 
+def insert_or_get(target: DataFrame, new: DataFrame, keys: list[str], id_col: str,
+                  order: list[str]) -> DataFrame:
+    """Each asked key with the id that won: the stored row's, or that of the first new row; and whether it is new.
+
+    Both sides are reduced to one row a key before they meet, so repeated asks cost one join row.
+    """
+    first = new.groupBy(*keys).agg(F.min_by(id_col, F.struct(*order)).alias("_fresh"))
+    there = target.groupBy(*keys).agg(F.min(id_col).alias("_there"))
+    return first.join(there, keys, "left").select(
+        *keys, F.coalesce("_there", "_fresh").alias(id_col), F.col("_there").isNull().alias("inserted"))
+
+
 def expired(created_at: Column, as_of: Column, days: int = V.RETENTION_DAYS) -> Column:
     return created_at < as_of - F.expr(f"INTERVAL '{days}' DAY")
 
@@ -224,7 +236,3 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
-
-
-def rank_rows(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

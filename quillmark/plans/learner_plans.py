@@ -203,6 +203,28 @@ def e15(v):
         F.col("matched_concept_id").isNull().alias("created"))
 
 
+@query("e15_create_concepts", f"""
+WITH {_RECALL},
+missing AS (SELECT n.*, left({_KEY.format('n.concept_name')}, 200) AS normalized_name
+  FROM named n LEFT JOIN hits USING (signal_id) WHERE matched_concept_id IS NULL)
+SELECT user_id, normalized_name, left(arg_min(concept_name, signal_id), 200) AS canonical_name,
+  arg_min(paper_id, signal_id) AS first_paper_id, count(*) AS signals,
+  CAST('0x' || left(md5(CAST(user_id AS VARCHAR) || '|' || normalized_name), 15) AS BIGINT) AS concept_id
+FROM missing GROUP BY user_id, normalized_name""")
+def e15_create(v):
+    """Names that match nothing become one concept each, however many signals carry them."""
+    return L.create_missing(L.recall(v.sql(_NAMED), v.concepts))
+
+
+@query("e15_placed_signals", f"""
+WITH {_RECALL}
+SELECT signal_id, coalesce(matched_concept_id, CAST('0x' || left(md5(CAST(user_id AS VARCHAR) || '|' ||
+  left({_KEY.format('concept_name')}, 200)), 15) AS BIGINT)) AS concept_id
+FROM named LEFT JOIN hits USING (signal_id)""")
+def e15_placed(v):
+    return L.placed_signals(L.recall(v.sql(_NAMED), v.concepts)).select("signal_id", "concept_id")
+
+
 @query("e15_add_source_papers", f"""
 WITH {_RECALL},
 new AS (SELECT matched_concept_id AS concept_id, list_sort(list_distinct(list(paper_id))) AS extra
