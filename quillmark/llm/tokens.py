@@ -11,6 +11,9 @@ ordered by a hash of their text; an empty table gives an empty file set; other i
 
 from __future__ import annotations
 
+import array
+import json
+import os
 import re
 import struct
 import zlib
@@ -26,37 +29,108 @@ from quillmark.llm.common import text_of
 
 MAGIC, BITS, SUPER = b"DAC1", 8, 512
 SEGMENT_TOKENS = 1 << 20
-CACHE = 300_000
+CACHE = 200_000
 #: A single space between two characters that are not white space always starts a token of its own.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Letters are one token's border to any ASCII mark after them.
+_WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~].*)?", re.DOTALL)
 _ODD = re.compile(r"^ |\s | \s")
 SCHEMA = "part int, seq int, n_tokens long, doc_ids binary, nulls binary, ends binary, code binary"
 
 
+class Memory:
+    """A bounded map of two generations: what was asked for lately survives when the older one is dropped."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, keys: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            for i in [i for i, got in enumerate(found) if got is None]:
+                if (got := self.old.get(keys[i])) is not None:
+                    self.young[keys[i]] = found[i] = got
+        return found
+
+    def put(self, new: dict[str, bytes]) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(new)
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters byte-level models spell bytes with: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """The tokenizer with a memory for the pieces between spaces, which tokens never cross."""
+    """The tokenizer with a memory for pieces of text whose borders tokens never cross.
+
+    The borders hold for byte-level models without a normalizer; other models encode whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.letters = self.whole.model, byte_letters()
+        self.known, self.parts = Memory(CACHE), Memory(CACHE)
+        parts = json.loads(self.whole.to_str())
+        first = parts["pre_tokenizer"] or {}
+        self.cuts = (
+            first.get("type") == "ByteLevel" and not first["add_prefix_space"]
+            and first.get("use_regex", True) and parts["normalizer"] is None)
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.cuts:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _ODD.search(text):
             pieces = _CUT.split(text)
         else:
             first, *rest = text.split(" ")
             pieces = [first, *map(" ".__add__, rest)]
-        new = list(set(pieces) - self.known.keys())
-        if new:
-            if len(self.known) > CACHE:
-                self.known, new = {}, list(set(pieces))
-            for piece, got in zip(new, self.model.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        found = self.known.get(pieces)
+        if None in found:
+            made = self._encode({p for p, f in zip(pieces, found, strict=True) if f is None})
+            self.known.put(made)
+            found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+        return b"".join(found)
+
+    def _encode(self, pieces: set[str]) -> dict[str, bytes]:
+        """Pieces of a word and the marks after it. A bare word is one token border to the next, so the model
+        takes it as it is; anything else goes through the whole tokenizer."""
+        out, odd, marked = {}, [], []
+        for piece in pieces:
+            m = _WORD.fullmatch(piece)
+            if m is None:
+                odd.append(piece)
+            elif m[2] is None:
+                marked.append((piece, piece, None))
+            else:
+                marked.append((piece, m[1], m[2]))
+        words = [w for _, w, _ in marked]
+        tails = [t for _, _, t in marked if t]
+        asked = [*dict.fromkeys(words + tails + odd)]
+        ids = {k: got for k, got in zip(asked, self.parts.get(asked), strict=True) if got is not None}
+        fresh: dict[str, bytes] = {}
+        for word in words:
+            if word not in ids:
+                spelt = word.encode().decode("latin-1").translate(self.letters)
+                ids[word] = fresh[word] = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        new = [k for k in dict.fromkeys(tails + odd) if k not in ids]
+        for part, got in zip(new, self.whole.encode_batch(new, add_special_tokens=False) if new else [], strict=True):
+            ids[part] = fresh[part] = np.array(got.ids, "<u4").tobytes()
+        self.parts.put(fresh)
+        for piece, word, tail in marked:
+            out[piece] = ids[word] + ids[tail] if tail else ids[word]
+        for piece in odd:
+            out[piece] = ids[piece]
+        return out
 
 
 def pack(ids: np.ndarray) -> bytes:
