@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,7 +173,7 @@ _ABBREVIATION = r"(?U)\b(" + "|".join(a.replace(".", r"\.") for a in V.ABBREVIAT
 
 
 def sentences(text: Column) -> Column:
-    """Sentence split that leaves common academic abbreviations whole."""
+    """Cut after a stop, an exclamation or a question mark, but not after one that ends a listed abbreviation."""
     guarded = F.regexp_replace(text, _ABBREVIATION, "$1" + _GUARD)
     for a in V.ABBREVIATIONS:
         if "." in a:
@@ -179,16 +184,21 @@ def sentences(text: Column) -> Column:
 
 
 def _cut_long(text: str, size: int) -> Iterator[str]:
-    """Slices of at most ``size``, at the last space when it is past the middle."""
-    rest = text
-    while len(rest) > size:
-        space = rest.rfind(" ", 0, size)
-        at = space if space >= size // 2 else size
-        head, rest = rest[:at].strip(), rest[at:].strip()
-        if head:
-            yield head
-    if rest:
-        yield rest
+    """Pieces of at most ``size`` between cut positions; white space at a cut belongs to no piece.
+
+    A cut falls on the last space of the next ``size`` characters if that lies in their second half, else at
+    their end.
+    """
+    begin, end = 0, len(text)
+    while end - begin > size:
+        cut = text.rfind(" ", begin + size // 2, begin + size)
+        cut = begin + size if cut < 0 else cut
+        if text[begin:cut].strip():
+            yield text[begin:cut].strip()
+        left = text[cut:end]
+        begin, end = end - len(left.lstrip()), cut + len(left.rstrip())
+    if begin < end:
+        yield text[begin:end]
 
 
 def _fill(units: list[str], size: int, overlap: int) -> Iterator[str]:
@@ -351,27 +361,29 @@ def analysis_body(section_rows: DataFrame) -> DataFrame:
 def hash_vectors(rows: DataFrame, ident: str, text: str, dim: int) -> DataFrame:
     """Hashing-trick vectors: tokens vote on one of ``dim`` slots with a sign.
 
-    Tokens of one row combine before the shuffle, so at most ``dim`` small rows
-    per id travel.
+    A vector depends on its own row alone, so the votes are cast inside an Arrow batch and nothing is shuffled.
     """
-    tokens = F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
-    digest = F.md5("token")
-    slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
-    votes = rows.select(ident, tokens.alias("token")).select(
-        ident, slot.cast("int").alias("slot"), sign.alias("vote")).groupBy(ident, "slot").agg(
-        F.sum("vote").alias("v"))
-    cast = F.when(F.col("slot").isNotNull() & (F.col("v") != 0), F.struct("slot", "v"))
-    packed = votes.groupBy(ident).agg(
-        F.map_from_entries(F.collect_list(cast)).alias("m"),
-        F.sqrt(F.sum(F.when(F.col("slot").isNotNull(), F.col("v") * F.col("v")))).alias("norm"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)))
-    first = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return packed.select(
-        ident, F.when(F.coalesce("norm", F.lit(0.0)) == 0, first).otherwise(dense).alias("vector"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes: dict[bytes, tuple[int, int]] = {}
+        for batch in batches:
+            table = np.zeros((batch.num_rows, dim))
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                for token, times in Counter(re.findall(rb"[a-z0-9]+", data or b"")).items():
+                    if token not in votes:
+                        if len(votes) > 200_000:
+                            votes.clear()
+                        digest = hashlib.md5(token).hexdigest()
+                        votes[token] = int(digest[:8], 16) % dim, 1 if int(digest[8], 16) % 2 else -1
+                    slot, sign = votes[token]
+                    table[i, slot] += sign * times
+            norm = np.sqrt((table * table).sum(1, keepdims=True))
+            first = np.eye(1, dim)
+            vectors = np.where(norm > 0, table / np.where(norm > 0, norm, 1), first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(vectors), pa.list_(pa.float64()))], [ident, "vector"])
+
+    schema = T.StructType([rows.schema[ident], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return rows.select(ident, F.lower(F.col(text)).cast("binary").alias("_t")).mapInArrow(run, schema)
 
 
 def external_vectors(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.running import block_of, hour_of, running
+from quillmark.functions.running import hour_of, newest, running
 
 
 def number_turns(turns: DataFrame) -> DataFrame:
@@ -48,20 +48,26 @@ def append_exchanges(messages: DataFrame, exchanges: DataFrame) -> tuple[DataFra
         X.token_estimate(F.col("m.content")).alias("token_count"), "created_at"), rejected
 
 
-def context_window(messages: DataFrame, budget: int = V.HISTORY_TOKENS) -> DataFrame:
-    """Newest messages of each session that fit the budget; the newest always stays.
+def context_places(messages: DataFrame, budget: int = V.HISTORY_TOKENS) -> DataFrame:
+    """(session_id, ordinal, spent) of the newest messages that fit the budget; the newest always stays.
 
-    Costs are positive, so the running cost from the end only grows and the
-    first overflow ends the window. The scan is carried over ordinal blocks, so
-    one very long session is spread over tasks.
+    A message costs at least one token, so only a session's newest ``budget`` messages can stay: Spark drops the
+    others in every task before it shuffles, and no text travels. Costs are positive, so the running cost from
+    the end only grows and the first overflow ends the window.
     """
     cost = X.token_estimate(F.col("content"))
     if "token_count" in messages.columns:
         cost = F.coalesce("token_count", cost)
-    priced = messages.withColumn("cost", cost)
-    out = running(priced, ["session_id"], ["ordinal"], block_of(F.col("ordinal")),
-                  {"spent": ("sum", F.col("cost")), "newer": ("sum", F.lit(1))}, backward=True)
-    return out.filter((F.col("spent") <= budget) | (F.col("newer") == 1))
+    priced = messages.select("session_id", "ordinal", F.greatest(cost, F.lit(1)).alias("cost"))
+    able = newest(priced, ["session_id"], [F.desc("ordinal")], max(budget, 1), "newer")
+    w = Window.partitionBy("session_id").orderBy(F.desc("ordinal")).rowsBetween(Window.unboundedPreceding, 0)
+    spent = able.withColumn("spent", F.sum("cost").over(w))
+    return spent.filter((F.col("spent") <= budget) | (F.col("newer") == 1)).select("session_id", "ordinal", "spent")
+
+
+def context_window(messages: DataFrame, budget: int = V.HISTORY_TOKENS) -> DataFrame:
+    """The messages of ``context_places`` with their texts."""
+    return messages.join(context_places(messages, budget), ["session_id", "ordinal"])
 
 
 def transcript(messages: DataFrame) -> DataFrame:

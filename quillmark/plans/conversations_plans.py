@@ -47,9 +47,9 @@ SELECT session_id, ordinal, CAST(spent AS BIGINT) AS spent FROM (
   SELECT *, sum(cost) OVER w AS spent, row_number() OVER w AS rn
   FROM (SELECT *, {_TOKENS.format('content')} AS cost FROM messages) m
   WINDOW w AS (PARTITION BY session_id ORDER BY ordinal DESC ROWS UNBOUNDED PRECEDING)) q
-WHERE spent <= 500 OR rn = 1""")
+WHERE spent <= 3000 OR rn = 1""")
 def j2(v):
-    return J.context_window(v.messages, 500).select("session_id", "ordinal", i64("spent"))
+    return J.context_places(v.messages).select("session_id", "ordinal", i64("spent"))
 
 
 @query("j3_transcript", """

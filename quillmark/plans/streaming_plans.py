@@ -96,6 +96,23 @@ def m4s(v):
                       "latency_ms", "max_ms")
 
 
+@query("m4_late_rows", """
+WITH t AS (SELECT ts, event_id % 3 = 0 AS second FROM events),
+mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS closed_at FROM t WHERE NOT second)
+SELECT second AS late_batch, count(*) AS rows, CAST(count(*) FILTER (WHERE second AND
+  time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= closed_at) AS BIGINT) AS late
+FROM t, mark GROUP BY second""")
+def m4_late(v):
+    """A third of the turns arrives after the others: what the watermark turns away, by batch."""
+    path = S.new_path(v.spark, "turns")
+    turns = v.sql(_TURN_SQL).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    for part in ("turn_id % 3 <> 0", "turn_id % 3 = 0"):
+        turns.filter(part).repartition(4).write.mode("append").parquet(path)
+    stream = v.spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    out = S.drain_batches(stream, "m4l", S.late_batches())
+    return v.spark.read.parquet(out).select((F.col("batch_id") == 1).alias("late_batch"), "rows", "late")
+
+
 @query("m5_reading_sessions", """
 SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts) + INTERVAL 12 HOUR) AS session_end,
   count(*) AS turns

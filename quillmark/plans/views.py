@@ -563,7 +563,7 @@ class Views:
         """A given table as a file stream."""
         schema = getattr(self, name).schema
         return self.spark.readStream.schema(schema).option(
-            "pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+            "pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 8).parquet(self.sf_dir)
 
     def sql(self, text: str, skip: str = "") -> DataFrame:
         """Spark SQL over the views it names."""

@@ -8,6 +8,7 @@ overwrite, so a batch that is retried leaves one copy.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,12 +82,17 @@ class OpenStruggles(StatefulProcessor):
 
     Each level is one map entry, so a push or pop touches one value however
     deep the stack is. What one call holds is one key's share of a micro-batch,
-    which the source's ``maxFilesPerTrigger`` bounds.
+    which the source's ``maxFilesPerTrigger`` bounds. With ``keep_ms`` a struggle
+    that nothing resolves for so long is forgotten, so state does not grow for ever.
     """
 
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle) -> None:
-        self.levels = handle.getMapState("levels", "level BIGINT", "observation_id BIGINT")
-        self.depth = handle.getValueState("depth", "depth BIGINT")
+        self.levels = handle.getMapState(
+            "levels", "level BIGINT", "observation_id BIGINT", ttlDurationMs=self.keep_ms)
+        self.depth = handle.getValueState("depth", "depth BIGINT", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["observed_at", "observation_id"])
@@ -97,8 +103,9 @@ class OpenStruggles(StatefulProcessor):
                 depth += 1
                 self.levels.updateValue((depth,), (obs,))
             elif depth > 0:
-                pairs.append((obs, self.levels.getValue((depth,))[0]))
-                self.levels.removeKey((depth,))
+                if self.levels.containsKey((depth,)):  # not forgotten meanwhile
+                    pairs.append((obs, self.levels.getValue((depth,))[0]))
+                    self.levels.removeKey((depth,))
                 depth -= 1
         self.depth.update((depth,))
         if pairs:
@@ -108,14 +115,19 @@ class OpenStruggles(StatefulProcessor):
         pass
 
 
-def pair_stream(signals: DataFrame) -> DataFrame:
-    """Struggle pairing as rows arrive; equals the batch job when they arrive in order."""
+def pair_stream(signals: DataFrame, keep: timedelta | None = None) -> DataFrame:
+    """Struggle pairing as rows arrive; equals the batch job when they arrive in order, within ``keep``.
+
+    Expiry runs on processing time, for which Spark plans batch after batch: set ``keep`` for queries that run
+    on, and leave it out for those that stop when they have read everything.
+    """
     step = F.when(F.col("signal_type").isin(*V.STRUGGLES), 1).when(
         F.col("signal_type").isin(*V.RESOLVING), -1)
     steps = signals.select("user_id", "concept_id", "observed_at", "observation_id",
                            step.alias("step")).filter(F.col("step").isNotNull())
     return steps.groupBy("user_id", "concept_id").transformWithStateInPandas(
-        OpenStruggles(), "observation_id BIGINT, resolves_observation_id BIGINT", "Append", "None")
+        OpenStruggles(keep // timedelta(milliseconds=1) if keep else None),
+        "observation_id BIGINT, resolves_observation_id BIGINT", "Append", "ProcessingTime" if keep else "None")
 
 
 class TurnsSinceFire(StatefulProcessor):
@@ -166,10 +178,25 @@ def reading_sessions(events: DataFrame, gap: str = "12 hours", delay: str = "1 h
         "turns")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped for arriving behind the watermark, over the query's recent batches."""
-    return sum(
-        op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+def late_batches(length: str = "1 hour", delay: str = "1 hour") -> Callable[[DataFrame, int, str], None]:
+    """Per micro-batch: rows, rows whose window the watermark had closed, and the newest time.
+
+    The watermark of a batch is the newest time of the batches before it less ``delay``. It is read from the
+    counts themselves, one row a batch, so nothing is lost however long the stream runs.
+    """
+    def handle(batch: DataFrame, batch_id: int, out: str) -> None:
+        mark = None
+        if batch_id:
+            mark = batch.sparkSession.read.option("basePath", out).schema(
+                "rows LONG, late LONG, newest TIMESTAMP, batch_id LONG").parquet(out).filter(
+                F.col("batch_id") < batch_id).agg(
+                F.max("newest") - F.expr(f"INTERVAL {delay}")).first()[0]
+        closed = F.window("created_at", length)["end"] <= F.lit(mark).cast("timestamp")
+        batch.withColumn("_closed", F.coalesce(closed, F.lit(False))).agg(
+            F.count("*").alias("rows"), F.count_if("_closed").alias("late"),
+            F.max("created_at").alias("newest")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return handle
 
 
 # --- intake and retention ---------------------------------------------------
