@@ -3,12 +3,13 @@
 Documents with equal shingle sets are one class. Each class has a signature for every tree of the forest: a label
 of hash minima. Within a region of labels that share their first values, sorting by label puts every class next to
 those with the longest common prefix, so dense regions are told apart at greater depth than sparse ones. Neighbours
-are compared in two passes: first each class with the one before it in every tree, then, among classes that are
-still apart, each with several on either side. Candidates pass a bound on set sizes and the share of equal minima;
-links are confirmed on the whole sets and connected components follow.
+are compared in three passes: each class with the one before it in every tree; among classes still apart, each with
+several on either side; and each with the best linked members of the components it has then met but not joined.
+Candidates pass a bound on set sizes and the share of equal minima; links are confirmed on the whole sets and
+connected components follow.
 
 Recall is that of the forest: two sets at the threshold share the first values in a tree with a chance of one half,
-and a region with more classes than neighbours compared finds those with the longest common prefixes.
+and a region with more classes than neighbours compared finds those with the longest common prefixes and the hubs.
 
 Cases: null and empty texts have no shingles and stay alone; fewer words than a shingle count as one; rows of one
 doc_id are one node; rows with a null doc_id stay alone, kept, with a null component; repeated rows are one class;
@@ -30,8 +31,8 @@ from quillmark.llm.common import hinted, text_of
 from quillmark.llm.components import components
 from quillmark.llm.segments import gram_hashes, mixed
 
-TREES, DEPTH, SHARED = 24, 10, 3
-NEAR, SLACK = 8, 0.1
+TREES, DEPTH, SHARED = 32, 10, 3
+NEAR, HUBS, SLACK = 4, 64, 0.1
 CHUNK = 150_000
 SMALL = 1_000_000  # ids up to which they are sent to every task instead of moving the texts
 
@@ -148,6 +149,26 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
         similar, "a long, b long").distinct()
 
 
+def _edges(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _to_hubs(met: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of each class with the best linked members of every other component it has met a member of."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    best = Window.partitionBy("component").orderBy(F.desc("count"), "node")
+    hubs = (
+        ends.groupBy("node").count().join(parts, "node")
+        .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= HUBS)
+        .select("component", F.col("node").alias("hub")))
+    both = met.toDF("x", "y").union(met.select("b", "a"))
+    own = parts.toDF("x", "_own")
+    seen = (
+        both.join(parts.toDF("y", "component"), "y").join(own, "x", "left")
+        .filter(F.coalesce("_own", "x") != F.col("component")).select("x", "component").distinct())
+    return _ordered(seen.join(hubs, "component").select("x", F.col("hub").alias("y")))
+
+
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept, for every row."""
     drawn = materialise(sketches(docs, size), "sketches")
@@ -177,9 +198,15 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     wider = own.select(F.col("cid").alias("x"), "n", "part", ahead.alias("_ahead")).select(
         "x", F.explode(F.filter("_ahead", lambda o: (o["part"] != F.col("part")) & (
             100 * F.least(o["n"], F.col("n")) >= percent * F.greatest(o["n"], F.col("n"))))).alias("o"))
-    second = _ordered(wider.select("x", F.col("o.cid").alias("y"))).join(first, ["a", "b"], "left_anti")
-    more = confirmed(second, classes, sets, percent)
-    joined = components(more.union(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    second = materialise(
+        _ordered(wider.select("x", F.col("o.cid").alias("y"))).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    more = materialise(confirmed(second, classes, sets, percent), "second-links")
+    joined = components(more.union(_edges(parts)))
+
+    third = _to_hubs(second, found.union(more), joined).join(first, ["a", "b"], "left_anti").join(
+        second, ["a", "b"], "left_anti")
+    last = confirmed(third, classes, sets, percent)
+    joined = components(last.union(_edges(joined)))
 
     reach = classes.select("key", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", F.coalesce("component", "cid").alias("component_id"))
