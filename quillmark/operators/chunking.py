@@ -245,39 +245,46 @@ def pack(units: list[str], split_units: list[list[str] | None]) -> list[str]:
     return [c for c in (p.strip()[: V.CHUNK_MAX] for p in out) if c]
 
 
-def _pack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        packed = [pack(list(u), list(s)) for u, s in zip(pdf["units"], pdf["parts"])]
-        out = pdf[["paper_id", "section_ordinal"]].assign(content=packed)
-        out["piece_no"] = [list(range(len(p))) for p in packed]
-        out = out.explode(["content", "piece_no"]).dropna(subset=["content"])
-        out["piece_no"] = out["piece_no"].astype("int32")
-        yield out[["paper_id", "section_ordinal", "piece_no", "content"]]
-
-
-def pieces(section_rows: DataFrame) -> DataFrame:
-    """Chunk texts. Splitting is JVM-side; only the sequential fill runs in Python,
-    one section at a time, in Arrow batches, with no shuffle."""
+def pieces(section_rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk texts, with the section columns in ``carry``. Splitting is JVM-side; only the sequential fill runs
+    in Python, one section at a time, in Arrow batches, with no shuffle."""
     long_parts = F.transform(
         "units", lambda u: F.when(F.length(u) > V.CHUNK_TARGET, sentences(u)))
     ready = section_rows.select(
-        "paper_id", F.col("ordinal").alias("section_ordinal"), paragraphs(F.col("text"))
+        "paper_id", F.col("ordinal").alias("section_ordinal"), *carry, paragraphs(F.col("text"))
         .alias("units")).withColumn("parts", long_parts)
+    kept = ["paper_id", "section_ordinal", *carry]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            packed = [pack(list(u), list(s)) for u, s in zip(pdf["units"], pdf["parts"])]
+            out = pdf[kept].assign(content=packed)
+            out["piece_no"] = [list(range(len(p))) for p in packed]
+            out = out.explode(["content", "piece_no"]).dropna(subset=["content"])
+            out["piece_no"] = out["piece_no"].astype("int32")
+            yield out[[*kept, "piece_no", "content"]]
+
     schema = T.StructType([
         section_rows.schema["paper_id"], T.StructField("section_ordinal", T.IntegerType()),
+        *[section_rows.schema[c] for c in carry],
         T.StructField("piece_no", T.IntegerType()), T.StructField("content", T.StringType())])
-    return ready.mapInPandas(_pack_batches, schema)
+    return ready.mapInPandas(run, schema)
 
 
-def chunk_rows(piece_rows: DataFrame, section_rows: DataFrame) -> DataFrame:
-    """Stored chunks: contiguous ordinal per paper, hash, tokens, page span, visibility."""
-    meta = section_rows.select(
-        "paper_id", F.col("ordinal").alias("section_ordinal"), "section_role", "page_start",
-        "page_end")
+SECTION_META = ("section_role", "page_start", "page_end")
+
+
+def chunk_rows(piece_rows: DataFrame, section_rows: DataFrame | None = None) -> DataFrame:
+    """Stored chunks: contiguous ordinal per paper, hash, tokens, page span, visibility.
+
+    Pieces that carry SECTION_META need no join with their sections.
+    """
+    rows = piece_rows.withColumn("content", F.substring(F.col("content"), 1, V.CHUNK_MAX))
+    if section_rows is not None:
+        rows = rows.join(section_rows.select(
+            "paper_id", F.col("ordinal").alias("section_ordinal"), *SECTION_META), ["paper_id", "section_ordinal"])
     w = Window.partitionBy("paper_id").orderBy("section_ordinal", "piece_no")
-    content = F.substring(F.col("content"), 1, V.CHUNK_MAX)
-    return piece_rows.withColumn("content", content).join(
-        meta, ["paper_id", "section_ordinal"]).select(
+    return rows.select(
         "paper_id", (F.row_number().over(w) - 1).alias("ordinal"), "section_ordinal", "content",
         F.sha2("content", 256).alias("content_hash"),
         X.token_estimate(F.col("content")).alias("token_count"), "page_start", "page_end",

@@ -191,9 +191,7 @@ def b20(v):
 
 @query("b22_chunks_end_to_end")
 def b22(v):
-    secs = doc_sections(v)
-    return C.chunk_rows(C.pieces(secs), secs)
-
+    return C.chunk_rows(C.pieces(doc_sections(v), C.SECTION_META))
 
 
 
@@ -360,5 +358,4 @@ def b27b(v):
 def document_to_chunks(v):
     """Text runs to stored chunks in one plan."""
     pages = D.pages(v.spans)
-    secs = C.sections(pages)
-    return C.chunk_rows(C.pieces(secs), secs)
+    return C.chunk_rows(C.pieces(C.sections(pages), C.SECTION_META))
