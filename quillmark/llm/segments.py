@@ -24,7 +24,7 @@ from quillmark.llm.common import hinted
 #: Rows with a null id come after all others.
 LAST = 9223372036854775807
 SMALL = 1_000_000  # repeated ids up to which they are sent to every task
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 BUCKET_BYTES = 4 << 20
 MARKS = "_ord long, _key long, start long, stop long"
 _MARK = (1 << 24) - 1  # bits of a minimiser that travel beside its bucket; equal ones always meet

@@ -88,7 +88,7 @@ def judge(size: int):
     return settle
 
 
-def deduplicate(docs: DataFrame, size: int = 13, gram: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 13, gram: int = 3) -> DataFrame:
     """``docs`` with n_words, n_removed and ``kept``, the words left, one space apart."""
     rows = plain(docs, *RESULT)
     text = text_of()
