@@ -65,7 +65,8 @@ def e3(v):
 
 @query("e4_signal_target", "SELECT observation_id, target FROM observations")
 def e4(v):
-    return v.observations.select("observation_id", "target")
+    return v.observations.select("observation_id", L.target_of(
+        F.col("signal_type"), F.col("resolves_observation_id")).cast("double").alias("target"))
 
 
 @query("e5_struggle_pairing", "SELECT observation_id, resolves_observation_id FROM paired")
@@ -119,7 +120,7 @@ def e10(v):
 @query("e11_effective_style", """
 SELECT user_id, concept_id, effective_style FROM states""")
 def e11(v):
-    return v.states.select("user_id", "concept_id", "effective_style")
+    return L.states(v.observations).select("user_id", "concept_id", "effective_style")
 
 
 @query("e12_refresh_cache", """

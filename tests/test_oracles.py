@@ -21,12 +21,10 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     if name in ORACLES:
-        problem, rows = check.compare(spark, duck, QUERIES[name], ORACLES[name], SMALL)
+        problem, _ = check.compare(spark, duck, QUERIES[name], ORACLES[name], SMALL)
         assert problem is None
     else:
-        rows = QUERIES[name](spark, SMALL).count()
-    if name not in {"f2_concept_by_name"}:
-        assert rows >= 0
+        assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_entry(spark):
