@@ -11,13 +11,12 @@ ordered by a hash of their text; an empty table gives an empty file set; other i
 
 from __future__ import annotations
 
-import array
 import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +28,32 @@ from quillmark.llm.common import text_of
 
 MAGIC, BITS, SUPER = b"DAC1", 8, 512
 SEGMENT_TOKENS = 1 << 20
-CACHE = 200_000
+CACHE = 300_000
 #: A single space between two characters that are not white space always starts a token of its own.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Letters are one token's border to any ASCII mark after them.
 _WORD = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~].*)?", re.DOTALL)
-_ODD = re.compile(r"^ |\s | \s")
+#: White space other than a space and a line feed.
+_RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 SCHEMA = "part int, seq int, n_tokens long, doc_ids binary, nulls binary, ends binary, code binary"
 
 
-class Memory:
-    """A bounded map of two generations: what was asked for lately survives when the older one is dropped."""
+class Memory(dict):
+    """Values made on first use, in two bounded generations: what was asked for lately outlives a clearing."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, make: Callable[[str], bytes], limit: int = CACHE):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
 
-    def get(self, keys: list[str]) -> list[bytes | None]:
-        found = list(map(self.young.get, keys))
-        if None in found:
-            for i in [i for i, got in enumerate(found) if got is None]:
-                if (got := self.old.get(keys[i])) is not None:
-                    self.young[keys[i]] = found[i] = got
-        return found
-
-    def put(self, new: dict[str, bytes]) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young.update(new)
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 def byte_letters() -> dict[int, str]:
@@ -76,7 +74,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core
         self.whole = Tokenizer.from_file(path)
         self.model, self.letters = self.whole.model, byte_letters()
-        self.known, self.parts = Memory(CACHE), Memory(CACHE)
+        self.pieces, self.words, self.others = Memory(self._piece), Memory(self._word), Memory(self._whole)
         parts = json.loads(self.whole.to_str())
         first = parts["pre_tokenizer"] or {}
         self.cuts = (
@@ -88,49 +86,30 @@ class Encoder:
         if not text:
             return b""
         if not self.cuts:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _ODD.search(text):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        # white space next to a space: find the borders one by one
+        if "" in rest or not first or any(c in text for c in _RARE) or "\n " in text or " \n" in text:
             pieces = _CUT.split(text)
         else:
-            first, *rest = text.split(" ")
             pieces = [first, *map(" ".__add__, rest)]
-        found = self.known.get(pieces)
-        if None in found:
-            made = self._encode({p for p, f in zip(pieces, found, strict=True) if f is None})
-            self.known.put(made)
-            found = [made[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return b"".join(found)
-
-    def _encode(self, pieces: set[str]) -> dict[str, bytes]:
-        """Pieces of a word and the marks after it. A bare word is one token border to the next, so the model
-        takes it as it is; anything else goes through the whole tokenizer."""
-        out, odd, marked = {}, [], []
-        for piece in pieces:
-            m = _WORD.fullmatch(piece)
-            if m is None:
-                odd.append(piece)
-            elif m[2] is None:
-                marked.append((piece, piece, None))
-            else:
-                marked.append((piece, m[1], m[2]))
-        words = [w for _, w, _ in marked]
-        tails = [t for _, _, t in marked if t]
-        asked = [*dict.fromkeys(words + tails + odd)]
-        ids = {k: got for k, got in zip(asked, self.parts.get(asked), strict=True) if got is not None}
-        fresh: dict[str, bytes] = {}
-        for word in words:
-            if word not in ids:
-                spelt = word.encode().decode("latin-1").translate(self.letters)
-                ids[word] = fresh[word] = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        new = [k for k in dict.fromkeys(tails + odd) if k not in ids]
-        for part, got in zip(new, self.whole.encode_batch(new, add_special_tokens=False) if new else [], strict=True):
-            ids[part] = fresh[part] = np.array(got.ids, "<u4").tobytes()
-        self.parts.put(fresh)
-        for piece, word, tail in marked:
-            out[piece] = ids[word] + ids[tail] if tail else ids[word]
-        for piece in odd:
-            out[piece] = ids[piece]
-        return out
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A bare word is one token border to the next, so the model takes it as it is."""
+        spelt = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """A word and the marks after it, each by itself; anything else goes through the whole tokenizer."""
+        m = _WORD.fullmatch(piece)
+        if m is None:
+            return self.others[piece]
+        return self.words[m[1]] + self.others[m[2]] if m[2] else self.words[m[1]]
 
 
 def pack(ids: np.ndarray) -> bytes:
