@@ -3,13 +3,12 @@
 Documents with equal shingle sets are one class. Each class has a signature for every tree of the forest: a label
 of hash minima. Within a region of labels that share their first values, sorting by label puts every class next to
 those with the longest common prefix, so dense regions are told apart at greater depth than sparse ones. Neighbours
-are compared in three passes: each class with the one before it in every tree; among classes still apart, each with
-several on either side; and each with the best linked members of the components it has then met but not joined.
-Candidates pass a bound on set sizes and the share of equal minima; links are confirmed on the whole sets and
-connected components follow.
+are compared in two passes that join most copies cheaply: each class with the one before it in every tree; among
+classes still apart, each with several on either side. Candidates pass a bound on set sizes and the share of equal
+minima; links are confirmed on the whole sets and connected components follow. A last pass compares the whole sets of
+all classes of a region that are still apart, in blocks, so no class is left out for want of a near place in the order.
 
-Recall is that of the forest: two sets at the threshold share the first values in a tree with a chance of one half,
-and a region with more classes than neighbours compared finds those with the longest common prefixes and the hubs.
+Recall is that of the forest: two sets at the threshold share the first values in a tree with a chance of one half.
 
 Cases: null and empty texts have no shingles and stay alone; fewer words than a shingle count as one; rows of one
 doc_id are one node; rows with a null doc_id stay alone, kept, with a null component; repeated rows are one class;
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise
@@ -32,8 +31,9 @@ from quillmark.llm.components import components
 from quillmark.llm.segments import gram_hashes, mixed
 
 TREES, DEPTH, SHARED = 32, 10, 3
-NEAR, HUBS, SLACK = 4, 64, 0.1
+NEAR, SLACK = 4, 0.1
 CHUNK = 150_000
+BLOCK, VOLUME = 1000, 1_000_000  # classes and shingles that a block of the last pass is meant to have
 SMALL = 1_000_000  # ids up to which they are sent to every task instead of moving the texts
 
 
@@ -153,20 +153,82 @@ def _edges(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def _to_hubs(met: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of each class with the best linked members of every other component it has met a member of."""
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    best = Window.partitionBy("component").orderBy(F.desc("count"), "node")
-    hubs = (
-        ends.groupBy("node").count().join(parts, "node")
-        .withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= HUBS)
-        .select("component", F.col("node").alias("hub")))
-    both = met.toDF("x", "y").union(met.select("b", "a"))
-    own = parts.toDF("x", "_own")
-    seen = (
-        both.join(parts.toDF("y", "component"), "y").join(own, "x", "left")
-        .filter(F.coalesce("_own", "x") != F.col("component")).select("x", "component").distinct())
-    return _ordered(seen.join(hubs, "component").select("x", F.col("hub").alias("y")))
+def _links(
+    tree: int, left: np.ndarray, alone: bool, cid: np.ndarray, part: np.ndarray, trees: np.ndarray, starts: list[bytes],
+    sets: list[bytes], percent: int,
+) -> tuple[list[int], list[int]]:
+    """A forest of the links between components, of pairs that have a row at ``left`` and first meet in this tree."""
+    size = np.array([len(s) // 8 for s in sets])
+    vocab, line = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    first = np.cumsum(size) - size
+    parts = np.frombuffer(b"".join(starts), np.uint16).reshape(len(sets), TREES, SHARED)[:, :tree].astype(np.uint64)
+    codes = (parts[..., 0] << np.uint64(32)) | (parts[..., 1] << np.uint64(16)) | parts[..., 2]
+    used = (trees[:, None] >> np.arange(tree)) & 1 == 1
+    group, mark = np.unique(part, return_inverse=True)[1], np.zeros(len(vocab), bool)
+    a, b = [], []
+    for x in np.flatnonzero(left):
+        fit = 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
+        fit &= group != group[x]
+        if alone:
+            fit[:x] = False
+        else:
+            fit &= ~left
+        y = np.flatnonzero(fit)
+        y = y[~((codes[y] == codes[x]) & used[x]).any(1)]
+        if not len(y):
+            continue
+        own = line[first[x] : first[x] + size[x]]
+        mark[own] = True
+        ends = np.cumsum(size[y])
+        places = np.repeat(first[y] - ends + size[y], size[y]) + np.arange(ends[-1])
+        both = np.add.reduceat(mark[line[places]], ends - size[y], dtype=np.int64)
+        mark[own] = False
+        for z in y[100 * both >= percent * (size[x] + size[y] - both)]:
+            if group[z] != group[x]:
+                group[group == group[z]] = group[x]
+                a.append(min(cid[x], cid[z]))
+                b.append(max(cid[x], cid[z]))
+    return a, b
+
+
+def rest(own: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is still apart in a region: whole sets of all its classes are compared.
+
+    The classes outside a region's largest component meet each other and that component, block by block; a pair that
+    shares several regions is compared in the first tree of them. A block gives a forest of its links, so rows stay few."""
+    own = own.select("tree", F.substring("label", 1, 2 * SHARED).alias("start"), "cid", "n", "part")
+    sized = own.groupBy("tree", "start", "part").agg(F.count("*").alias("c"), F.sum("n").alias("v"))
+
+    def blocks(c: Column, v: Column) -> Column:
+        return F.greatest(F.ceil(c / BLOCK), F.ceil(v / VOLUME)).cast("long")
+
+    dealt = sized.groupBy("tree", "start").agg(
+        F.sum("c").alias("c"), F.sum("v").alias("v"), F.max(F.struct("c", "part", "v")).alias("most")
+    ).filter((F.col("c") > NEAR + 1) & (F.col("c") > F.col("most.c"))).select(
+        "tree", "start", F.col("most.part").alias("most"),
+        blocks(F.col("c") - F.col("most.c"), F.col("v") - F.col("most.v")).alias("few"),
+        blocks(F.col("most.c"), F.col("most.v")).alias("many"))
+    salt, loose = F.xxhash64("cid"), F.col("part") != F.col("most")
+    block = F.when(loose, F.pmod(salt, F.col("few"))).otherwise(F.col("few") + F.pmod(salt, F.col("many")))
+    placed = materialise(
+        own.join(dealt, ["tree", "start"]).select("tree", "start", "cid", "part", "few", "many", loose.alias("loose"), block.alias("block")),
+        "open-regions")
+    others = F.sequence(F.lit(0).cast("long"), F.col("few") - 1 + F.when(F.col("loose"), F.col("many")).otherwise(0))
+    met = placed.select("tree", "start", "cid", "block", F.explode(others).alias("_o")).select(
+        "tree", "start", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "cid")
+    starts = F.concat(*[F.substring("sign", 2 * DEPTH * t + 1, 2 * SHARED) for t in range(TREES)])
+    known = placed.groupBy("cid", "part").agg(F.expr("bit_or(shiftleft(1L, tree)) as trees"))
+    known = materialise(
+        known.join(classes.select("cid", starts.alias("starts")), "cid").join(sets, "cid"), "open-sets")
+
+    def linked(table: pa.Table) -> pa.Table:
+        i, tree, block, cid, part, trees = (
+            table[c].to_numpy() for c in ("i", "tree", "block", "cid", "part", "trees"))
+        a, b = _links(
+            tree[0], block == i[0], i[0] == table["j"][0].as_py(), cid, part, trees, table["starts"].to_pylist(), table["set"].to_pylist(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.join(known, "cid").groupBy("tree", "start", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -203,9 +265,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = materialise(confirmed(second, classes, sets, percent), "second-links")
     joined = components(more.union(_edges(parts)))
 
-    third = _to_hubs(second, found.union(more), joined).join(first, ["a", "b"], "left_anti").join(
-        second, ["a", "b"], "left_anti")
-    last = confirmed(third, classes, sets, percent)
+    own = dense.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
+        "part", F.coalesce("component", "cid"))
+    last = materialise(rest(own, classes, sets, percent), "last-links")
     joined = components(last.union(_edges(joined)))
 
     reach = classes.select("key", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
