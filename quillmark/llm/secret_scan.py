@@ -1,9 +1,10 @@
 """Scan every version of every file for secrets, each content once.
 
 A version's content address is the SHA-256 of its text. The ledger holds one entry for each scanned blob: the
-rules (name and version) that have been applied and where they matched. An update looks only at blobs and rules
-that the ledger does not pair yet, scans each such blob once however many paths share it, and appends. A report
-joins the entries back to all paths. Running an update again after a failure only rescans what is missing.
+rules (name and version) that have been applied and where each of them matched. An update looks only at blobs and
+rules that the ledger does not pair yet, scans each such blob once however many paths share it, and appends. A
+report joins what its own rules found, in their own versions, back to all paths. Running an update again after a
+failure only rescans what is missing.
 
 Positions are code points, end exclusive. Splitting a text at a pattern and extracting the same pattern give the
 lengths of gaps and matches in turn; their running sums are the positions.
@@ -51,16 +52,25 @@ RULES = (
 )
 
 
+LEDGER = (
+    "blob string, rules array<string>, found array<struct<tag:string,kind:string,least:int,gaps:array<int>,"
+    "sizes:array<int>,values:array<int>>>")
+
+
 def address(history: DataFrame) -> DataFrame:
     """Add ``blob``, the content address of ``text``."""
     return history.withColumn("blob", F.sha2(text_of(), 256))
 
 
 def entries(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """The ledger. Entries from before findings had tags have null there; where such an entry applied two versions of
+    a kind, its findings cannot be told apart, and it counts as not scanned."""
     try:
-        return spark.read.parquet(ledger)
+        known = spark.read.schema(LEDGER).parquet(ledger)
     except AnalysisException:
         return None  # nothing scanned yet
+    kinds = F.array_distinct(F.transform("rules", lambda t: F.substring_index(t, "@", 1)))
+    return known.filter(~F.exists("found", lambda f: f["tag"].isNull()) | (F.size(kinds) == F.size("rules")))
 
 
 def _lengths(array: Column) -> Column:
@@ -70,7 +80,7 @@ def _lengths(array: Column) -> Column:
 def _matches(rule: Rule, text: Column, wanted: Column) -> Column:
     pattern = F.lit(rule.pattern)
     found = F.struct(
-        F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"),
+        F.lit(rule.tag).alias("tag"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"),
         _lengths(F.split(text, rule.pattern, -1)).alias("gaps"),
         _lengths(F.regexp_extract_all(text, pattern, F.lit(0))).alias("sizes"),
         _lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("values"))
@@ -97,13 +107,16 @@ def update(history: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
     once.select("blob", "rules", found.alias("found")).write.mode("append").parquet(ledger)
 
 
-def findings(known: DataFrame) -> DataFrame:
-    """One row for each secret of each blob: blob, kind, start, stop."""
-    per_rule = known.select("blob", F.explode("found").alias("f")).select("blob", "f.*").dropDuplicates(["blob", "kind", "gaps", "sizes"])
+def findings(known: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row for each secret of each blob that one of ``rules`` in its own version found: blob, kind, start, stop."""
+    applied = F.filter("rules", lambda t: F.substring_index(t, "@", 1) == F.col("f.kind"))
+    per_rule = known.select("blob", "rules", F.explode("found").alias("f")).select(
+        "blob", "f.*", F.coalesce("f.tag", F.get(applied, 0)).alias("_tag")
+    ).filter(F.col("_tag").isin([r.tag for r in rules])).dropDuplicates(["blob", "_tag"])
     spots = per_rule.select(
-        "blob", "kind", "least", F.posexplode(F.arrays_zip("gaps", "sizes", "values")).alias("at", "m")
+        "blob", "_tag", "kind", "least", F.posexplode(F.arrays_zip("gaps", "sizes", "values")).alias("at", "m")
     ).filter("m.sizes is not null")
-    so_far = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("blob", "_tag").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return (
         spots.withColumn("stop", F.sum(F.col("m.gaps") + F.col("m.sizes")).over(so_far))
         .filter("m.values >= least")
@@ -121,11 +134,9 @@ def report(history: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
     counts = [F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules]
     paths = address(history).select(*own, "blob")
     if known is None:  # nothing was ever written
-        known = paths.select("blob", F.expr(
-            "cast(array() as array<struct<kind:string,least:int,gaps:array<int>,sizes:array<int>,values:array<int>>>)"
-        ).alias("found")).limit(0)
+        known = history.sparkSession.createDataFrame([], LEDGER)
     by_blob = materialise(  # a text's findings are bounded by its length
-        findings(known).groupBy("blob").agg(*counts, F.array_join(spans, ",").alias("spans")), "blob-findings")
+        findings(known, rules).groupBy("blob").agg(*counts, F.array_join(spans, ",").alias("spans")), "blob-findings")
     joined = paths.join(by_blob, "blob", "left")
     return joined.select(
         *own, "blob", *[F.coalesce(f"n_{r.kind}", F.lit(0)).alias(f"n_{r.kind}") for r in rules],
