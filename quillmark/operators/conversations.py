@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.running import hour_of, newest, running
+from quillmark.functions.running import block_of, hour_of, newest, running
 
 
 def number_turns(turns: DataFrame) -> DataFrame:

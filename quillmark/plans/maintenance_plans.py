@@ -336,7 +336,7 @@ papers|processing_status|processing_status NOT IN ('queued','processing','ready'
 papers|year_range|year < 1900 OR year > 2100
 papers|page_count_positive|page_count <= 0
 papers|extractable_ratio_range|extractable_text_ratio < 0 OR extractable_text_ratio > 1
-sections|section_role|section_role NOT IN ('abstract','introduction','related_work','method','experiments','results','discussion','conclusion','appendix','references','other')
+sections|section_role|section_role NOT IN ('abstract','introduction','related_work','method','experiments','results','discussion','conclusion','appendix','references','unknown')
 sections|ordinal_non_negative|ordinal < 0
 sections|page_span_valid|page_start <= 0 OR page_end < page_start
 chunks|ordinal_non_negative|ordinal < 0

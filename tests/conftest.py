@@ -1,12 +1,10 @@
 import sys
-from pathlib import Path
 
 import pytest
 
-ROOT = Path(__file__).resolve().parents[1]
-sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
+from suite_paths import ROOT, SMALL
 
-SMALL = "/root/testdata/sf0.001"
+sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ import check
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SMALL
+from suite_paths import SMALL
 
 # the corpus queries have tests of their own
 QUERIES = {n: q for n, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", n)}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SMALL
+from suite_paths import SMALL
 
 HOT = (
     "a3_dedup_routing", "a4_grant_upsert", "c4_filtered_top_k", "d5_verify_answers",
