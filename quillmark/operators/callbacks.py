@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.running import hour_of, running
+from quillmark.functions.running import PART, by_range, carried, earlier, with_carry
 from quillmark.operators.memory import both_ways, live, scored
 
 PREFERENCES = (
@@ -37,7 +37,7 @@ def turns_since(turns: DataFrame, marks: DataFrame) -> DataFrame:
 
     Null when there was no mark yet. Marks are (user_id, at). Turns and marks
     become one ordered stream; a running count and the count at the last mark
-    give the difference, carried over hours so a busy reader is spread out.
+    give the difference in one scan, carried over ranges so a busy reader is spread out.
     """
     steps = turns.select("user_id", F.col("created_at").alias("moment"), F.lit(1).alias("kind"),
                          "turn_id")
@@ -47,13 +47,19 @@ def turns_since(turns: DataFrame, marks: DataFrame) -> DataFrame:
     both = steps.unionByName(flags).withColumn(
         "seq", F.when(F.col("kind") == 1, 0).otherwise(1))
     order = ["moment", "seq", "turn_id"]
-    hour = hour_of(F.col("moment"))
-    counted = running(both, ["user_id"], order, hour, {"upto": ("sum", F.col("kind"))})
-    at_mark = F.when(F.col("kind") == 0, F.col("upto"))
-    marked = running(counted, ["user_id"], order, hour, {"base": ("last", at_mark)},
-                     inclusive=False)
+    placed = by_range(both, ["user_id"], order)
+    here = Window.partitionBy(PART, "user_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumn("upto", F.sum("kind").over(here)).withColumn("at_mark", F.when(F.col("kind") == 0, F.col("upto")))
+    # counts only grow, so the largest count at a mark is the count at the last mark
+    ends = local.groupBy(PART, "user_id").agg(F.sum("kind").alias("turns"), F.max("at_mark").alias("mark"))
+    past = F.coalesce(F.sum("turns").over(earlier(["user_id"])), F.lit(0))
+    carry = carried(ends.withColumn("mark", past + F.col("mark")), ["user_id"],
+                    {"past": F.sum("turns"), "past_mark": F.max("mark")})
+    marked = with_carry(local.withColumn("base", F.max("at_mark").over(here)), carry, ["user_id"])
+    past = F.coalesce("past", F.lit(0))
+    base = F.coalesce(past + F.col("base"), F.col("past_mark"))
     return marked.filter("kind = 1").select(
-        "turn_id", "user_id", (F.col("upto") - 1 - F.col("base")).alias("turns_since"))
+        "turn_id", "user_id", (past + F.col("upto") - 1 - base).alias("turns_since"))
 
 
 def callback_marks(turns: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.running import hour_of, running
+from quillmark.functions.running import running
 from quillmark.operators.callbacks import preferences, turns_since
 from quillmark.operators.memory import scored
 
@@ -72,7 +72,7 @@ def validate_grades(gradings: DataFrame) -> DataFrame:
 def number_attempts(attempts: DataFrame) -> DataFrame:
     """One-based attempt numbers; a much-tried check is still spread over hours."""
     out = running(attempts, ["quiz_id"], ["created_at", "attempt_id"],
-                  hour_of(F.col("created_at")), {"attempt_no": ("sum", F.lit(1))})
+                  {"attempt_no": ("sum", F.lit(1))})
     return out.withColumn("attempt_no", F.col("attempt_no").cast("int"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.running import block_of, hour_of, newest, running
+from quillmark.functions.running import newest, running
 
 
 def number_turns(turns: DataFrame) -> DataFrame:
     """Zero-based position of each turn in its session, without gathering a session."""
-    out = running(turns, ["session_id"], ["created_at", "turn_id"], hour_of(F.col("created_at")),
+    out = running(turns, ["session_id"], ["created_at", "turn_id"],
                   {"seen": ("sum", F.lit(1))})
     return out.withColumn("ordinal", (F.col("seen") - 1).cast("int")).drop("seen")
 
@@ -31,7 +31,7 @@ def append_exchanges(messages: DataFrame, exchanges: DataFrame) -> tuple[DataFra
     rejected = judged.filter(F.col("reject_reason").isNotNull()).select("turn_id", "reject_reason")
     good = judged.filter(F.col("reject_reason").isNull())
     placed = running(good, ["session_id"], ["created_at", "turn_id"],
-                     hour_of(F.col("created_at")), {"nth": ("sum", F.lit(1))})
+                     {"nth": ("sum", F.lit(1))})
     top = messages.groupBy("session_id").agg(F.max("ordinal").alias("top"))
     base = F.coalesce("top", F.lit(-1)) + 2 * (F.col("nth") - 1)
     pair = F.array(
@@ -93,23 +93,19 @@ def session_listing(sessions: DataFrame, papers: DataFrame, limit: int | None =
     title = papers.select(F.col("paper_id").alias("active_paper_id"), "title")
     titled = sessions.join(title, "active_paper_id", "left")
     out = running(titled, ["user_id"], ["last_activity_at", "session_id"],
-                  hour_of(F.col("last_activity_at")), {"place": ("sum", F.lit(1))}, backward=True)
+                  {"place": ("sum", F.lit(1))}, backward=True)
     return out if limit is None else out.filter(F.col("place") <= limit)
 
 
 def paper_listing(grants: DataFrame, papers: DataFrame) -> DataFrame:
     """Papers a reader holds, last opened first (never opened at the end).
 
-    The place in the list comes from carried counts over hours, newest first.
+    The place in the list comes from carried counts, newest first.
     """
     mine = grants.filter(F.col("revoked_at").isNull()).join(papers, "paper_id")
-    opened = F.col("last_opened_at").isNotNull()
-    # never-opened papers sort below every hour, cut into blocks of ids
-    hour = F.when(opened, hour_of(F.col("last_opened_at"))).otherwise(
-        block_of(F.col("paper_id")) - (1 << 50))
     keyed = mine.withColumn("_at", F.coalesce(
         X.micros(F.col("last_opened_at")), F.lit(-1).cast("bigint")))
-    out = running(keyed, ["user_id"], ["_at", "paper_id"], hour, {"place": ("sum", F.lit(1))},
+    out = running(keyed, ["user_id"], ["_at", "paper_id"], {"place": ("sum", F.lit(1))},
                   backward=True)
     return out.drop("_at")
 

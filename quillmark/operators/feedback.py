@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
-from quillmark.functions.running import hour_of, newest, running
+from quillmark.functions.running import PART, by_range, newest, running, scan
 
 TOP = len(V.DEPTH_LEVELS) - 1
 
@@ -28,44 +28,42 @@ def depth_steps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("move", move).filter(F.col("move").isNotNull())
 
 
-def _levels():
-    return F.array(*[F.lit(i) for i in range(TOP + 1)])
-
-
 def fold_depth(rows: DataFrame, start: DataFrame) -> DataFrame:
     """Depth after all nudges, each stopping at the ends.
 
-    A run of nudges maps every starting level to an end level, and such maps
-    compose. Each (reader, hour) is folded alone; the hours of a reader are then
-    composed by day and the days once more, so a list never holds more than a
-    day of hours or a reader's days.
+    The nudges of a reader are one map from start to end level: shift by their sum, held between a low and a high.
+    With ``after``, the sum of the nudges behind a point, that map follows from the extremes of ``after``: as long
+    as they lie less than ``TOP`` apart only one end can be touched, and how far the start may come is the lowest and
+    highest ``after``. Where they first lie ``TOP`` apart, seen from the end, every start has met that end, so low
+    and high are one level. Sums and extremes are carried scans, so no list is gathered and a busy reader is spread.
     """
-    def compose(ordered: str):
-        return F.aggregate(ordered, _levels(), lambda acc, x: F.transform(
-            acc, lambda v: F.element_at(x["m"], v + 1)))
-
-    def run(ordered: str):
-        return F.aggregate(ordered, _levels(), lambda acc, x: F.transform(
-            acc, lambda v: F.greatest(F.lit(0), F.least(F.lit(TOP), v + x["move"]))))
-
-    def gathered(*cols: str):
-        return F.array_sort(F.collect_list(F.struct(*cols))).alias("steps")
-
-    nudges = depth_steps(rows).withColumn("hour", hour_of(F.col("created_at")))
-    by_hour = nudges.groupBy("user_id", "hour").agg(
-        gathered("created_at", "feedback_id", "move")).select(
-        "user_id", "hour", F.floor(F.col("hour") / 24).alias("day"), run("steps").alias("m"))
-    by_day = by_hour.groupBy("user_id", "day").agg(gathered("hour", "m")).select(
-        "user_id", "day", compose("steps").alias("m"))
-    whole = by_day.groupBy("user_id").agg(gathered("day", "m")).select(
-        "user_id", compose("steps").alias("m"))
+    key, order = ["user_id"], ["created_at", "feedback_id"]
+    nudges = by_range(depth_steps(rows).select(*key, *order, "move"), key, order)
+    behind = scan(nudges, key, order, {"after": ("sum", F.col("move"))}, inclusive=False, backward=True)
+    # the point before the first nudge counts as well: its value is the sum with the nudge itself
+    points = behind.withColumns({
+        "lower": F.least("after", F.col("after") + F.col("move")),
+        "upper": F.greatest("after", F.col("after") + F.col("move"))})
+    seen = scan(points, key, order, {"least": ("min", F.col("lower")), "most": ("max", F.col("upper"))}, backward=True)
+    wide = F.col("most") - F.col("least") >= TOP
+    # the newest nudge with which the extremes lie TOP apart: it reached the later of the two ends
+    turned = F.max_by(
+        F.when(F.col("after") + F.col("move") == F.col("most"), F.lit(TOP) + F.col("least")).otherwise(F.col("most")),
+        F.when(wide, F.struct(*order)))
+    limits = seen.groupBy(*key).agg(
+        F.min_by(F.col("after") + F.col("move"), F.struct(*order)).alias("shift"),
+        F.min("least").alias("least"), F.max("most").alias("most"), turned.alias("turned"))
+    maps = limits.select(
+        *key, "shift", F.coalesce("turned", F.col("most")).alias("low"),
+        F.coalesce("turned", F.lit(TOP) + F.col("least")).alias("high"))
     names = F.array(*[F.lit(x) for x in V.DEPTH_LEVELS])
     # a level outside the list starts again from normal, but only once it is moved
     at = F.array_position(names, F.col("depth")).cast("int") - 1
     begin = F.when(at >= 0, at).otherwise(V.DEPTH_LEVELS.index("normal"))
-    joined = start.select("user_id", "depth").join(whole, "user_id", "left")
-    return joined.select("user_id", F.when(F.col("m").isNull(), F.col("depth")).otherwise(
-        F.element_at(names, F.element_at("m", begin + 1) + 1)).alias("depth"))
+    end = F.least(F.greatest(begin + F.col("shift"), F.col("low")), F.col("high")).cast("int")
+    joined = start.select("user_id", "depth").join(maps, "user_id", "left")
+    return joined.select("user_id", F.when(F.col("shift").isNull(), F.col("depth")).otherwise(
+        F.element_at(names, end + 1)).alias("depth"))
 
 
 def preferred_style(rows: DataFrame) -> DataFrame:
@@ -89,7 +87,6 @@ def stamp(rows: DataFrame, turns: DataFrame) -> DataFrame:
     both = asked.unionByName(answered).withColumn(
         "seq", F.when(F.col("turn_id").isNotNull(), 0).otherwise(1))
     out = running(both, ["user_id"], ["created_at", "seq", "turn_id", "feedback_id"],
-                  hour_of(F.col("created_at")),
                   {"applied_to_turn_id": ("last", F.col("turn_id"))}, inclusive=False,
                   backward=True)
     return out.filter(F.col("feedback_id").isNotNull()).select("feedback_id", "applied_to_turn_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.running import hour_of, running
+from quillmark.functions.running import PART, by_range, carried, earlier, running, with_carry
 from quillmark.operators.canonical import new_id
 
 PAIR = ["user_id", "concept_id"]
@@ -63,25 +63,20 @@ def pair_struggles(signals: DataFrame) -> DataFrame:
     """
     sign = F.when(F.col("signal_type").isin(*V.STRUGGLES), 1).when(
         F.col("signal_type").isin(*V.RESOLVING), -1)
-    hour = hour_of(F.col("observed_at"))
-    steps = (
-        signals.select(*PAIR, *ORDER, sign.alias("step")).filter(F.col("step").isNotNull())
-        .withColumn("hour", hour).repartition(*PAIR, "hour")
-    )
-    inside = Window.partitionBy(*PAIR, "hour").orderBy(*ORDER)
+    steps = by_range(
+        signals.select(*PAIR, *ORDER, sign.alias("step")).filter(F.col("step").isNotNull()), PAIR, ORDER)
+    inside = Window.partitionBy(PART, *PAIR).orderBy(*ORDER)
     local = steps.withColumn("run", F.sum("step").over(inside)).withColumn(
         "run_low", F.min("run").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    # one row per hour carries the height and the lowest point reached before it
-    before = Window.partitionBy(*PAIR).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        local.groupBy(*PAIR, "hour").agg(F.sum("step").alias("net"), F.min("run").alias("dip"))
-        .withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
-        .withColumn("past_low", F.min(F.col("base") + F.col("dip")).over(before))
-        .select(*PAIR, "hour", "base", "past_low")
-    )
-    low = local.join(carry, [*PAIR, "hour"]).select(
-        *PAIR, *ORDER, "step", (F.col("base") + F.col("run")).alias("total"),
-        F.least("past_low", F.col("base") + F.col("run_low")).alias("seen_low"))
+    # one row for each partition of a key carries the height and the lowest point reached before it
+    net = local.groupBy(PART, *PAIR).agg(F.sum("step").alias("net"), F.min("run").alias("dip"))
+    base = F.coalesce(F.sum("net").over(earlier(PAIR)), F.lit(0))
+    carry = carried(net.withColumn("low", base + F.col("dip")), PAIR,
+                    {"base": F.sum("net"), "past_low": F.min("low")})
+    here = F.coalesce("base", F.lit(0))
+    low = with_carry(local, carry, PAIR).select(
+        *PAIR, *ORDER, "step", (here + F.col("run")).alias("total"),
+        F.least("past_low", here + F.col("run_low")).alias("seen_low"))
     floor_before = F.least(F.lit(0), F.coalesce("seen_low", F.lit(0)))
     floor_now = F.least(floor_before, F.col("total"))
     opens = F.col("step") == 1
@@ -91,7 +86,7 @@ def pair_struggles(signals: DataFrame) -> DataFrame:
     marked = level.select(*PAIR, "level", *ORDER, "step")
     # within a level openers and closers alternate: the partner is the last opener
     matched = running(
-        marked, [*PAIR, "level"], ORDER, hour,
+        marked, [*PAIR, "level"], ORDER,
         {"partner": ("last", F.when(opens, F.col("observation_id")))}, inclusive=False)
     return matched.filter((F.col("step") == -1) & F.col("partner").isNotNull()).select(
         "observation_id", F.col("partner").alias("resolves_observation_id"))
@@ -172,7 +167,7 @@ def refresh(concepts: DataFrame, states_df: DataFrame) -> DataFrame:
 def timeline(observations: DataFrame) -> DataFrame:
     """State after every observation: carried running sums, never one task per key."""
     w, t = F.col("weight"), F.col("weight") * F.col("target")
-    out = running(observations, PAIR, ORDER, hour_of(F.col("observed_at")), {
+    out = running(observations, PAIR, ORDER, {
         "cum_weight": ("sum", w), "cum_target": ("sum", t), "cum_count": ("sum", F.lit(1))})
     return out.withColumns({
         "score_after": F.when(F.col("cum_weight") > 0, F.col("cum_target") / F.col("cum_weight")),
