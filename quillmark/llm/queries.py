@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, new_path
 from quillmark.llm import (
-    classifier, decontaminate, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens)
+    classifier, decontaminate, exact_copies, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens)
 from quillmark.llm.common import documents, text_of, word_count
 
 
@@ -174,6 +174,20 @@ def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return exact_copies.report(docs, exact_copies.insert(docs))
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+FROM texts JOIN groups USING (t)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_mix": op2_mix,
@@ -185,5 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_leaks": op8_leaks,
     "op9_quality": op9_quality,
     "op10_factors": op10_factors,
+    "op13_exact_copies": op13_exact_copies,
 }
-ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_secrets": OP4_SQL, "op8_leaks": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_secrets": OP4_SQL, "op8_leaks": OP8_SQL,
+    "op13_exact_copies": OP13_SQL}
