@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, new_path
 from quillmark.llm import (
-    classifier, decontaminate, exact_copies, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens)
+    classifier, decontaminate, exact_copies, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens,
+    whitening)
 from quillmark.llm.common import documents, text_of, word_count
 
 
@@ -174,6 +175,10 @@ def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_copies.report(docs, exact_copies.insert(docs))
@@ -199,6 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_leaks": op8_leaks,
     "op9_quality": op9_quality,
     "op10_factors": op10_factors,
+    "op11_whitening": op11_whitening,
     "op13_exact_copies": op13_exact_copies,
 }
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_secrets": OP4_SQL, "op8_leaks": OP8_SQL,

@@ -25,6 +25,7 @@ def test_contract_columns(spark):
         "op7_passages": "doc_id n_words n_removed kept_sha256",
         "op9_quality": "doc_id held_out score predicted",
         "op10_factors": "doc_id n_bytes n_removed n_spans kept_sha256",
+        "op11_whitening": "vec_id component n deviation whitened explained identity_error",
         "op13_exact_copies": "doc_id keep_id group_size kept text_sha256",
     }
     assert sorted(queries.QUERIES) == sorted([*want, "op8_leaks"])
