@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, new_path
 from quillmark.llm import (
-    classifier, decontaminate, exact_copies, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens,
+    classifier, conversation_repair, decontaminate, exact_copies, mixing, near_copies, quality_rules, secret_scan, sharding, suffix, superkmer, tokens,
     whitening)
 from quillmark.llm.common import documents, text_of, word_count
 
@@ -179,6 +179,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(documents(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = documents(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(talks), talks)
+
+
 def op13_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_copies.report(docs, exact_copies.insert(docs))
@@ -205,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_factors": op10_factors,
     "op11_whitening": op11_whitening,
+    "op12_conversations": op12_conversations,
     "op13_exact_copies": op13_exact_copies,
 }
 ORACLES: dict[str, str] = {"op2_mix": OP2_SQL, "op4_secrets": OP4_SQL, "op8_leaks": OP8_SQL,

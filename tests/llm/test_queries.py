@@ -26,6 +26,7 @@ def test_contract_columns(spark):
         "op9_quality": "doc_id held_out score predicted",
         "op10_factors": "doc_id n_bytes n_removed n_spans kept_sha256",
         "op11_whitening": "vec_id component n deviation whitened explained identity_error",
+        "op12_conversations": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
         "op13_exact_copies": "doc_id keep_id group_size kept text_sha256",
     }
     assert sorted(queries.QUERIES) == sorted([*want, "op8_leaks"])
