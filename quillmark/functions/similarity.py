@@ -9,8 +9,6 @@ is gathered whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,28 +153,3 @@ def blocked_top_k(
         .withColumnRenamed("query_key", query_id)
         .withColumnRenamed("item_key", item_id)
     )
-
-
-def sign_codes(
-    df: DataFrame, ident: str, vector: str, dim: int, tables: int, bits: int, seed: int = 7
-) -> DataFrame:
-    """Random-hyperplane codes: one row per (row, table) with its ``bits``-bit code."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = 2 ** np.arange(bits)
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            on = (m @ planes > 0).reshape(len(m), tables, bits)
-            codes = (on * weights).sum(axis=2)
-            yield pdf.assign(codes=list(codes))
-
-    src = df.filter(F.col(vector).isNotNull()).select(ident, vector)
-    schema = T.StructType(
-        [src.schema[ident], src.schema[vector],
-         T.StructField("codes", T.ArrayType(T.LongType()))]
-    )
-    coded = src.mapInPandas(encode, schema)
-    return coded.select(ident, vector, F.posexplode("codes").alias("table_no", "code"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.shared import materialise
-from quillmark.functions.similarity import blocked_top_k, order_key, sign_codes
+from quillmark.functions.similarity import blocked_top_k, order_key
 
 OVERFETCH = 3
 BUSY_READER = 64
@@ -133,36 +132,14 @@ def exact_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Nearest k over all given chunks, scored block by block."""
     near = blocked_top_k(queries, chunks, [], "query_id", "chunk_id", "query_vector",
                          "embedding", k)
-    return _best(near, k)
+    return best(near, k)
 
 
-def _best(near: DataFrame, k: int) -> DataFrame:
+def best(near: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(order_key(F.col("similarity"))), "chunk_id")
     return near.withColumn("rank_no", F.row_number().over(w)).filter(F.col("rank_no") <= k)
 
 
-def approximate_top_k(queries: DataFrame, chunks: DataFrame, k: int, dim: int, tables: int = 12,
-                      bits: int = 5, seed: int = 7) -> DataFrame:
-    """Search without a scope: sign-code buckets, exact scores inside them.
-
-    Queries whose buckets hold fewer than k chunks are answered exactly, so a
-    query is never short because of the index. Buckets are scored in blocks, so
-    a crowded bucket is neither gathered nor paired out.
-    """
-    near = blocked_top_k(
-        sign_codes(queries, "query_id", "query_vector", dim, tables, bits, seed),
-        sign_codes(chunks, "chunk_id", "embedding", dim, tables, bits, seed),
-        ["table_no", "code"], "query_id", "chunk_id", "query_vector", "embedding", k)
-    once = near.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
-    # read three times below: written out once, so the scoring runs once
-    found = materialise(_best(once, k), "near")
-    enough = found.filter(F.col("rank_no") == k).select("query_id")
-    short = queries.join(enough, "query_id", "left_anti")
-    exact = exact_top_k(short, chunks, k)
-    kept = found.join(enough, "query_id", "left_semi")
-    return kept.unionByName(exact)
-
-
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Per query: share of the exact neighbours found, and how many were missed."""
     hit = approx.select("query_id", "chunk_id").withColumn("hit", F.lit(1))

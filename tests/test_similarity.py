@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions.similarity import blocked_top_k
+from quillmark.operators import ann as A
 from quillmark.operators import retrieval as R
 
 
@@ -36,20 +37,86 @@ def test_blocks_equal_brute_force(data, item_block, query_block):
     q, c, qs, cs = data
     near = blocked_top_k(qs, cs, ["g"], "qid", "cid", "qv", "cv", 4, F.col("qt"), F.col("ct"),
                          item_block, query_block)
-    got = R._best(near.selectExpr("qid AS query_id", "cid AS chunk_id", "similarity"), 4)
+    got = R.best(near.selectExpr("qid AS query_id", "cid AS chunk_id", "similarity"), 4)
     assert {(r.query_id, r.chunk_id) for r in got.collect()} == brute(q, c, 4)
 
 
-def test_approximate_is_never_short_and_recall_reports_misses(data):
+def index_of(spark, rows, monkeypatch, shelf=64, **options):
+    monkeypatch.setattr(A, "SHELF", shelf)
+    monkeypatch.setattr(A, "QUERIES", 16)
+    return A.build(spark.createDataFrame(rows, "chunk_id LONG, embedding ARRAY<FLOAT>, role STRING"), 5,
+                   F.col("role"), **options)
+
+
+def clustered(n, seed=1):
+    heart, rng = np.random.default_rng(0).standard_normal((12, 16)) * 4, np.random.default_rng(seed)
+    return [(i, (heart[i % 12] + rng.standard_normal(16)).tolist(), "rare" if i % 97 == 0 else "common") for i in range(n)]
+
+
+def exact(queries, rows, k):
+    x = np.float32([r[1] for r in rows]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for qid, v, want in queries:
+        q = np.float32(v).astype(float)
+        sims = np.round(x @ q / np.linalg.norm(q), 9)
+        ok = [(-s, r[0]) for s, r in zip(sims, rows) if want is None or r[2] == want]
+        out[qid] = {c for _, c in sorted(ok)[:k]}
+    return out
+
+
+def test_index_looks_into_few_cells_and_finds_nearly_all(spark, monkeypatch):
+    """Probes follow the structure of the vectors, not their number."""
+    probes = []
+    for n in (600, 2400):
+        rows = clustered(n)
+        index = index_of(spark, rows, monkeypatch, cells=24)
+        probes.append(index.probes)
+        queries = [(i, v, None) for i, v, _ in clustered(60, seed=2)]
+        asked = spark.createDataFrame(queries, "query_id LONG, query_vector ARRAY<FLOAT>, role STRING")
+        got = {}
+        for r in A.search(asked, index, 5).collect():
+            got.setdefault(r.query_id, set()).add(r.chunk_id)
+        want = exact(queries, rows, 5)
+        assert sum(len(got[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+        shelves = spark.read.parquet(index.items).groupBy("shelf").count()
+        assert shelves.agg(F.max("count")).first()[0] < 4 * 64
+    assert max(probes) <= 8
+
+
+def test_search_widens_until_the_filter_leaves_enough(spark, monkeypatch):
+    rows = clustered(700)
+    index = index_of(spark, rows, monkeypatch, cells=20)._replace(probes=1)
+    queries = [(i, v, ("rare", "common", "absent")[i % 3]) for i, v, _ in clustered(45, seed=3)]
+    asked = spark.createDataFrame(queries, "query_id LONG, query_vector ARRAY<FLOAT>, role STRING")
+    got = {}
+    for r in A.search(asked, index, 8, F.col("role")).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    want = exact(queries, rows, 8)
+    for qid, _, role in queries:
+        assert len(got.get(qid, ())) == len(want[qid])  # 8 rare chunks, no absent one
+        if role == "rare":
+            assert got[qid] == want[qid]
+
+
+def test_one_crowded_cell_and_equal_vectors(spark, monkeypatch):
+    rows = [(i, [1.0, 0.0, 0.0, 0.5], "a") for i in range(500)] + [(500 + i, [0.0, 1.0, float(i), 0.0], "a") for i in range(30)]
+    rows += [(900, None, "a"), (901, [0.0] * 4, "a")]
+    index = index_of(spark, rows, monkeypatch, cells=4)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.5]), (2, None)], "query_id LONG, query_vector ARRAY<FLOAT>")
+    out = A.search(asked, index, 6).orderBy("rank_no").collect()
+    assert [r.chunk_id for r in out] == list(range(6))  # ties by id, whatever shelf they lie on
+    assert A.search(asked, A.build(spark.createDataFrame([], "chunk_id LONG, embedding ARRAY<FLOAT>"), 6), 6).count() == 0
+
+
+def test_recall_reports_misses(data):
     _, _, qs, cs = data
     q = qs.selectExpr("qid AS query_id", "qv AS query_vector")
     c = cs.selectExpr("cid AS chunk_id", "cv AS embedding")
-    approx = R.approximate_top_k(q, c, 6, 8, tables=3, bits=5)
-    assert {r["count"] for r in approx.groupBy("query_id").count().collect()} == {6}
-    report = R.recall(approx, R.exact_top_k(q, c, 6)).collect()
-    assert len(report) == 30
-    assert all(r.wanted == 6 and r.missed == 6 - r.found for r in report)
-    assert R.recall(R.exact_top_k(q, c, 6), R.exact_top_k(q, c, 6)).filter("missed > 0").count() == 0
+    whole = R.exact_top_k(q, c, 6)
+    report = R.recall(whole.filter("rank_no <= 4"), whole).collect()
+    assert len(report) == 30 and all((r.wanted, r.found, r.missed) == (6, 4, 2) for r in report)
+    assert R.recall(whole, whole).filter("missed > 0").count() == 0
 
 
 def test_busy_reader_path_gives_the_same_rows(views):
