@@ -88,7 +88,8 @@ def build(chunks: DataFrame, k: int = 8, tag: Column | None = None, cells: int |
     cells = min(cells or min(MAX_CELLS, max(2, round(math.sqrt(total)))), total)
     by_chance = F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 30))
     sample = materialise(items.filter(by_chance <= PER_CELL * cells / total * (1 << 30)), "ann-sample")
-    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="v").fit(
+    model = KMeans(
+        k=cells, seed=seed, maxIter=8, initMode="random", distanceMeasure="cosine", featuresCol="v").fit(
         sample.select(array_to_vector("vec").alias("v")))
     centres = np.array(model.clusterCenters())
     centres /= np.sqrt((centres * centres).sum(axis=1, keepdims=True))
@@ -202,7 +203,6 @@ def _round(spark: SparkSession, index: Index, cells: _Cells, asked: DataFrame, k
     sent = asked.mapInArrow(send, f"shelf int, query_id {kind}, tag string, vec array<double>, probe array<int>")
     # shelves of chunks are few rows each; a shelf that many queries look at meets them in several blocks
     blocks = sent.groupBy("shelf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
-    blocks = materialise(blocks, "ann-blocks")
     # both sides are joined to the blocks: each gets group columns of its own
     own = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
     left = sent.join(blocks, "shelf").select(
