@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmark import vocab as V
 from quillmark.functions import expr as X
 from quillmark.functions.running import PART, by_range, carried, earlier, with_carry
-from quillmark.operators.memory import both_ways, live, scored
+from quillmark.functions.shared import materialise
+from quillmark.operators import asof
+from quillmark.operators.memory import both_ways, live
 
 PREFERENCES = (
     "personalization_enabled BOOLEAN, proactivity STRING, quiz_appetite STRING, depth STRING, "
@@ -67,25 +69,30 @@ def callback_marks(turns: DataFrame) -> DataFrame:
         "user_id", F.col("created_at").alias("at"))
 
 
-def rank_candidates(hits: DataFrame, edges: DataFrame, concepts: DataFrame, as_of) -> DataFrame:
-    """Weak, confident neighbours of the concepts in play, best first.
+def rank_candidates(hits: DataFrame, turns: DataFrame, edges: DataFrame, concepts: DataFrame,
+                    history: DataFrame) -> DataFrame:
+    """Neighbours of the concepts in play that were weak, surely so, when the turn came; best first.
 
     Hits: turn_id, user_id, concept_id, rank_no (1 is the primary). The best
     edge per neighbour is kept; ties go to the earliest hit, then the type.
+    Edges to concepts that never were weak are left out before the fan-out.
     """
     primary = hits.filter(F.col("rank_no") == 1).select(
         "turn_id", F.col("concept_id").alias("primary_id"))
+    able = live(concepts).select("concept_id", "source_paper_ids").join(
+        asof.ever_weak(history, concepts), "concept_id", "left_semi")
+    graph = both_ways(edges).join(able.select(F.col("concept_id").alias("far")), "far", "left_semi")
     seen = hits.select("turn_id", "user_id", F.col("concept_id").alias("near"), "rank_no")
-    reach = seen.join(both_ways(edges), ["user_id", "near"]).join(primary, "turn_id").filter(
+    reach = seen.join(graph, ["user_id", "near"]).join(primary, "turn_id").filter(
         F.col("far") != F.col("primary_id"))
     best = reach.groupBy("turn_id", "user_id", F.col("far").alias("concept_id")).agg(
         F.max_by(F.struct("relationship_type", "confidence"),
                  F.struct("confidence", -F.col("rank_no"), "relationship_type")).alias("e"))
-    weak = scored(live(concepts), as_of).filter("is_weak").select(
-        "concept_id", "score", "effective_style", "source_paper_ids")
+    timed = best.join(turns.select("turn_id", F.col("created_at").alias("at")), "turn_id")
+    weak = asof.scored_at(timed, history, concepts).filter("is_weak").join(able, "concept_id")
     weight = F.round(F.col("e.confidence") * (1 - F.col("score")), 9)
     w = Window.partitionBy("turn_id").orderBy(F.desc("weight"), "concept_id")
-    return best.join(weak, "concept_id").withColumn("weight", weight).withColumn(
+    return weak.withColumn("weight", weight).withColumn(
         "place", F.row_number().over(w)).select(
         "turn_id", "user_id", "concept_id", F.col("e.relationship_type").alias("relationship_type"),
         "weight", "score", "effective_style", "source_paper_ids", "place")
@@ -102,10 +109,18 @@ def prior_papers(ranked: DataFrame, turns: DataFrame, scoped: DataFrame) -> Data
 
 
 def decide(turns: DataFrame, users: DataFrame, hits: DataFrame, edges: DataFrame,
-           concepts: DataFrame, scoped: DataFrame, as_of) -> DataFrame:
-    """Exactly one of a callback or a reason, for every answered turn."""
+           concepts: DataFrame, scoped: DataFrame, history: DataFrame) -> DataFrame:
+    """Exactly one of a callback or a reason, for every answered turn, by what was known before it.
+
+    Turns that a preference silences are not looked into.
+    """
     answered = turns.filter(F.col("agent_action").isin("answer", "callback"))
-    ranked = rank_candidates(hits, edges, concepts, as_of)
+    open_to = preferences(users).filter(
+        F.col("personalization_enabled") & F.col("callback_gap").isNotNull()).select("user_id")
+    asked = answered.join(open_to, "user_id", "left_semi").select("turn_id")
+    # read for the ranking, the reason and the choice: written once
+    ranked = materialise(rank_candidates(
+        hits.join(asked, "turn_id", "left_semi"), turns, edges, concepts, history), "ranked-callbacks")
     allowed = ranked.join(prior_papers(ranked, turns, scoped), ["turn_id", "concept_id"])
     chosen = allowed.groupBy("turn_id").agg(F.min_by(
         F.struct("concept_id", "relationship_type", "prior_paper_id", "effective_style", "score"),

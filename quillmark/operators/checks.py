@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
 from quillmark.functions.running import running
+from quillmark.operators import asof
 from quillmark.operators.callbacks import preferences, turns_since
-from quillmark.operators.memory import scored
 
 
 def gate(requests: DataFrame, sessions: DataFrame, users: DataFrame, concepts: DataFrame,
-         quizzes: DataFrame, as_of: Column) -> DataFrame:
-    """May a check be offered now? The first failing rule names the refusal.
+         quizzes: DataFrame, history: DataFrame) -> DataFrame:
+    """May a check be offered at this turn? The first failing rule names the refusal.
 
-    Requests are turns: turn_id, user_id, session_id, concept_id, created_at.
+    Requests are turns: turn_id, user_id, session_id, concept_id, created_at. The
+    concept is judged by the evidence before the turn.
     """
     prefs = preferences(users).select("user_id", "check_gap")
     state = sessions.select("session_id", "activity")
-    known = scored(concepts, as_of).select("concept_id", "score", "score_confidence")
+    asked = requests.filter(F.col("concept_id").isNotNull()).select(
+        "turn_id", "user_id", "concept_id", F.col("created_at").alias("at"))
+    known = asof.scored_at(asked, history, concepts).select("turn_id", "score", "score_confidence")
     gaps = turns_since(requests, quizzes.select("user_id", F.col("created_at").alias("at")))
     joined = (
         requests.select("turn_id", "user_id", "session_id", "concept_id")
         .join(state, "session_id", "left").join(prefs, "user_id", "left")
-        .join(known, "concept_id", "left")
+        .join(known, "turn_id", "left")
         .join(gaps.select("turn_id", "turns_since"), "turn_id", "left"))
     sure = (F.col("score") >= V.CHECK_SKIP_SCORE) & (
         F.col("score_confidence") >= V.CONFIDENCE_FLOOR)

@@ -70,6 +70,38 @@ def context_window(messages: DataFrame, budget: int = V.HISTORY_TOKENS) -> DataF
     return messages.join(context_places(messages, budget), ["session_id", "ordinal"])
 
 
+def context_places_at(requests: DataFrame, messages: DataFrame, budget: int = V.HISTORY_TOKENS) -> DataFrame:
+    """(turn_id, session_id, place) of the newest messages before each request that fit the budget.
+
+    Requests: turn_id, session_id, created_at. ``place`` counts a session's messages by (created_at, ordinal). Two
+    scans find the window's ends: by time, how many messages and how much cost came before the request; by cost, the
+    first message behind which no more than the budget was spent. The newest message always stays.
+    """
+    cost = X.token_estimate(F.col("content"))
+    if "token_count" in messages.columns:
+        cost = F.coalesce("token_count", cost)
+    said = messages.select(
+        "session_id", F.col("created_at").alias("moment"), F.lit(1).alias("seq"), F.col("ordinal").cast("long").alias("tie"),
+        F.greatest(cost, F.lit(1)).cast("long").alias("cost"), F.lit(None).cast("long").alias("turn_id"))
+    asked = requests.select(
+        "session_id", F.col("created_at").alias("moment"), F.lit(0).alias("seq"), F.col("turn_id").cast("long").alias("tie"),
+        F.lit(0).cast("long").alias("cost"), F.col("turn_id").cast("long").alias("turn_id"))
+    timed = running(said.unionByName(asked), ["session_id"], ["moment", "seq", "tie"],
+                    {"place": ("sum", F.col("seq")), "spent": ("sum", F.col("cost"))})
+    # a message fits if the cost before it is at least what was spent at the request less the budget
+    level = F.when(F.col("seq") == 1, F.col("spent") - F.col("cost")).otherwise(F.col("spent") - budget)
+    leveled = timed.select("session_id", "seq", "tie", "turn_id", "place", "spent", level.alias("level"))
+    found = running(leveled, ["session_id"], ["level", "seq", "place", "tie"],
+                    {"first": ("last", F.when(F.col("seq") == 1, F.col("place")))}, backward=True)
+    start = F.least(F.coalesce("first", F.col("place")), F.col("place"))
+    return found.filter((F.col("seq") == 0) & (F.col("place") > 0)).select(
+        "turn_id", "session_id", F.explode(F.sequence(start, F.col("place"))).alias("place"))
+
+
+def placed_messages(messages: DataFrame) -> DataFrame:
+    return running(messages, ["session_id"], ["created_at", "ordinal"], {"place": ("sum", F.lit(1).cast("long"))})
+
+
 def transcript(messages: DataFrame) -> DataFrame:
     return messages.orderBy("session_id", "ordinal")
 
@@ -163,15 +195,16 @@ def context_rows(requests: DataFrame, messages: DataFrame, hits: DataFrame, rela
                  decisions: DataFrame, preferences: DataFrame, papers: DataFrame) -> DataFrame:
     """One row per turn request with everything an answer is composed from.
 
-    History obeys the token budget, memory is at most five records with at most
+    History is what was said before the request; it obeys the token budget, memory is at most five records with at most
     three neighbours each, so every gathered list is small by construction.
     """
-    window = context_window(messages)
+    places = context_places_at(requests, messages)
+    window = placed_messages(messages).join(places, ["session_id", "place"])
     text = F.when(F.col("role") == "summary", F.concat(
         F.lit("Summary of earlier turns: "), F.col("content"))).otherwise(F.col("content"))
     speaker = F.when(F.col("role") == "assistant", "model").otherwise("user")
-    history = window.groupBy("session_id").agg(F.array_sort(F.collect_list(
-        F.struct("ordinal", speaker.alias("speaker"), text.alias("content")))).alias("history"))
+    history = window.groupBy("turn_id").agg(F.array_sort(F.collect_list(
+        F.struct("place", "ordinal", speaker.alias("speaker"), text.alias("content")))).alias("history"))
     best = Window.partitionBy("turn_id", "concept_id").orderBy(
         F.desc("edge_confidence"), "related_id", "relationship_type")
     three = related.withColumn("rn", F.row_number().over(best)).filter("rn <= 3").groupBy(
@@ -181,6 +214,6 @@ def context_rows(requests: DataFrame, messages: DataFrame, hits: DataFrame, rela
         three, ["turn_id", "concept_id"], "left").groupBy("turn_id").agg(F.array_sort(
             F.collect_list(F.struct("rank_no", "concept_id", "score", "near"))).alias("memory"))
     return (
-        requests.join(history, "session_id", "left").join(memory, "turn_id", "left")
+        requests.join(history, "turn_id", "left").join(memory, "turn_id", "left")
         .join(decisions, "turn_id", "left").join(preferences, "user_id", "left")
         .join(papers.select("paper_id", "title"), "paper_id", "left"))

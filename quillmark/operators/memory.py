@@ -9,7 +9,7 @@ from quillmark import vocab as V
 from quillmark.functions import expr as X
 from quillmark.functions.running import newest
 from quillmark.functions.similarity import blocked_top_k, order_key
-from quillmark.operators import learner
+from quillmark.operators import asof, learner
 
 PREFETCH = 5
 LIST_LIMIT = 300
@@ -83,11 +83,14 @@ def neighbours(roots: DataFrame, edges: DataFrame, concepts: DataFrame, depth: i
     return first.unionByName(second)
 
 
-def prefetch(queries: DataFrame, concepts: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
-    """Nearest concepts, their read-time score, and one row per related concept."""
-    hits = nearest(queries, concepts).join(
-        scored(concepts, as_of).select("concept_id", "user_id", "canonical_name", "score",
-                                       "score_confidence", "effective_style"), "concept_id")
+def prefetch(queries: DataFrame, concepts: DataFrame, edges: DataFrame, history: DataFrame) -> DataFrame:
+    """Nearest concepts, their score when the query was asked, and one row per related concept.
+
+    Queries carry ``asked_at``; ``history`` is ``asof.intervals``.
+    """
+    names = concepts.select("concept_id", "canonical_name")
+    near = nearest(queries, concepts).join(queries.select("query_id", "user_id", F.col("asked_at").alias("at")), "query_id")
+    hits = asof.scored_at(near, history, concepts).join(names, "concept_id")
     roots = hits.select(F.col("query_id").alias("call_id"), "user_id", "concept_id")
     related = neighbours(roots, edges, concepts).select(
         F.col("call_id").alias("query_id"), F.col("near").alias("concept_id"),

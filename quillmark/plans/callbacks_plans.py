@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import callbacks as H
 from quillmark.operators import retrieval as R
+from quillmark.plans import memory_plans  # noqa: F401  (graph views)
 from quillmark.plans.common import r6
+from quillmark.plans.learner_plans import known_at
 from quillmark.plans.registry import query
 from quillmark.plans.views import ORACLE_VIEWS, _DUCK, _SPARK, add_stored, dialect
 
@@ -32,18 +34,23 @@ SELECT turn_id, user_id, (seen - 1) - last_value(CASE WHEN callback_concept_id I
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turns_since
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, turn_id) AS seen,
     count(*) OVER (PARTITION BY user_id ORDER BY created_at) AS upto FROM raw_turns) q"""
+ORACLE_VIEWS["callback_reach"] = """
+SELECT h.turn_id, h.user_id, g.far AS concept_id, any_value(t.created_at) AS moment,
+  arg_max(struct_pack(relationship_type := g.relationship_type, confidence := g.confidence),
+    (g.confidence, -h.rank_no, g.relationship_type)) AS e
+FROM memory_hits h JOIN graph g ON g.user_id = h.user_id AND g.near = h.concept_id
+JOIN memory_hits p ON p.turn_id = h.turn_id AND p.rank_no = 1
+JOIN raw_turns t ON t.turn_id = h.turn_id
+WHERE g.far <> p.concept_id GROUP BY 1, 2, 3"""
+ORACLE_VIEWS["reach_known"] = known_at("SELECT turn_id, concept_id, moment FROM callback_reach", "turn_id")
 ORACLE_VIEWS["ranked_callbacks"] = """
 SELECT turn_id, user_id, concept_id, e.relationship_type, weight, score, effective_style,
   source_paper_ids, row_number() OVER (PARTITION BY turn_id ORDER BY weight DESC, concept_id) AS place
-FROM (SELECT b.turn_id, b.user_id, b.far AS concept_id, b.e, c.score, c.effective_style,
-    c.source_paper_ids, round(b.e.confidence * (1 - c.score), 9) AS weight
-  FROM (SELECT h.turn_id, h.user_id, g.far, arg_max(struct_pack(relationship_type :=
-      g.relationship_type, confidence := g.confidence), (g.confidence, -h.rank_no,
-      g.relationship_type)) AS e
-    FROM memory_hits h JOIN graph g ON g.user_id = h.user_id AND g.near = h.concept_id
-    JOIN memory_hits p ON p.turn_id = h.turn_id AND p.rank_no = 1
-    WHERE g.far <> p.concept_id GROUP BY ALL) b
-  JOIN live_concepts c ON c.concept_id = b.far AND c.is_weak) q"""
+FROM (SELECT b.turn_id, b.user_id, b.concept_id, b.e, k.score, k.effective_style,
+    c.source_paper_ids, round(b.e.confidence * (1 - k.score), 9) AS weight
+  FROM callback_reach b JOIN reach_known k ON k.turn_id = b.turn_id AND k.concept_id = b.concept_id
+  JOIN (SELECT concept_id, source_paper_ids FROM concepts) c ON c.concept_id = b.concept_id
+  WHERE k.score < 0.4 AND k.score_confidence >= 0.3) q"""
 ORACLE_VIEWS["prior_options"] = """
 SELECT r.turn_id, r.concept_id, min(r.paper_id) AS prior_paper_id
 FROM (SELECT turn_id, user_id, concept_id, unnest(source_paper_ids) AS paper_id
@@ -77,7 +84,11 @@ def hits(v):
 
 def _decisions(v):
     return H.decide(v.turns, v.users, hits(v), v.edges, v.concepts, R.scope(v.user_paper_access),
-                    v.as_of())
+                    v.concept_history)
+
+
+def _ranked(v):
+    return H.rank_candidates(hits(v), v.turns, v.edges, v.concepts, v.concept_history)
 
 
 add_stored("decisions", _decisions)
@@ -95,7 +106,7 @@ def h1(v):
 SELECT turn_id, concept_id, relationship_type, round(weight, 6) AS weight,
   CAST(place AS INTEGER) AS place FROM ranked_callbacks""")
 def h2(v):
-    return H.rank_candidates(hits(v), v.edges, v.concepts, v.as_of()).select(
+    return _ranked(v).select(
         "turn_id", "concept_id", "relationship_type", r6("weight"), "place")
 
 
@@ -106,8 +117,7 @@ def h3(v):
 
 @query("h4_prior_paper", "SELECT turn_id, concept_id, prior_paper_id FROM prior_options")
 def h4(v):
-    ranked = H.rank_candidates(hits(v), v.edges, v.concepts, v.as_of())
-    return H.prior_papers(ranked, v.turns, R.scope(v.user_paper_access))
+    return H.prior_papers(_ranked(v), v.turns, R.scope(v.user_paper_access))
 
 
 @query("h5_callback_decision", "SELECT * FROM decisions")

@@ -8,6 +8,7 @@ from quillmark.operators import checks as I
 from quillmark.operators import memory as M
 from quillmark.plans import callbacks_plans  # noqa: F401  (preference views)
 from quillmark.plans import memory_plans  # noqa: F401  (concept views)
+from quillmark.plans.learner_plans import known_at
 from quillmark.plans.registry import query
 from quillmark.plans.views import ORACLE_VIEWS
 
@@ -20,6 +21,10 @@ SELECT a.attempt_id, a.quiz_id, a.user_id, coalesce(nullif(left(trim(a.answer_te
     THEN 'unknown grade ' || returned_grade END AS grading_error FROM attempts a"""
 
 
+ORACLE_VIEWS["check_known"] = known_at(
+    "SELECT turn_id, user_id * 12 + turn_id % 12 AS concept_id, created_at AS moment FROM raw_turns", "turn_id")
+
+
 def _requests(v):
     return v.turns.withColumn("concept_id", F.col("user_id") * 12 + F.col("turn_id") % 12)
 
@@ -38,11 +43,10 @@ SELECT t.turn_id, t.user_id, CASE WHEN s.activity = 'QUIZ_PENDING' THEN 'quiz_al
   WHEN c.score >= 0.85 AND c.score_confidence >= 0.3 THEN 'quiz_not_needed'
   WHEN g.turns_since < p.check_gap THEN 'quiz_rate_limited' END AS refused
 FROM raw_turns t JOIN sessions s USING (session_id) JOIN reader_preferences p ON p.user_id = t.user_id
-LEFT JOIN (SELECT concept_id, score_confidence, score FROM all_scored) c
-  ON c.concept_id = t.user_id * 12 + t.turn_id % 12
+LEFT JOIN check_known c ON c.turn_id = t.turn_id
 JOIN gaps g ON g.turn_id = t.turn_id""")
 def i1(v):
-    return I.gate(_requests(v), v.sessions, v.users, v.concepts, v.quizzes, v.as_of())
+    return I.gate(_requests(v), v.sessions, v.users, v.concepts, v.quizzes, v.concept_history)
 
 
 _DRAFTS = """SELECT turn_id, CASE turn_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'tricky' WHEN 2 THEN 'hard'

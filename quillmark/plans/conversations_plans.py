@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmark.operators import asof
 from quillmark.operators import conversations as J
 from quillmark.operators import memory as M
 from quillmark.operators import retrieval as R
 from quillmark.plans import callbacks_plans as CP
 from quillmark.plans.common import i64, us
+from quillmark.plans.learner_plans import known_at
 from quillmark.plans.registry import query
+from quillmark.plans.views import ORACLE_VIEWS
 
 _EXCHANGES = """SELECT conv_id AS session_id, conv_id % (SELECT max(user_id) + 1 FROM events) AS user_id,
   conv_id * 1000 + turn AS turn_id, TIMESTAMP '2024-01-05 00:00:00' + INTERVAL '1' MINUTE * turn
@@ -129,37 +132,43 @@ def j10(v):
     return J.session_counters(v.turns).select("session_id", "turn_count", us("last_activity_at"))
 
 
+ORACLE_VIEWS["hits_known"] = known_at("""
+  SELECT h.turn_id, h.concept_id, t.created_at AS moment FROM memory_hits h
+  JOIN (SELECT turn_id, created_at FROM raw_turns) t USING (turn_id)""", "turn_id")
 _CONTEXT_REQUESTS = """SELECT turn_id, user_id, turn_id % (SELECT max(conv_id) + 1 FROM conversations)
-  AS session_id, paper_id FROM raw_turns WHERE agent_action IN ('answer', 'callback')"""
+  AS session_id, paper_id, created_at FROM raw_turns WHERE agent_action IN ('answer', 'callback')"""
 
 
 @query("j11_context_assembly", f"""
 WITH w AS (SELECT *, sum(cost) OVER x AS spent, row_number() OVER x AS rn
-  FROM (SELECT *, {_TOKENS.format('content')} AS cost FROM messages) m
-  WINDOW x AS (PARTITION BY session_id ORDER BY ordinal DESC ROWS UNBOUNDED PRECEDING)),
-hist AS (SELECT session_id, md5(string_agg(CAST(ordinal AS VARCHAR) || ':' || CASE WHEN role = 'assistant'
+  FROM (SELECT r.turn_id, m.*, {_TOKENS.format('content')} AS cost FROM ({_CONTEXT_REQUESTS}) r
+    JOIN messages m ON m.session_id = r.session_id AND m.created_at < r.created_at) m
+  WINDOW x AS (PARTITION BY turn_id ORDER BY created_at DESC, ordinal DESC ROWS UNBOUNDED PRECEDING)),
+hist AS (SELECT turn_id, md5(string_agg(CAST(ordinal AS VARCHAR) || ':' || CASE WHEN role = 'assistant'
     THEN 'model' ELSE 'user' END || ':' || CASE WHEN role = 'summary'
-    THEN 'Summary of earlier turns: ' ELSE '' END || content, '|' ORDER BY ordinal)) AS history
-  FROM w WHERE spent <= 3000 OR rn = 1 GROUP BY session_id),
+    THEN 'Summary of earlier turns: ' ELSE '' END || content, '|' ORDER BY created_at, ordinal)) AS history
+  FROM w WHERE spent <= 3000 OR rn = 1 GROUP BY turn_id),
 rel AS (SELECT *, row_number() OVER (PARTITION BY turn_id, concept_id ORDER BY confidence DESC, far,
     relationship_type) AS rn
   FROM (SELECT h.turn_id, h.concept_id, g.far, g.relationship_type, g.confidence FROM memory_hits h
         JOIN graph g ON g.user_id = h.user_id AND g.near = h.concept_id) r),
 near AS (SELECT turn_id, concept_id, string_agg(CAST(far AS VARCHAR), '+' ORDER BY rn) AS near FROM rel
   WHERE rn <= 3 GROUP BY 1, 2),
-mem AS (SELECT h.turn_id, string_agg(CAST(h.concept_id AS VARCHAR) || '>' || coalesce(near, ''), ','
+mem AS (SELECT h.turn_id, string_agg(CAST(h.concept_id AS VARCHAR) || '='
+    || coalesce(CAST(CAST(round(coalesce(k.score, c.user_override_score), 4) AS DECIMAL(9, 4)) AS VARCHAR), '?')
+    || '>' || coalesce(near, ''), ','
     ORDER BY rank_no) AS memory
   FROM memory_hits h JOIN live_concepts c ON c.concept_id = h.concept_id
+  LEFT JOIN hits_known k ON k.turn_id = h.turn_id AND k.concept_id = h.concept_id
   LEFT JOIN near n ON n.turn_id = h.turn_id AND n.concept_id = h.concept_id GROUP BY h.turn_id)
 SELECT q.turn_id, history, memory, d.suppressed_reason, d.concept_id AS callback_concept_id,
   d.effective_style, p.depth, p.preferred_style, title
-FROM ({_CONTEXT_REQUESTS}) q LEFT JOIN hist USING (session_id) LEFT JOIN mem USING (turn_id)
+FROM ({_CONTEXT_REQUESTS}) q LEFT JOIN hist USING (turn_id) LEFT JOIN mem USING (turn_id)
 LEFT JOIN decisions d ON d.turn_id = q.turn_id JOIN reader_preferences p ON p.user_id = q.user_id
 LEFT JOIN papers USING (paper_id)""")
 def j11(v):
     """Context rows for every answered turn."""
     h = CP.hits(v)
-    scored = M.scored(M.live(v.concepts), v.as_of()).select("concept_id", "score")
     roots = h.select(F.col("turn_id").alias("call_id"), "user_id", "concept_id")
     related = M.neighbours(roots, v.edges, v.concepts).select(
         F.col("call_id").alias("turn_id"), F.col("near").alias("concept_id"),
@@ -167,12 +176,16 @@ def j11(v):
         F.col("confidence").alias("edge_confidence"))
     prefs = CP.H.preferences(v.users).select("user_id", "depth", "preferred_style")
     decisions = v.decisions.drop("user_id").withColumnRenamed("concept_id", "callback_concept_id")
-    out = J.context_rows(v.sql(_CONTEXT_REQUESTS), v.messages, h.join(scored, "concept_id"),
+    timed = h.join(M.live(v.concepts).select("concept_id"), "concept_id", "left_semi").join(
+        v.turns.select("turn_id", F.col("created_at").alias("at")), "turn_id")
+    memory = asof.scored_at(timed, v.concept_history, v.concepts)
+    out = J.context_rows(v.sql(_CONTEXT_REQUESTS), v.messages, memory,
                          related, decisions, prefs, v.papers)
     line = lambda m: F.concat(
         m["ordinal"].cast("string"), F.lit(":"), m["speaker"], F.lit(":"), m["content"])
     record = lambda m: F.concat(
-        m["concept_id"].cast("string"), F.lit(">"), F.array_join(F.transform(F.coalesce(
+        m["concept_id"].cast("string"), F.lit("="), F.coalesce(F.round(m["score"], 4).cast("decimal(9,4)").cast("string"), F.lit("?")),
+        F.lit(">"), F.array_join(F.transform(F.coalesce(
             m["near"], F.array()), lambda x: x["related_id"]), "+"))
     return out.select(
         "turn_id", F.md5(F.array_join(F.transform("history", line), "|")).alias("history"),

@@ -17,6 +17,23 @@ DECAY = (f"CASE WHEN last_reinforced_at IS NULL OR {_DAYS} <= 0 THEN 1.0 "
 SCORE = f"coalesce(user_override_score, understanding_score * ({DECAY}))"
 
 
+def known_at(pairs: str, ident: str) -> str:
+    """Twin of the as-of state: all evidence of each (``ident``, concept_id, moment) of ``pairs`` before its moment."""
+    days = "(epoch_us(moment) - epoch_us(last_at)) / 86400000000.0"
+    before = f"({pairs}) p JOIN observations o ON o.concept_id = p.concept_id AND o.observed_at < p.moment"
+    return f"""
+SELECT *, round(coalesce(user_override_score, raw_score * CASE WHEN {days} <= 0 THEN 1.0
+    ELSE greatest(0.25, pow(0.5, {days} / 30.0)) END), 9) AS score
+FROM (SELECT p.{ident}, p.concept_id, any_value(p.moment) AS moment, max(o.observed_at) AS last_at,
+    CASE WHEN sum(weight) > 0 THEN round(sum(weight * target) / sum(weight), 9) END AS raw_score,
+    CASE WHEN sum(weight) > 0 THEN round(sum(weight) / (sum(weight) + 0.7), 9) ELSE 0.0 END AS score_confidence FROM {before} GROUP BY 1, 2) k
+LEFT JOIN (SELECT {ident}, concept_id, arg_max(style, (n, last, style)) AS effective_style
+  FROM (SELECT p.{ident}, p.concept_id, style_in_play AS style, count(*) AS n, max(o.observed_at) AS last
+    FROM {before} WHERE resolves_observation_id IS NOT NULL AND style_in_play IS NOT NULL GROUP BY 1, 2, 3) s
+  GROUP BY 1, 2) e USING ({ident}, concept_id)
+LEFT JOIN (SELECT concept_id, user_override_score FROM concepts) c USING (concept_id)"""
+
+
 def raw_names(v):
     """Untrusted signal rows: the name is free text, types and styles may be unknown."""
     return v.sql("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import memory as M
 from quillmark.operators import retrieval as R
 from quillmark.plans.common import i64, r6, us
-from quillmark.plans.learner_plans import SCORE
+from quillmark.plans.learner_plans import SCORE, known_at
 from quillmark.plans.registry import query
 from quillmark.plans.views import ORACLE_VIEWS
 
@@ -22,6 +22,9 @@ SELECT * FROM (SELECT query_id, user_id, concept_id, sim, row_number() OVER (PAR
       q.query_vector::DOUBLE[], c.embedding::DOUBLE[]) AS sim
     FROM queries q JOIN live_concepts c ON c.user_id = q.user_id AND c.embedding IS NOT NULL) a) b
 WHERE rank_no <= 5 AND round(sim, 9) >= 0.25"""
+ORACLE_VIEWS["prefetch_known"] = known_at("""
+  SELECT query_id, concept_id, asked_at AS moment FROM near_concepts JOIN (SELECT query_id, asked_at FROM queries) q
+    USING (query_id)""", "query_id")
 ORACLE_VIEWS["graph"] = """
 SELECT e.user_id, e.near, e.far, e.relationship_type, e.confidence, c.canonical_name AS far_name
 FROM (SELECT user_id, source_concept_id AS near, target_concept_id AS far, relationship_type,
@@ -77,13 +80,16 @@ def f3(v):
 
 
 @query("f4_prefetch", """
-SELECT n.query_id, n.concept_id, CAST(rank_no AS INTEGER) AS rank_no, round(c.score, 6) AS score,
+SELECT n.query_id, n.concept_id, CAST(rank_no AS INTEGER) AS rank_no,
+  round(coalesce(k.score, c.user_override_score), 6) AS score, k.effective_style,
   g.far AS related_id, g.relationship_type, g.confidence AS edge_confidence
 FROM near_concepts n JOIN live_concepts c ON c.concept_id = n.concept_id
+LEFT JOIN prefetch_known k ON k.query_id = n.query_id AND k.concept_id = n.concept_id
 LEFT JOIN graph g ON g.user_id = n.user_id AND g.near = n.concept_id""")
 def f4(v):
-    return M.prefetch(v.queries, v.concepts, v.edges, v.as_of()).select(
-        "query_id", "concept_id", "rank_no", r6("score"), "related_id", "relationship_type",
+    """Each hit with what was known of it when the query was asked."""
+    return M.prefetch(v.queries, v.concepts, v.edges, v.concept_history).select(
+        "query_id", "concept_id", "rank_no", r6("score"), "effective_style", "related_id", "relationship_type",
         "edge_confidence")
 
 

@@ -121,7 +121,7 @@ SELECT section_id, max(paper_id) AS paper_id, CAST(section_id % 10 AS INT) AS or
 FROM chunks GROUP BY section_id"""
 
 SHARED["queries"] = f"""
-SELECT e.vec_id AS query_id, v.user_id, e.embedding AS query_vector,
+SELECT e.vec_id AS query_id, v.user_id, v.ts AS asked_at, e.embedding AS query_vector,
   'query ' || CAST(e.vec_id AS STRING) AS query_text,
   CASE WHEN e.vec_id % 4 = 0 THEN <<at <<arr {_ROLES}>>|1 + (e.vec_id % 10)>>
        WHEN e.vec_id % 4 = 1 THEN 'no such role' END AS section_role,
@@ -482,6 +482,12 @@ def _states(v: "Views") -> DataFrame:
     return learner.states(v.observations)
 
 
+def _concept_history(v: "Views") -> DataFrame:
+    from quillmark.operators import asof
+
+    return asof.intervals(v.observations)
+
+
 def _turns(v: "Views") -> DataFrame:
     from quillmark.operators import conversations
 
@@ -490,11 +496,12 @@ def _turns(v: "Views") -> DataFrame:
 
 BUILDERS["observations"] = _observations
 BUILDERS["states"] = _states
+BUILDERS["concept_history"] = _concept_history
 BUILDERS["turns"] = _turns
 
 # Tables a deployment keeps on disk. They are derived once per session, written
 # to the shared folder, and read from there by every job that needs them.
-STORED = {"observations", "states", "turns", "concepts", "edges", "user_paper_access"}
+STORED = {"observations", "states", "concept_history", "turns", "concepts", "edges", "user_paper_access"}
 _stored_paths: dict[tuple, tuple[str, DataFrame]] = {}
 
 ORACLE_VIEWS = {k: dialect(s, _DUCK) for k, s in {**SHARED, **DUCK_SQL}.items()}

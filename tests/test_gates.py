@@ -35,7 +35,11 @@ def decide(spark, *, prefs="{}", hits=True, weak=0.31, papers=(1,), grants=((1,
     rows = [(n - 1, 1, 20, 1)] if hits else [(99, 1, 20, 1)]
     hit = spark.createDataFrame(rows, "turn_id INT, user_id INT, concept_id INT, rank_no INT")
     scoped = spark.createDataFrame(list(grants) or [(5, 5)], "user_id INT, paper_id INT")
-    out = H.decide(turns, users, hit, edges, concepts, scoped, F.lit(NOW).cast("timestamp_ntz"))
+    history = concepts.select(
+        "user_id", "concept_id", F.lit(1).alias("observation_id"), F.lit(NOW).cast("timestamp_ntz").alias("valid_from"),
+        F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.col("understanding_score").alias("raw_score"),
+        "score_confidence", "effective_style", "last_reinforced_at")
+    out = H.decide(turns, users, hit, edges, concepts, scoped, history)
     return out.filter(f"turn_id = {n - 1}").first()
 
 
