@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
+from quillmark import vocab as V
 from quillmark.plans.common import r6, us
 from quillmark.plans.registry import query
-from quillmark.plans.views import Views
+from quillmark.plans.views import Views, words
 from quillmark.streaming import jobs as S
 
 _TURN = """SELECT event_id AS turn_id, user_id, {ts} AS created_at,
@@ -39,16 +42,39 @@ def m1(v):
     """Many small batches over the evidence log; must equal the batch job."""
     log = v.spark.readStream.schema(v.observations.schema).option("maxFilesPerTrigger", 2).parquet(
         v.path_of("observations"))
-    out = S.drain_batches(log, "m1", S.state_partials)
-    return S.state_from_partials(v.spark.read.parquet(out)).select(
+    out = S.drain_batches(log, "m1", S.state_partials(fan=3))
+    return S.state_from_partials(S.current_partials(v.spark, out)).select(
         "user_id", "concept_id", r6("total_weight"), r6("raw_score"), "evidence_count",
         us("last_reinforced_at"), "effective_style")
 
 
-@query("m2_stateful_pairing", "SELECT observation_id, resolves_observation_id FROM paired")
+def _passed(column: str, newest: str) -> str:
+    """Rows that the last watermark of a run has passed: those of hours that closed an hour before the newest row."""
+    return f"epoch_ms(time_bucket(INTERVAL 1 HOUR, {column})) + 3600000 <= epoch_ms(({newest})) - 3600000"
+
+
+_NEWEST_STEP = f"SELECT max(observed_at) FROM signals WHERE signal_type IN ({words(V.STRUGGLES + V.RESOLVING)})"
+_PAIRS = f"""SELECT p.observation_id, p.resolves_observation_id FROM paired p
+JOIN signals c ON c.observation_id = p.observation_id
+JOIN signals o ON o.observation_id = p.resolves_observation_id
+WHERE {_passed('c.observed_at', _NEWEST_STEP)}"""
+
+
+def _signal_stream(v):
+    return _live(v, "signals", "").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+
+
+@query("m2_stateful_pairing", _PAIRS)
 def m2(v):
     _rocks(v)
-    return S.drain(S.pair_stream(_live(v, "signals", "")), "m2")
+    return S.drain(S.pair_stream(_signal_stream(v)), "m2")
+
+
+@query("m2_expiring_pairing", _PAIRS + " AND c.observed_at - o.observed_at < INTERVAL 60 HOUR")
+def m2x(v):
+    """Struggles are forgotten after sixty hours of event time."""
+    _rocks(v)
+    return S.drain(S.pair_stream(_signal_stream(v), timedelta(hours=60)), "m2x")
 
 
 @query("m3_rolling_intake", """
@@ -65,8 +91,8 @@ def m3(v):
     path = S.new_path(v.spark, "uploads")
     v.files.repartition(4, "path").write.parquet(path)
     stream = v.spark.readStream.schema(v.files.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = S.drain_batches(stream, "m3", S.intake_batches(v.known_papers))
-    return v.spark.read.parquet(out).groupBy("content_hash").agg(
+    _rocks(v)
+    return S.drain(S.intake_stream(stream, v.known_papers), "m3").groupBy("content_hash").agg(
         F.count("*").alias("uploads"), F.count_if(F.col("action") == "ingest").alias("ingested"))
 
 
@@ -131,7 +157,8 @@ SELECT turn_id, coalesce(seen - 1 - last_value(CASE WHEN fired THEN seen END IGN
     (PARTITION BY user_id ORDER BY ts, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)
   AS turns_since
 FROM (SELECT event_id AS turn_id, user_id, ts, event_id % 17 = 0 AND event_id % 10 < 8 AS fired,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen FROM events) q""")
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen FROM events) q
+WHERE """ + _passed("ts", "SELECT max(ts) FROM events"))
 def m6(v):
     _rocks(v)
     return S.drain(S.rate_limit_stream(_turn_stream(v)), "m6")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,21 +51,87 @@ def drain_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, in
 
 
 # --- learner state ----------------------------------------------------------
-def state_partials(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Weighted sums of one batch. Sums only add, so late or reordered rows are fine
-    and no state has to be held between batches."""
-    style = F.when(F.col("resolves_observation_id").isNotNull(), F.col("style_in_play"))
-    partial = batch.groupBy("user_id", "concept_id", style.alias("style")).agg(
-        F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("target")).alias("wt"),
-        F.count("*").alias("n"), F.max("observed_at").alias("last"))
-    partial.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+PARTIAL = "user_id LONG, concept_id LONG, style STRING, w DOUBLE, wt DOUBLE, n LONG, last TIMESTAMP_NTZ"
+FAN = 8
+_LISTED = "batch_id LONG, level INT, folder STRING"
+
+
+def state_partials(fan: int = FAN) -> Callable[[DataFrame, int, str], None]:
+    """Weighted sums of each batch, merged in generations: ``fan`` sets of one level become one of the next.
+
+    Sums only add, so late or reordered rows are fine. A batch adds its set to the list the batch before left, and
+    writes the list last: readers take the newest list and so one consistent set, of at most ``fan - 1`` folders a
+    level. A batch that is run again starts from the same list and overwrites what it wrote.
+    """
+    def handle(batch: DataFrame, batch_id: int, out: str) -> None:
+        spark = batch.sparkSession
+        sets = _listed(spark, out, batch_id - 1) if batch_id else []
+        style = F.when(F.col("resolves_observation_id").isNotNull(), F.col("style_in_play"))
+        rows = batch.select("user_id", "concept_id", style.alias("style"), F.col("weight").alias("w"),
+                            (F.col("weight") * F.col("target")).alias("wt"), F.lit(1).alias("n"),
+                            F.col("observed_at").alias("last"))
+        folder, level = f"{out}/sets/{batch_id}-0", 0
+        _folded(rows).write.mode("overwrite").parquet(folder)
+        sets.append((level, folder))
+        while sum(own == level for own, _ in sets) >= fan:
+            merged = [f for own, f in sets if own == level]
+            level += 1
+            folder = f"{out}/sets/{batch_id}-{level}"
+            _folded(spark.read.schema(PARTIAL).parquet(*merged)).write.mode("overwrite").parquet(folder)
+            sets = [s for s in sets if s[0] != level - 1] + [(level, folder)]
+        spark.createDataFrame([(batch_id, *s) for s in sets], _LISTED).coalesce(1).write.mode(
+            "overwrite").parquet(f"{out}/lists/{batch_id}")
+        _forget(spark, out, batch_id, fan)
+
+    return handle
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id", "concept_id", "style").agg(
+        F.sum("w").alias("w"), F.sum("wt").alias("wt"), F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def _listed(spark: SparkSession, out: str, batch_id: int) -> list[tuple[int, str]]:
+    """The sets that are current after a batch: a few rows."""
+    rows = spark.read.schema(_LISTED).parquet(f"{out}/lists/{batch_id}").agg(
+        F.array_sort(F.collect_list(F.struct("level", "folder")))).first()[0]
+    return [(r["level"], r["folder"]) for r in rows]
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def _forget(spark: SparkSession, out: str, batch_id: int, fan: int) -> None:
+    """Remove lists that ``fan`` newer ones have followed, and the sets that no list left names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    lists = [int(n) for n in _names(spark, f"{out}/lists") if n.isdigit()]
+    kept = [n for n in lists if n > batch_id - fan]
+    if len(kept) == len(lists):
+        return
+    for n in set(lists) - set(kept):
+        fs.delete(hadoop.Path(f"{out}/lists/{n}"), True)
+    used = {f.rsplit("/", 1)[1] for n in kept for _, f in _listed(spark, out, n)}
+    for name in _names(spark, f"{out}/sets"):
+        if name not in used and int(name.split("-")[0]) <= batch_id:
+            fs.delete(hadoop.Path(f"{out}/sets/{name}"), True)
+
+
+def current_partials(spark: SparkSession, out: str) -> DataFrame:
+    """The sets of the newest list."""
+    found = [int(n) for n in _names(spark, f"{out}/lists") if n.isdigit()]
+    if not found:
+        return spark.createDataFrame([], PARTIAL)
+    return spark.read.schema(PARTIAL).parquet(*[f for _, f in _listed(spark, out, max(found))])
 
 
 def state_from_partials(partials: DataFrame) -> DataFrame:
     """Current state: the partial sums of all batches folded together."""
-    per_style = partials.groupBy("user_id", "concept_id", "style").agg(
-        F.sum("w").alias("w"), F.sum("wt").alias("wt"), F.sum("n").alias("n"),
-        F.max("last").alias("last"))
+    per_style = _folded(partials)
     rank = F.when(F.col("style").isNotNull(), F.struct("n", "last", "style"))
     out = per_style.groupBy("user_id", "concept_id").agg(
         F.sum("w").alias("total_weight"), F.sum("wt").alias("wt"),
@@ -77,84 +144,141 @@ def state_from_partials(partials: DataFrame) -> DataFrame:
 
 
 # --- pairing and rate limits: keyed state -----------------------------------
-class OpenStruggles(StatefulProcessor):
-    """A stack of open struggles per reader and concept; resolutions pop it.
+class InOrder(StatefulProcessor):
+    """Takes a key's rows in the order of their times, whatever order they arrive in.
 
-    Each level is one map entry, so a push or pop touches one value however
-    deep the stack is. What one call holds is one key's share of a micro-batch,
-    which the source's ``maxFilesPerTrigger`` bounds. With ``keep_ms`` a struggle
-    that nothing resolves for so long is forgotten, so state does not grow for ever.
+    Rows are columns (at, ident, step) of whole numbers, ``at`` in microseconds. They wait in state by span of
+    event time and are taken when the watermark has passed the span's end, so only one Arrow batch of arriving
+    rows, or one span of waiting ones, is in memory, however many rows a key has in a micro-batch. Rows behind the
+    watermark are left out.
     """
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def __init__(self, span_ms: int):
+        self.span = span_ms
 
     def init(self, handle) -> None:
-        self.levels = handle.getMapState(
-            "levels", "level BIGINT", "observation_id BIGINT", ttlDurationMs=self.keep_ms)
-        self.depth = handle.getValueState("depth", "depth BIGINT", ttlDurationMs=self.keep_ms)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span BIGINT", "rows BINARY")
+        self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["observed_at", "observation_id"])
-        depth = self.depth.get()[0] if self.depth.exists() else 0
+        for pdf in rows:
+            data = pdf[["at", "ident", "step"]].to_numpy(np.int64)
+            spans = data[:, 0] // (self.span * 1000)
+            for span in np.unique(spans).tolist():
+                old = self.waiting.getValue((span,)) if self.waiting.containsKey((span,)) else (b"",)
+                self.waiting.updateValue((span,), (bytes(old[0]) + data[spans == span].tobytes(),))
+                self.handle.registerTimer((span + 1) * self.span)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        span = now // self.span - 1
+        if now % self.span == 0 and self.waiting.containsKey((span,)):
+            data = np.frombuffer(bytes(self.waiting.getValue((span,))[0]), np.int64).reshape(-1, 3)
+            self.waiting.removeKey((span,))
+            yield from self.take(data[np.lexsort((data[:, 1], data[:, 0]))].tolist())
+        self.passed(now)
+
+    def passed(self, now: int) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
+class OpenStruggles(InOrder):
+    """A stack of open struggles per reader and concept; resolutions pop it.
+
+    Each level is one map entry, so a push or pop touches one value however deep the stack is. With ``keep_ms`` a
+    struggle that nothing resolves for so long is forgotten: the oldest lie at the bottom, where ``base`` counts the
+    forgotten ones, and a timer clears them away.
+    """
+
+    def __init__(self, span_ms: int, keep_ms: int | None = None):
+        super().__init__(span_ms)
+        self.keep = keep_ms
+
+    def open(self, handle) -> None:
+        self.levels = handle.getMapState("levels", "level BIGINT", "observation_id BIGINT, at BIGINT")
+        self.depth = handle.getValueState("depth", "base BIGINT, top BIGINT")
+
+    def take(self, rows: list[list[int]]) -> Iterator[pd.DataFrame]:
+        base, top = self.depth.get() if self.depth.exists() else (0, 0)
         pairs = []
-        for obs, step in zip(pdf["observation_id"].tolist(), pdf["step"].tolist()):
+        for at, ident, step in rows:
             if step > 0:
-                depth += 1
-                self.levels.updateValue((depth,), (obs,))
-            elif depth > 0:
-                if self.levels.containsKey((depth,)):  # not forgotten meanwhile
-                    pairs.append((obs, self.levels.getValue((depth,))[0]))
-                    self.levels.removeKey((depth,))
-                depth -= 1
-        self.depth.update((depth,))
+                top += 1
+                self.levels.updateValue((top,), (ident, at))
+                if self.keep:
+                    self.handle.registerTimer(at // 1000 + self.keep + 1)
+            elif top > base:
+                opened, since = self.levels.getValue((top,))
+                self.levels.removeKey((top,))
+                top -= 1
+                if not self.keep or at - since < self.keep * 1000:
+                    pairs.append((ident, opened))
+        self.depth.update((base, top))
         if pairs:
             yield pd.DataFrame(pairs, columns=["observation_id", "resolves_observation_id"])
 
-    def close(self) -> None:
-        pass
+    def passed(self, now: int) -> None:
+        if not self.keep or not self.depth.exists():
+            return
+        base, top = self.depth.get()
+        low = base
+        while low < top and self.levels.getValue((low + 1,))[1] < (now - self.keep) * 1000:
+            low += 1
+            self.levels.removeKey((low,))
+        if low == top and not any(True for _ in self.waiting.keys()):
+            self.depth.clear()  # nothing open and nothing waiting: the key leaves no state
+        elif low > base:
+            self.depth.update((low, top))
 
 
-def pair_stream(signals: DataFrame, keep: timedelta | None = None) -> DataFrame:
-    """Struggle pairing as rows arrive; equals the batch job when they arrive in order, within ``keep``.
+def _ordered(rows: DataFrame, time: str, ident: str, step: Column, delay: str, *keys: str) -> DataFrame:
+    return rows.withWatermark(time, delay).select(
+        *keys, time, F.unix_micros(time).alias("at"), F.col(ident).cast("long").alias("ident"),
+        step.cast("long").alias("step"))
 
-    Expiry runs on processing time, for which Spark plans batch after batch: set ``keep`` for queries that run
-    on, and leave it out for those that stop when they have read everything.
+
+def pair_stream(signals: DataFrame, keep: timedelta | None = None, delay: str = "1 hour",
+                span: timedelta = timedelta(hours=1)) -> DataFrame:
+    """Struggle pairing as the watermark passes; equals the batch job over the rows that are not too late.
+
+    Times are timestamps. With ``keep`` a struggle older than that is not resolved any more and leaves the state.
     """
     step = F.when(F.col("signal_type").isin(*V.STRUGGLES), 1).when(
         F.col("signal_type").isin(*V.RESOLVING), -1)
-    steps = signals.select("user_id", "concept_id", "observed_at", "observation_id",
-                           step.alias("step")).filter(F.col("step").isNotNull())
+    steps = _ordered(signals.filter(step.isNotNull()), "observed_at", "observation_id", step, delay,
+                     "user_id", "concept_id")
+    ms = timedelta(milliseconds=1)
     return steps.groupBy("user_id", "concept_id").transformWithStateInPandas(
-        OpenStruggles(keep // timedelta(milliseconds=1) if keep else None),
-        "observation_id BIGINT, resolves_observation_id BIGINT", "Append", "ProcessingTime" if keep else "None")
+        OpenStruggles(span // ms, keep // ms if keep else None),
+        "observation_id BIGINT, resolves_observation_id BIGINT", "Append", "EventTime")
 
 
-class TurnsSinceFire(StatefulProcessor):
+class TurnsSinceFire(InOrder):
     """Turns of a reader since something last fired; -1 before the first time."""
 
-    def init(self, handle) -> None:
+    def open(self, handle) -> None:
         self.count = handle.getValueState("count", "n BIGINT")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["created_at", "turn_id"])
+    def take(self, rows: list[list[int]]) -> Iterator[pd.DataFrame]:
         n = self.count.get()[0] if self.count.exists() else -1
         since = []
-        for fired in pdf["fired"].tolist():
+        for _, _, fired in rows:
             since.append(n)
             n = 0 if fired else (n + 1 if n >= 0 else n)
         self.count.update((n,))
-        yield pd.DataFrame({"turn_id": pdf["turn_id"].to_numpy(), "turns_since": since})
-
-    def close(self) -> None:
-        pass
+        yield pd.DataFrame({"turn_id": [r[1] for r in rows], "turns_since": since})
 
 
-def rate_limit_stream(turns: DataFrame) -> DataFrame:
+def rate_limit_stream(turns: DataFrame, delay: str = "1 hour", span: timedelta = timedelta(hours=1)) -> DataFrame:
     """turn_id, turns_since per turn. Turns need user_id, created_at, turn_id, fired."""
-    kept = turns.select("user_id", "created_at", "turn_id", "fired")
+    kept = _ordered(turns, "created_at", "turn_id", F.col("fired"), delay, "user_id")
     return kept.groupBy("user_id").transformWithStateInPandas(
-        TurnsSinceFire(), "turn_id BIGINT, turns_since BIGINT", "Append", "None")
+        TurnsSinceFire(span // timedelta(milliseconds=1)), "turn_id BIGINT, turns_since BIGINT", "Append", "EventTime")
 
 
 # --- windows ----------------------------------------------------------------
@@ -200,33 +324,56 @@ def late_batches(length: str = "1 hour", delay: str = "1 hour") -> Callable[[Dat
 
 
 # --- intake and retention ---------------------------------------------------
-def intake_batches(papers: DataFrame) -> Callable[[DataFrame, int, str], None]:
-    """Route each new file once by content; what earlier batches took in is known."""
+class SeenContent(StatefulProcessor):
+    """What is known of a content hash: null state, or the processing status of its paper.
 
-    def handle(batch: DataFrame, batch_id: int, out: str) -> None:
-        spark = batch.sparkSession
-        known = papers.select("content_hash", "paper_id", "processing_status")
-        earlier = _earlier(spark, out, batch_id)
-        if earlier is not None:
-            taken = earlier.filter("action = 'ingest'").select(
-                "content_hash", F.lit("queued").alias("seen_status")).distinct()
-            known = known.join(taken, "content_hash", "full_outer").select(
-                "content_hash", F.coalesce("paper_id", F.lit(-1)).alias("paper_id"),
-                F.coalesce("seen_status", "processing_status").alias("processing_status"))
-        accepted = maintenance.intake(batch).filter("reject_reason IS NULL").select(
-            "path", "content_hash")
-        maintenance.route(accepted, known).select("path", "content_hash", "action").write.mode(
-            "overwrite").parquet(f"{out}/batch_id={batch_id}")
+    The first path of a batch is taken in if the content is new or its paper failed. Rows are passed on as they
+    come; only the smallest path so far is held back. With ``keep_ms`` a hash that no upload repeats for so long is
+    forgotten (an upload after that is taken in again, which replaces the paper by itself).
+    """
 
-    return handle
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.status = handle.getValueState("status", "status STRING", ttlDurationMs=self.keep_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.status.update((initialState["processing_status"].iloc[0],))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.status.get()[0] if self.status.exists() else None
+        first = None
+        for pdf in rows:
+            paths = pdf["path"].sort_values().tolist()
+            least, others = paths[0], paths[1:]
+            if first is None or least < first:
+                least, first = first, least
+            if least is not None:
+                others.append(least)
+            if others:
+                yield self.acted(key, others, "canonicalize")
+        fresh = known is None or known == "failed"
+        self.status.update(("queued" if fresh else known,))
+        yield self.acted(key, [first], "ingest" if fresh else "canonicalize")
+
+    def acted(self, key, paths: list[str], action: str) -> pd.DataFrame:
+        return pd.DataFrame({"path": paths, "content_hash": key[0], "action": action})
+
+    def close(self) -> None:
+        pass
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    if batch_id == 0:
-        return None
-    return spark.read.option("basePath", out).schema(
-        "path STRING, content_hash STRING, action STRING, batch_id INT").parquet(out).filter(
-        F.col("batch_id") < batch_id)
+def intake_stream(files: DataFrame, papers: DataFrame, keep: timedelta | None = None) -> DataFrame:
+    """Route each new file once by content. Known papers fill the state before the first batch; after that a batch
+    touches only the hashes of its own files, however much has been taken in."""
+    accepted = maintenance.intake(files).filter("reject_reason IS NULL").select("content_hash", "path")
+    known = papers.groupBy("content_hash").agg(F.max_by(
+        "processing_status", F.struct(F.col("processing_status") != "failed", "paper_id")).alias("processing_status"))
+    return accepted.groupBy("content_hash").transformWithStateInPandas(
+        SeenContent(keep // timedelta(milliseconds=1) if keep else None),
+        "path STRING, content_hash STRING, action STRING", "Append", "ProcessingTime" if keep else "None",
+        initialState=known.groupBy("content_hash"))
 
 
 def retain_batches(days: int = V.RETENTION_DAYS) -> Callable[[DataFrame, int, str], None]:
