@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
-from quillmark.functions.shared import materialise
+from quillmark.functions.shared import materialise, new_path
 from quillmark.functions.similarity import blocked_top_k, order_key
 
 CAND = ["user_id", "candidate_no"]
@@ -25,19 +26,27 @@ def _keys(kind: int, key: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
+def name_keys(concepts: DataFrame) -> DataFrame:
+    """(user_id, concept_id, kind, key) of unmerged concepts: the name key (0) and every raw alias (1)."""
+    live = concepts.filter(F.col("merged_into_id").isNull())
+    return live.select("user_id", "concept_id", _keys(0, F.col("normalized_name")).alias("k")).unionByName(
+        live.select("user_id", "concept_id", F.explode(F.transform("aliases", lambda a: _keys(1, a))).alias("k"))).select(
+        "user_id", "concept_id", "k.*")
+
+
 def exact_match(candidates: DataFrame, concepts: DataFrame) -> DataFrame:
-    """The existing concept a candidate names, by name key or by raw alias.
+    """The existing concept a candidate names, by name key or by raw alias."""
+    return match_keys(candidates, name_keys(concepts))
 
-    Both sides become tagged key rows, so this is one equality join; the best
+
+def match_keys(candidates: DataFrame, keys: DataFrame) -> DataFrame:
+    """The owner of a key that a candidate names.
+
+    Both sides are tagged key rows, so this is one equality join; the best
     owner of each key is chosen before the join, which keeps a very common
     alias to one row per reader.
     """
-    live = concepts.filter(F.col("merged_into_id").isNull())
-    owned = live.select("user_id", "concept_id", _keys(0, F.col("normalized_name")).alias("k")) \
-        .unionByName(live.select("user_id", "concept_id", F.explode(F.transform(
-            "aliases", lambda a: _keys(1, a))).alias("k")))
-    owners = owned.select("user_id", "concept_id", "k.*").groupBy("user_id", "kind", "key").agg(
-        F.min("concept_id").alias("concept_id"))
+    owners = keys.groupBy("user_id", "kind", "key").agg(F.min("concept_id").alias("concept_id"))
     said = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     probes = F.concat(F.transform(said, lambda s: _keys(0, X.name_key(s))),
                       F.transform(said, lambda s: _keys(1, s)))
@@ -84,13 +93,15 @@ def verdict_gaps(pairs: DataFrame, verdicts: DataFrame, batch: list[str]) -> Dat
         F.count_if(F.col("a").isNull()).alias("unasked"))
 
 
-def resolve_round(candidates: DataFrame, concepts: DataFrame, verdicts: DataFrame) -> DataFrame:
+def resolve_round(candidates: DataFrame, concepts: DataFrame, verdicts: DataFrame,
+                  keys: DataFrame | None = None) -> DataFrame:
     """Recall for every candidate of the round before anything is committed.
 
     Each stage only sees what the one before left open. Adds ``matched_id``
     (existing concept, by name or by merge), ``nearest_id`` and the outcome.
     """
-    exact = exact_match(candidates, concepts).withColumnRenamed("concept_id", "exact_id")
+    keys = name_keys(concepts) if keys is None else keys
+    exact = match_keys(candidates, keys).withColumnRenamed("concept_id", "exact_id")
     rest = candidates.join(exact, CAND, "left_anti")
     near = nearest_existing(rest, concepts).withColumn("band", band(F.col("similarity")))
     pairs = near.filter(F.col("band") == "ambiguous").select(
@@ -101,32 +112,75 @@ def resolve_round(candidates: DataFrame, concepts: DataFrame, verdicts: DataFram
     return joined.withColumn("matched_id", F.coalesce("exact_id", merged))
 
 
-def commit_concepts(concepts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Matched concepts gain papers and aliases; the rest are inserted once per name key.
+class Library(NamedTuple):
+    """A reader's graph in long form: lists that grow are rows. ``at`` orders the rows of a concept."""
 
-    A name key that already exists (a concurrent twin) folds into its owner.
+    concepts: DataFrame  # one row per concept, without its lists
+    aliases: DataFrame  # user_id, concept_id, alias, at
+    sources: DataFrame  # user_id, concept_id, paper_id, at
+    edges: DataFrame
+
+
+def _at(round_no: Column, candidate: Column, place: Column) -> Column:
+    return F.struct(round_no.cast("int").alias("round"), candidate.cast("long").alias("candidate"),
+                    place.cast("int").alias("place")).alias("at")
+
+
+def unfold(concepts: DataFrame, edges: DataFrame) -> Library:
+    def rows(column: str, item: str) -> DataFrame:
+        zero = F.lit(0)
+        return concepts.select("user_id", "concept_id", F.posexplode(column).alias("place", item)).select(
+            "user_id", "concept_id", item, _at(zero, zero, F.col("place")))
+
+    return Library(concepts.drop("aliases", "source_paper_ids"), rows("aliases", "alias"),
+                   rows("source_paper_ids", "paper_id"), edges)
+
+
+def fold(library: Library) -> DataFrame:
+    """Concepts with their lists again, each item once, in the order it came. A list is a cell of the stored table."""
+    def lists(rows: DataFrame, item: str, name: str) -> DataFrame:
+        once = rows.groupBy("user_id", "concept_id", item).agg(F.min("at").alias("at"))
+        gathered = F.array_sort(F.collect_list(F.struct("at", item)))
+        return once.groupBy("user_id", "concept_id").agg(F.transform(gathered, lambda x: x[item]).alias(name))
+
+    out = library.concepts
+    for rows, item, name, empty in (
+            (library.aliases, "alias", "aliases", "array<string>"),
+            (library.sources, "paper_id", "source_paper_ids", "array<bigint>")):
+        out = out.join(lists(rows, item, name), ["user_id", "concept_id"], "left").withColumn(
+            name, F.coalesce(name, F.array().cast(empty)))
+    return out
+
+
+def additions(placed: DataFrame, round_no: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a round adds: new concepts (one per name key), alias rows and source rows.
+
+    A new concept takes the aliases of its first candidate; a matched one those of all its candidates.
     """
-    placed = locate(concepts, resolved)
-    gained = placed.filter(~F.col("created")).groupBy("concept_id").agg(
-        F.array_sort(F.collect_list(F.struct("candidate_no", "paper_id", "aliases"))).alias("g"))
-    papers = F.transform("g", lambda x: x["paper_id"])
-    aliases = F.flatten(F.transform(
-        F.filter("g", lambda x: x["aliases"].isNotNull()), lambda x: x["aliases"]))
-    updated = concepts.join(gained, "concept_id", "left").withColumns({
-        "source_paper_ids": F.when(F.col("g").isNull(), F.col("source_paper_ids")).otherwise(
-            F.array_union("source_paper_ids", papers)),
-        "aliases": F.when(F.col("g").isNull(), F.col("aliases")).otherwise(
-            F.array_union("aliases", aliases))}).drop("g")
     first = placed.filter("created").groupBy("user_id", "concept_id").agg(
-        F.min_by(F.struct("name", "name_key", "aliases", "vector", "paper_id"),
-                 F.col("candidate_no")).alias("r"),
-        F.array_sort(F.collect_set("paper_id")).alias("all_papers"))
+        F.min_by(F.struct("name", "name_key", "vector"), F.col("candidate_no")).alias("r"),
+        F.min("candidate_no").alias("first_no"))
     fresh = first.select(
         "user_id", "concept_id", F.substring("r.name", 1, 200).alias("canonical_name"),
-        F.col("r.name_key").alias("normalized_name"),
-        F.coalesce("r.aliases", F.array().cast("array<string>")).alias("aliases"),
-        F.col("r.vector").alias("embedding"), F.col("all_papers").alias("source_paper_ids"))
-    return updated.unionByName(fresh, allowMissingColumns=True)
+        F.col("r.name_key").alias("normalized_name"), F.col("r.vector").alias("embedding"))
+    says = placed.join(first.select("user_id", "concept_id", "first_no"), ["user_id", "concept_id"], "left").filter(
+        ~F.col("created") | (F.col("candidate_no") == F.col("first_no")))
+    named = says.select("user_id", "concept_id", "candidate_no", F.posexplode("aliases").alias("place", "alias"))
+    aliases = named.select("user_id", "concept_id", "alias", _at(round_no, F.col("candidate_no"), F.col("place")))
+    sources = placed.groupBy("user_id", "concept_id", "paper_id").agg(F.min("candidate_no").alias("no")).select(
+        "user_id", "concept_id", "paper_id", _at(round_no, F.col("no"), F.lit(0)))
+    return fresh, aliases, sources
+
+
+def commit_concepts(concepts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Matched concepts gain papers and aliases; the rest are inserted once per name key.
+
+    A name key that already exists (a concurrent twin) folds into its owner.
+    """
+    fresh, aliases, sources = additions(locate(concepts, resolved), F.lit(1))
+    base = unfold(concepts, concepts.limit(0))
+    return fold(Library(base.concepts.unionByName(fresh, allowMissingColumns=True),
+                        base.aliases.unionByName(aliases), base.sources.unionByName(sources), base.edges))
 
 
 def locate(concepts: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -220,31 +274,80 @@ def _doubled(jump: DataFrame) -> DataFrame:
         F.least("low", "_low").alias("low"), F.coalesce("_done", F.lit(True)).alias("done"))
 
 
-def canonicalize(
-    candidates: DataFrame, concepts: DataFrame, edges: DataFrame,
-    judge: Callable[[DataFrame], DataFrame],
-) -> tuple[DataFrame, DataFrame]:
+class _Log:
+    """An append-only table of a run, filed by round and by ``stage`` (the logarithm of a reader's rounds).
+
+    A round that only readers with many papers still take part in reads only their stages.
+    """
+
+    def __init__(self, root: str, name: str):
+        self.path, self.schema = f"{root}/{name}", None
+
+    def add(self, rows: DataFrame, round_no: int) -> None:
+        self.schema = self.schema or rows.schema
+        rows.select(*self.schema.names).write.mode("overwrite").partitionBy("stage").parquet(f"{self.path}/round={round_no}")
+
+    def before(self, spark, round_no: int | None = None) -> DataFrame:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+        found = spark.read.schema(f"{kinds}, round int").option("basePath", self.path).parquet(self.path)
+        if round_no is None:
+            return found
+        return found.filter((F.col("round") < round_no) & (F.col("stage") >= round_no.bit_length() - 1))
+
+
+def grow(candidates: DataFrame, library: Library, judge: Callable[[DataFrame], DataFrame]) -> Library:
     """Run papers in arrival order: round r takes every reader's r-th paper at once.
 
-    Candidates need ``arrival``. Order matters between a reader's papers, so
-    rounds follow one another; all readers share a round. Each round's tables
-    are written out, so a lost executor costs one round at most. ``judge`` maps
-    ambiguous pairs to verdicts.
+    Candidates need ``arrival``. Order matters between a reader's papers, so rounds follow one another; all readers
+    share a round. Nothing that is there is written again: a round reads the readers that still have papers, and
+    appends what it adds, so a lost executor costs one round at most. ``judge`` maps ambiguous pairs to verdicts.
     """
+    spark = candidates.sparkSession
+    root = new_path(spark, "canonical")
     w = Window.partitionBy("user_id").orderBy("arrival", "paper_id")
     arrivals = candidates.select("user_id", "paper_id", "arrival").distinct().withColumn(
         "round_no", F.row_number().over(w))
-    staged = materialise(candidates.join(arrivals, ["user_id", "paper_id", "arrival"]), "rounds")
+    readers = materialise(arrivals.groupBy("user_id").agg(
+        F.floor(F.log2(F.max("round_no"))).cast("int").alias("stage")), "readers")
+    staged = materialise(
+        candidates.join(arrivals, ["user_id", "paper_id", "arrival"]).join(readers, "user_id")
+        .repartitionByRange("round_no", "user_id"), "rounds")
     last = staged.agg(F.max("round_no")).first()[0] or 0
-    edges = edges.select(*EDGE_KEY, "confidence")
+    active = lambda rows: rows.join(readers, "user_id")
+    live = library.concepts.filter(F.col("merged_into_id").isNull())
+    names, aliases, sources, edges = (_Log(root, n) for n in ("names", "aliases", "sources", "edges"))
+    names.add(active(live.select("user_id", "concept_id", "canonical_name", "normalized_name", "embedding")), 0)
+    aliases.add(active(library.aliases.join(live.select("user_id", "concept_id"), ["user_id", "concept_id"], "left_semi")), 0)
+    sources.add(active(library.sources).limit(0), 0)
+    edges.add(active(library.edges.select(*EDGE_KEY, "confidence")), 0)
     for r in range(1, last + 1):
         now = staged.filter(F.col("round_no") == r)
-        resolved = materialise(resolve_round(now, concepts, judge(now)), "resolved")
-        placed = locate(concepts, resolved)
-        proposed = related_edges(placed).unionByName(prerequisite_edges(placed))
-        edges = materialise(edges.unionByName(new_edges(edges, proposed)), "edges")
-        concepts = materialise(commit_concepts(concepts, resolved), "concepts")
-    return concepts, edges
+        known = names.before(spark, r).withColumn("merged_into_id", F.lit(None).cast("long"))
+        said = aliases.before(spark, r).select("user_id", "concept_id", F.lit(1).alias("kind"), F.col("alias").alias("key"))
+        keys = known.select("user_id", "concept_id", F.lit(0).alias("kind"), F.col("normalized_name").alias("key")).unionByName(said)
+        resolved = materialise(resolve_round(now, known, judge(now), keys), "resolved")
+        more = materialise(locate(known, resolved), "placed")
+        fresh, alias_rows, source_rows = additions(more, F.lit(r))
+        proposed = related_edges(more).unionByName(prerequisite_edges(more))
+        added = new_edges(edges.before(spark, r), proposed)
+        for log, rows in ((names, fresh), (aliases, alias_rows), (sources, source_rows), (edges, added)):
+            log.add(active(rows), r)
+
+    def gained(log: _Log) -> DataFrame:
+        return log.before(spark).filter("round > 0").drop("round", "stage")
+
+    return Library(
+        library.concepts.unionByName(gained(names), allowMissingColumns=True), library.aliases.unionByName(gained(aliases)),
+        library.sources.unionByName(gained(sources)), library.edges.select(*EDGE_KEY, "confidence").unionByName(gained(edges)))
+
+
+def canonicalize(
+    candidates: DataFrame, concepts: DataFrame, edges: DataFrame,
+    judge: Callable[[DataFrame], DataFrame],
+) -> tuple[DataFrame, DataFrame]:
+    """``grow`` from and to stored tables: the lists are put together once, at the end."""
+    grown = grow(candidates, unfold(concepts, edges), judge)
+    return fold(grown), grown.edges
 
 
 def rebuild(user_ids: DataFrame, candidates: DataFrame, concepts: DataFrame, edges: DataFrame,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillmark.functions import expr as X
@@ -129,8 +131,6 @@ def judge(rows):
 
 
 def _split(text):
-    import re
-
     depth, parts, start = 0, [], 0
     for m in re.finditer(r"[(),]|\bCASE\b|\bEND\b", text):
         depth += {"(": 1, "CASE": 1, ")": -1, "END": -1}.get(m.group(0), 0)
@@ -280,22 +280,82 @@ def g12_long(v):
     return G.survivors(v.merge_chains)
 
 
-@query("g_canonicalise_rounds")
+_ROUND_VIEWS = ("candidates", "keyed_concepts", "concept_vectors", "candidate_vectors", "exact_hits", "near_hits",
+                "judged_pairs", "placed_candidates", "proposed_edges", "added_edges", "edges")
+
+
+def _unrolled(rounds: int) -> None:
+    """Views of each round, every one over what the rounds before it left."""
+    for r in range(1, rounds + 1):
+        for name in _ROUND_VIEWS[2:-1]:
+            text = ORACLE_VIEWS[name]
+            for other in _ROUND_VIEWS:
+                text = re.sub(rf"\b{other}\b", f"{other}_r{chr(96 + r)}", text)
+            ORACLE_VIEWS[f"{name}_r{chr(96 + r)}"] = text
+    for r in range(1, rounds + 1):
+        this, past = f"_r{chr(96 + r)}", f"_r{chr(95 + r)}"
+        ORACLE_VIEWS[f"candidates{this}"] = f"""
+SELECT * REPLACE (paper_id + {r - 1} AS paper_id) FROM candidates WHERE candidate_no % 3 = {r - 1}"""
+        if r == 1:
+            ORACLE_VIEWS[f"keyed_concepts{this}"] = """
+SELECT user_id, concept_id, canonical_name, normalized_name, aliases FROM keyed_concepts"""
+            ORACLE_VIEWS[f"edges{this}"] = (
+                "SELECT user_id, source_concept_id, target_concept_id, relationship_type FROM edges")
+            continue
+        ORACLE_VIEWS[f"keyed_concepts{this}"] = f"""
+SELECT user_id, concept_id, canonical_name, normalized_name, list_concat(aliases, coalesce(extra, [])) AS aliases
+FROM keyed_concepts{past} LEFT JOIN (SELECT concept_id, flatten(list(aliases)) AS extra FROM placed_candidates{past}
+  WHERE NOT created AND aliases IS NOT NULL GROUP BY concept_id) g USING (concept_id)
+UNION ALL SELECT user_id, concept_id, left(arg_min(name, candidate_no), 200), min(name_key),
+  coalesce(arg_min(coalesce(aliases, []), candidate_no), [])
+FROM placed_candidates{past} WHERE created GROUP BY user_id, concept_id"""
+        ORACLE_VIEWS[f"edges{this}"] = f"""
+SELECT * FROM edges{past} UNION ALL SELECT user_id, source_concept_id, target_concept_id, relationship_type
+FROM added_edges{past}"""
+
+
+_unrolled(4)
+
+
+@query("g_canonicalise_rounds", """
+SELECT c.user_id, absorbed + count(*) AS concepts, (sum(len(list_distinct(aliases))) + any_value(lost))::BIGINT AS aliases,
+  any_value(e.edges) AS edges
+FROM keyed_concepts_rd c
+JOIN (SELECT user_id, count(*) FILTER (merged_into_id IS NOT NULL) AS absorbed,
+    coalesce(sum(len(list_distinct(aliases))) FILTER (merged_into_id IS NOT NULL), 0) AS lost
+  FROM concepts GROUP BY user_id) a USING (user_id)
+JOIN (SELECT user_id, count(*) AS edges FROM edges_rd GROUP BY user_id) e USING (user_id)
+GROUP BY c.user_id, absorbed""")
 def rounds(v):
     """The full loop: three arrivals per reader, each seeing what the last one committed."""
     c = candidates(v).withColumn("arrival", F.col("candidate_no") % 3).withColumn(
         "paper_id", F.col("paper_id") + F.col("arrival"))
-    concepts, edges = G.canonicalize(c, stored_concepts(v), v.edges, judge)
-    per = edges.groupBy("user_id").agg(F.count("*").alias("edges"))
-    return concepts.groupBy("user_id").agg(F.count("*").alias("concepts")).join(
-        per, "user_id", "left")
-
-
-@query("a12_rebuild_concepts")
+    grown = G.grow(c, G.unfold(stored_concepts(v), v.edges), judge)
+    rows = grown.aliases.groupBy("user_id", "concept_id", "alias").count()
+    names = rows.groupBy("user_id").agg(F.count("*").alias("aliases"))
+    per = grown.edges.groupBy("user_id").agg(F.count("*").alias("edges"))
+    return grown.concepts.groupBy("user_id").agg(F.count("*").alias("concepts")).join(names, "user_id").join(
+        per, "user_id")
+
+
+@query("a12_rebuild_concepts", f"""
+WITH keyed AS (SELECT *, left({_KEY.format('name')}, 200) AS name_key FROM candidates WHERE user_id % 2 = 0),
+links AS (SELECT DISTINCT w.user_id, s.name_key AS source_key, w.name_key AS target_key
+  FROM (SELECT *, unnest(prerequisites) AS wanted FROM keyed) w
+  JOIN keyed s ON s.user_id = w.user_id AND s.paper_id = w.paper_id AND s.name = w.wanted
+  WHERE s.name_key <> w.name_key)
+SELECT user_id, count(DISTINCT name_key) AS concepts, count(DISTINCT paper_id || '|' || name_key) AS sources,
+  coalesce(any_value(n), 0) AS edges
+FROM keyed LEFT JOIN (SELECT user_id, count(*) AS n FROM links GROUP BY user_id) l USING (user_id) GROUP BY user_id
+UNION ALL SELECT c.user_id, count(*), sum(len(list_distinct(source_paper_ids)))::BIGINT, any_value(n)
+FROM concepts c LEFT JOIN (SELECT user_id, count(*) AS n FROM edges GROUP BY user_id) e ON e.user_id = c.user_id
+WHERE c.user_id % 2 = 1 GROUP BY c.user_id""")
 def a12(v):
-    """Forget every reader's concepts and derive them again from stored candidates."""
-    who = v.users.select("user_id")
+    """Forget every other reader's concepts and derive them again from stored candidates; the rest stay."""
+    who = v.users.filter("user_id % 2 = 0").select("user_id")
     c = candidates(v).withColumn("arrival", F.lit(0))
     concepts, edges = G.rebuild(who, c, stored_concepts(v), v.edges, judge)
-    return concepts.join(who, "user_id", "left_semi").groupBy("user_id").agg(
-        F.count("*").alias("concepts"))
+    per = edges.groupBy("user_id").agg(F.count("*").alias("edges"))
+    return concepts.groupBy("user_id").agg(
+        F.count("*").alias("concepts"), F.sum(F.size(F.array_distinct("source_paper_ids"))).alias("sources")).join(
+        per, "user_id", "left").fillna({"edges": 0})
