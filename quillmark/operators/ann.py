@@ -17,18 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, store
-from quillmark.functions.similarity import ORDER_DIGITS
+from quillmark.functions.shelves import QUERIES, SHELF, lay, meet, shelf_of, units
 from quillmark.operators.retrieval import best, exact_top_k
 
 MAX_CELLS = 4096
 PER_CELL = 64  # sample rows for each cell that the quantiser is fitted on
 TRIALS = 512  # sample queries the number of probes is measured with
-SHELF = 1024  # rows of chunks that meet a block of queries in one task
-QUERIES = 512
 TARGET = 0.95
 ROUNDS_AT = 2  # each round looks into so many times the cells of the one before
 
@@ -53,15 +51,9 @@ class _Cells:
         self.first = np.array([r["first"] for r in rows])
         self.shelves = np.array([r["shelves"] for r in rows])
 
-    def order(self, units: np.ndarray) -> np.ndarray:
+    def order(self, scaled: np.ndarray) -> np.ndarray:
         """All cells of each vector, nearest first."""
-        return np.argsort(-(units @ self.centres.T), axis=1, kind="stable")
-
-
-def _units(column: pa.Array) -> np.ndarray:
-    """Vectors of one length scaled to length 1."""
-    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.argsort(-(scaled @ self.centres.T), axis=1, kind="stable")
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -97,26 +89,20 @@ def build(chunks: DataFrame, k: int = 8, tag: Column | None = None, cells: int |
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                units = _units(batch.column(2))
+                scaled = units(batch.column(2))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array((units @ centres.T).argmax(axis=1).astype(np.int32)),
-                     _lists(units)], ["chunk_id", "tag", "cell", "unit"])
+                    [batch.column(0), batch.column(1), pa.array((scaled @ centres.T).argmax(axis=1).astype(np.int32)),
+                     _lists(scaled)], ["chunk_id", "tag", "cell", "unit"])
 
     kind = items.schema["chunk_id"].dataType.simpleString()
     placed = materialise(items.mapInArrow(assign, f"chunk_id {kind}, tag string, cell int, unit array<double>"), "ann-cells")
-    # a shelf takes neighbouring cells until it is full; one row for each cell
-    rows = placed.groupBy("cell").agg(F.count("*").alias("rows"))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("rows").over(before), F.lit(0))
-    laid = rows.select(
-        "cell", F.floor(start / SHELF).cast("int").alias("first"),
-        (F.floor((start + F.col("rows") - 1) / SHELF) - F.floor(start / SHELF) + 1).cast("int").alias("shelves"))
+    laid = lay(placed.groupBy("cell").agg(F.count("*").alias("rows")), SHELF)
     known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
     cells_path = store(known.join(laid, "cell"), "ann-index-cells")
     table = spark.read.parquet(cells_path)
-    shelf = F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("shelves")).cast("int")
     items_path = store(
-        placed.join(F.broadcast(table.drop("centre")), "cell").select(shelf.alias("shelf"), "cell", "chunk_id", "tag", "unit")
+        placed.join(F.broadcast(table.drop("centre")), "cell").select(
+            shelf_of("chunk_id").alias("shelf"), "cell", "chunk_id", "tag", "unit")
         .repartitionByRange("shelf").sortWithinPartitions("shelf", "cell"), "ann-index-items")
     index = Index(items_path, cells_path, table.count(), 1)
     trials = materialise(sample.orderBy(by_chance).limit(TRIALS), "ann-trials")
@@ -130,7 +116,7 @@ def _measured(spark: SparkSession, index: Index, trials: DataFrame, k: int, targ
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                order = cells.names[cells.order(_units(batch.column(1)))]
+                order = cells.names[cells.order(units(batch.column(1)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(order)], ["query_id", "order"])
 
     items = spark.read.parquet(index.items).select("chunk_id", "cell", F.col("unit").alias("embedding"))
@@ -143,40 +129,6 @@ def _measured(spark: SparkSession, index: Index, trials: DataFrame, k: int, targ
     return max(1, math.ceil(depth.agg(F.percentile("depth", F.lit(target))).first()[0] or 1))
 
 
-def _compare(k: int):
-    """Best ``k`` of one shelf for one block of queries, each with the cells it looks into."""
-    def score(queries: pa.Table, items: pa.Table) -> pa.Table:
-        found: list[tuple] = []
-        if queries.num_rows and items.num_rows:
-            q = _units(queries.column("vec").combine_chunks())
-            x = items.column("unit").combine_chunks().flatten().to_numpy().reshape(items.num_rows, -1)
-            cell = items.column("cell").to_numpy()
-            own = queries.column("probe").combine_chunks()
-            row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-            probe = own.flatten().to_numpy()
-            sims = np.full((len(q), len(x)), -np.inf)
-            for c in np.unique(probe):
-                mine, theirs = row[probe == c], np.flatnonzero(cell == c)
-                if len(theirs):
-                    sims[np.ix_(mine, theirs)] = q[mine] @ x[theirs].T
-            wanted = queries.column("tag").to_numpy(zero_copy_only=False)
-            filtered = np.array([t is not None for t in wanted])
-            if filtered.any():
-                clash = wanted[:, None] != items.column("tag").to_numpy(zero_copy_only=False)[None, :]
-                sims[filtered[:, None] & clash] = -np.inf
-            ranked, width = np.round(sims, ORDER_DIGITS), min(k, len(x))
-            # ties at the edge of a partition are settled by id, so look at all that equal the last one taken
-            edge = np.partition(ranked, len(x) - width, axis=1)[:, len(x) - width]
-            rows, cols = np.nonzero((ranked >= edge[:, None]) & np.isfinite(ranked))
-            found = [queries.column("query_id").take(pa.array(rows)), items.column("chunk_id").take(pa.array(cols)),
-                     pa.array(sims[rows, cols])]
-        else:
-            found = [queries.column("query_id").slice(0, 0), items.column("chunk_id").slice(0, 0), pa.array([], pa.float64())]
-        return pa.table(found, names=["query_id", "chunk_id", "similarity"])
-
-    return score
-
-
 def _round(spark: SparkSession, index: Index, cells: _Cells, asked: DataFrame, k: int, low: int, high: int) -> DataFrame:
     """Best ``k`` of the cells number ``low`` to ``high`` (exclusive) of each query."""
     kind = asked.schema["query_id"].dataType.simpleString()
@@ -185,7 +137,7 @@ def _round(spark: SparkSession, index: Index, cells: _Cells, asked: DataFrame, k
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = cells.order(_units(batch.column(2)))[:, low:high]
+            order = cells.order(units(batch.column(2)))[:, low:high]
             spread = cells.shelves[order]
             row = np.repeat(np.arange(len(order)), order.shape[1])
             flat, many = order.ravel(), spread.ravel()
@@ -198,25 +150,12 @@ def _round(spark: SparkSession, index: Index, cells: _Cells, asked: DataFrame, k
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(pairs)).astype(np.int32)), pa.array(cells.names[probe]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shelf.astype(np.int32)), *(c.take(pa.array(at)) for c in batch.columns), lists],
-                ["shelf", "query_id", "tag", "vec", "probe"])
-
-    sent = asked.mapInArrow(send, f"shelf int, query_id {kind}, tag string, vec array<double>, probe array<int>")
-    # shelves of chunks are few rows each; a shelf that many queries look at meets them in several blocks
-    blocks = sent.groupBy("shelf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
-    # both sides are joined to the blocks: each gets group columns of its own
-    own = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
-    left = sent.join(blocks, "shelf").select(
-        F.col("shelf").alias("q_shelf"), own.alias("q_block"), "query_id", "tag", "vec", "probe")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    right = spark.read.parquet(index.items).join(blocks, "shelf").select(
-        F.col("shelf").alias("c_shelf"), every.alias("c_block"), "cell", "chunk_id", "tag", "unit")
-    near = left.groupBy("q_shelf", "q_block").cogroup(right.groupBy("c_shelf", "c_block")).applyInArrow(
-        _compare(k), f"query_id {kind}, chunk_id {_kind(spark, index)}, similarity double")
-    return best(near, k)
-
+                ["shelf", "query_key", "tag", "vec", "probe"])
 
-def _kind(spark: SparkSession, index: Index) -> str:
-    return spark.read.parquet(index.items).schema["chunk_id"].dataType.simpleString()
+    sent = asked.mapInArrow(send, f"shelf int, query_key {kind}, tag string, vec array<double>, probe array<int>")
+    items = spark.read.parquet(index.items).withColumnRenamed("chunk_id", "item_key")
+    near = meet(sent, items, k, QUERIES).withColumnsRenamed({"query_key": "query_id", "item_key": "chunk_id"})
+    return best(near, k)
 
 
 def search(queries: DataFrame, index: Index | None, k: int, tag: Column | None = None) -> DataFrame:

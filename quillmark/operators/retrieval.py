@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark import vocab as V
 from quillmark.functions import expr as X
+from quillmark.functions.shared import materialise, new_path, store
+from quillmark.functions.shelves import QUERIES, SHELF, lay, meet, shelf_of
 from quillmark.functions.similarity import blocked_top_k, order_key
 
 OVERFETCH = 3
-BUSY_READER = 64
+SHELVES_A_BUCKET = 16
+MAX_BUCKETS = 20_000
 
 
 def scope(grants: DataFrame, papers: DataFrame | None = None, requested: DataFrame | None = None,
@@ -58,39 +64,60 @@ def searchable(chunks: DataFrame, papers: DataFrame, active: str) -> DataFrame:
         current, "paper_id", "left_semi")
 
 
-def retrieve(queries: DataFrame, scoped: DataFrame, chunks: DataFrame, papers: DataFrame,
-             active: str, override: float | None = None,
-             busy_reader: int = BUSY_READER) -> DataFrame:
+class Shelved(NamedTuple):
+    """Searchable chunks at rest: a table bucketed by shelf, and (cell, first, shelves) of each paper."""
+
+    chunks: str
+    papers: str
+
+
+def shelve(chunks: DataFrame, papers: DataFrame, active: str, shelf: int = SHELF) -> Shelved:
+    """Store the chunks a search may find, papers side by side on shelves, vectors scaled to length 1."""
+    spark = chunks.sparkSession
+    vec = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x))
+    items = searchable(chunks, papers, active).withColumn("_v", vec).filter(F.exists("_v", lambda x: x != 0)).withColumn(
+        "_n", norm).withColumn("unit", F.transform("_v", lambda x: x / F.col("_n")))
+    sizes = items.groupBy(F.col("paper_id").alias("cell")).agg(F.count("*").alias("rows"))
+    laid = materialise(lay(sizes, shelf), "laid-papers")
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    buckets = max(8, min(MAX_BUCKETS, -(-total // (shelf * SHELVES_A_BUCKET))))
+    name = f"shelved_{uuid.uuid4().hex}"
+    placed = items.join(laid, F.col("paper_id") == F.col("cell")).select(
+        shelf_of("chunk_id").alias("shelf"), "cell", "chunk_id", "unit", "section_role", "paper_id", "section_id",
+        "content_hash", "page_start", "page_end")
+    placed.repartition(buckets, "shelf").sortWithinPartitions("shelf").write.bucketBy(buckets, "shelf").sortBy(
+        "shelf").option("path", new_path(spark, "shelved")).saveAsTable(name)
+    return Shelved(name, store(laid, "laid"))
+
+
+def retrieve(queries: DataFrame, scoped: DataFrame, shelved: Shelved, active: str,
+             override: float | None = None) -> DataFrame:
     """Filtered top-k per query.
 
     Scope, visibility, model and role are applied before scoring. The nearest
     3k are kept first, then the floor, then one row per content, then k.
-    Vectors meet in blocks; only block winners are shuffled, and chunk details
-    are joined for the survivors alone.
 
-    Readers with few queries send each query to each paper in scope. Readers
-    with many would multiply queries by papers, so their scope's chunks are
-    brought to them instead. Either way the rows moved are linear in the inputs.
+    A reader's papers become a list for each shelf they lie on, and a query
+    goes once to every such shelf. Stored vectors stay in their buckets; only
+    the best of a shelf leave it, and chunk details are joined for those alone.
     """
+    spark = queries.sparkSession
     asked = clamp_requests(queries, override, active)
-    items = searchable(chunks, papers, active)
-    load = asked.groupBy("user_id").agg((F.count("*") > busy_reader).alias("busy"))
-    asked_by = asked.join(load, "user_id")
-
-    def grouped(df: DataFrame, kind: str, group: str) -> DataFrame:
-        return df.withColumns({"_kind": F.lit(kind), "_group": F.col(group).cast("string")})
-
-    query_cols = ("_kind", "_group", "query_id", "query_vector", "role")
-    item_cols = ("_kind", "_group", "chunk_id", "embedding", "section_role")
-    sent = grouped(asked_by.filter(~F.col("busy")).join(scoped, "user_id"), "paper", "paper_id")
-    kept = grouped(asked_by.filter("busy"), "reader", "user_id")
-    brought = scoped.join(load.filter("busy"), "user_id", "left_semi").join(items, "paper_id")
-    near = blocked_top_k(
-        sent.select(*query_cols).unionByName(kept.select(*query_cols)),
-        grouped(items, "paper", "paper_id").select(*item_cols).unionByName(
-            grouped(brought, "reader", "user_id").select(*item_cols)),
-        ["_kind", "_group"], "query_id", "chunk_id", "query_vector", "embedding",
-        OVERFETCH * V.MAX_TOP_K, F.col("role"), F.col("section_role"))
+    stored, laid = spark.table(shelved.chunks), spark.read.parquet(shelved.papers)
+    last = F.col("first") + F.col("shelves") - 1
+    # at most a shelf's rows: a shelf holds no more papers than that
+    views = scoped.distinct().join(laid, F.col("paper_id") == F.col("cell")).select(
+        "user_id", "cell", F.explode(F.sequence("first", last)).alias("shelf")).groupBy("user_id", "shelf").agg(
+        F.collect_list("cell").alias("probe"))
+    some = F.exists(F.col("query_vector"), lambda x: x != 0)
+    sent = asked.filter(F.col("query_vector").isNotNull() & some).join(views, "user_id").select(
+        "shelf", F.col("query_id").alias("query_key"), F.col("role").alias("tag"),
+        F.col("query_vector").cast("array<double>").alias("vec"), "probe")
+    items = stored.select(
+        "shelf", "cell", F.col("chunk_id").alias("item_key"), F.col("section_role").alias("tag"), "unit")
+    near = meet(sent, items, OVERFETCH * V.MAX_TOP_K, QUERIES).withColumnsRenamed(
+        {"query_key": "query_id", "item_key": "chunk_id"})
     by_query = Window.partitionBy("query_id").orderBy(
         F.desc(order_key(F.col("similarity"))), "chunk_id")
     limits = asked.select("query_id", "user_id", "k", "floor")
@@ -101,8 +128,8 @@ def retrieve(queries: DataFrame, scoped: DataFrame, chunks: DataFrame, papers: D
         .filter((F.col("near_rank") <= OVERFETCH * F.col("k"))
                 & (F.round("similarity", 9) >= F.col("floor")))
     )
-    detail = items.select("chunk_id", "paper_id", "section_id", "content_hash", "section_role",
-                          "page_start", "page_end")
+    detail = stored.select("chunk_id", "paper_id", "section_id", "content_hash", "section_role",
+                           "page_start", "page_end")
     full = cut.join(detail, "chunk_id")
     copies = Window.partitionBy("query_id", "content_hash").orderBy("near_rank")
     final = Window.partitionBy("query_id").orderBy("near_rank")

@@ -44,10 +44,20 @@ SELECT query_id, chunk_id, paper_id, section_role, CAST(rank_no AS INTEGER) AS r
   round(sim, 6) AS similarity FROM ranked WHERE rank_no <= k"""
 
 
+_SHELVED: dict[tuple, R.Shelved] = {}
+
+
+def _shelved(v):
+    """The searchable chunks as a deployment keeps them, stored once a session."""
+    key = v._key("shelved")
+    if key not in _SHELVED:
+        _SHELVED[key] = R.shelve(v.chunks, v.papers, ACTIVE_MODEL)
+    return _SHELVED[key]
+
+
 def _results(v, queries=None):
     scoped = R.scope(v.user_paper_access)
-    return R.retrieve(v.queries if queries is None else queries, scoped, v.chunks, v.papers,
-                      ACTIVE_MODEL, FLOOR)
+    return R.retrieve(v.queries if queries is None else queries, scoped, _shelved(v), ACTIVE_MODEL, FLOOR)
 
 
 _SHOW = ("query_id", "chunk_id", "paper_id", "section_role", "rank_no", "similarity")

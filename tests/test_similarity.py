@@ -119,12 +119,31 @@ def test_recall_reports_misses(data):
     assert R.recall(whole, whole).filter("missed > 0").count() == 0
 
 
-def test_busy_reader_path_gives_the_same_rows(views):
+def test_small_shelves_give_the_same_rows(views):
+    """Papers cut over many shelves, and queries over many blocks."""
     scoped = R.scope(views.user_paper_access)
-    args = (views.queries, scoped, views.chunks, views.papers, "embed-active", 0.25)
-    plain = {tuple(r) for r in R.retrieve(*args).collect()}
-    busy = {tuple(r) for r in R.retrieve(*args, busy_reader=0).collect()}
-    assert plain == busy and plain
+    rows = []
+    for shelf in (R.SHELF, 3):
+        stored = R.shelve(views.chunks, views.papers, "embed-active", shelf)
+        rows.append({tuple(r) for r in R.retrieve(views.queries, scoped, stored, "embed-active", 0.25).collect()})
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_stored_vectors_are_read_once_and_stay_in_their_buckets(spark, views):
+    stored = R.shelve(views.chunks, views.papers, "embed-active")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.retrieve(views.queries, R.scope(views.user_paper_access), stored, "embed-active", 0.25)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = plan.toString()
+    text = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    reads = [line for line in text.splitlines() if "FileScan" in line and "unit" in line.split("ReadSchema")[-1]]
+    assert len(reads) == 1 and "Bucketed: true" in reads[0]
+    moved = [line for line in text.splitlines() if " Exchange " in line and "unit" in line]
+    assert not moved
 
 
 def test_out_of_scope_row_fails_the_job(spark):
