@@ -129,3 +129,35 @@ def daily_audience_sketch(observations: DataFrame) -> DataFrame:
     return observations.groupBy(day).agg(
         F.approx_count_distinct("user_id").alias("readers"),
         F.hll_sketch_estimate(F.hll_sketch_agg("concept_id")).alias("concepts"))
+
+
+def audience_sketches(observations: DataFrame) -> DataFrame:
+    """One small row a day that any span of days can be put together from: who read, and what was touched."""
+    day = F.to_date("observed_at").alias("day")
+    return observations.groupBy(day).agg(
+        F.hll_sketch_agg("user_id", 14).alias("readers"), F.hll_sketch_agg("concept_id", 14).alias("concepts"))
+
+
+def audience_over(sketches: DataFrame, spans: DataFrame) -> DataFrame:
+    """Distinct readers and concepts of each span (first_day, last_day), from the stored days alone."""
+    return _days(spans).join(sketches, "day").groupBy("first_day", "last_day").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("readers")).alias("readers"),
+        F.hll_sketch_estimate(F.hll_union_agg("concepts")).alias("concepts"))
+
+
+def latency_sketches(turns: DataFrame) -> DataFrame:
+    """One quantile sketch of the latencies of each day."""
+    return turns.filter(F.col("latency_ms").isNotNull()).groupBy(F.to_date("created_at").alias("day")).agg(
+        F.kll_sketch_agg_bigint(F.col("latency_ms").cast("long")).alias("latency"))
+
+
+def latency_over(sketches: DataFrame, spans: DataFrame, share: float = 0.5) -> DataFrame:
+    """A quantile of the latencies of each span, and their number, from the stored days alone."""
+    merged = F.kll_merge_agg_bigint("latency")
+    return _days(spans).join(sketches, "day").groupBy("first_day", "last_day").agg(merged.alias("latency")).select(
+        "first_day", "last_day", F.kll_sketch_get_n_bigint("latency").alias("turns"),
+        F.kll_sketch_get_quantile_bigint("latency", F.lit(share)).alias("quantile_ms"))
+
+
+def _days(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("day", F.explode(F.sequence("first_day", "last_day")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import metrics as L
 from quillmark.plans.common import r6
 from quillmark.plans.registry import query
+from quillmark.plans.views import ORACLE_VIEWS, add_stored
 
 _SPANS = """SELECT event_id - event_id % 3 AS turn_id, CASE event_type WHEN 'error' THEN 'scope'
     WHEN 'view' THEN 'history' ELSE 'agent' END AS span, value AS ms, 1 AS calls FROM events"""
@@ -99,3 +100,49 @@ def l5(v):
 @query("l5_daily_audience_sketch")
 def l5s(v):
     return L.daily_audience_sketch(v.signals)
+
+
+add_stored("audience_sketches", lambda v: L.audience_sketches(v.signals))
+add_stored("latency_sketches", lambda v: L.latency_sketches(v.raw_turns))
+#: Spans of one to thirty days over the given month.
+_SPANS_OF_DAYS = "(VALUES (1, 1), (3, 9), (8, 14), (15, 21), (1, 30), (29, 30)) s(low, high)"
+ORACLE_VIEWS["day_spans"] = f"""
+SELECT make_date(2024, 1, low) AS first_day, make_date(2024, 1, high) AS last_day FROM {_SPANS_OF_DAYS}"""
+
+
+def _spans_of_days(v):
+    return v.spark.sql(f"SELECT make_date(2024, 1, low) AS first_day, make_date(2024, 1, high) AS last_day FROM "
+                       f"{_SPANS_OF_DAYS.replace('s(low', 'AS s(low')}")
+
+
+@query("l5_audience_over_spans", """
+SELECT strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day,
+  count(DISTINCT user_id) AS readers, count(DISTINCT concept_id) AS concepts, true AS close
+FROM day_spans JOIN signals ON observed_at::DATE BETWEEN first_day AND last_day GROUP BY 1, 2""")
+def l5u(v):
+    """Exact counts of each span, and whether the united daily sketches lie within three per cent of them."""
+    spans = _spans_of_days(v)
+    exact = L._days(spans).join(v.signals.withColumn("day", F.to_date("observed_at")), "day").groupBy(
+        "first_day", "last_day").agg(F.count_distinct("user_id").alias("r"), F.count_distinct("concept_id").alias("c"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1 + 0.03 * F.col(b)
+    return L.audience_over(v.audience_sketches, spans).join(exact, ["first_day", "last_day"]).select(
+        F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format("last_day", "yyyy-MM-dd").alias("last_day"),
+        F.col("r").alias("readers"), F.col("c").alias("concepts"),
+        (near("readers", "r") & near("concepts", "c")).alias("close"))
+
+
+@query("l2_latency_over_spans", """
+SELECT strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day,
+  count(latency_ms) AS turns, true AS close
+FROM day_spans JOIN raw_turns ON created_at::DATE BETWEEN first_day AND last_day GROUP BY 1, 2""")
+def l2u(v):
+    """Turns of each span, and whether the merged daily sketches' median has a rank within three per cent of a half."""
+    spans = _spans_of_days(v)
+    found = L.latency_over(v.latency_sketches, spans)
+    rows = L._days(spans).join(v.raw_turns.select(F.to_date("created_at").alias("day"), "latency_ms"), "day")
+    at = rows.join(found, ["first_day", "last_day"]).groupBy("first_day", "last_day", "turns").agg(
+        F.avg((F.col("latency_ms") <= F.col("quantile_ms")).cast("double")).alias("upto"),
+        F.avg((F.col("latency_ms") < F.col("quantile_ms")).cast("double")).alias("below"))
+    return at.select(
+        F.date_format("first_day", "yyyy-MM-dd").alias("first_day"), F.date_format("last_day", "yyyy-MM-dd").alias("last_day"),
+        "turns", ((F.col("upto") >= 0.47) & (F.col("below") <= 0.53)).alias("close"))
