@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,30 +245,34 @@ def pack(units: list[str], split_units: list[list[str] | None]) -> list[str]:
     return [c for c in (p.strip()[: V.CHUNK_MAX] for p in out) if c]
 
 
+class SectionPieces:
+    """Table function ``section_pieces(units, parts)``: a section's paragraphs, and the sentences of those that are
+    too long, give rows (piece_no, content)."""
+
+    def eval(self, units: list[str], parts: list[list[str] | None]) -> Iterator[tuple[int, str]]:
+        yield from enumerate(pack(units or [], parts or []))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the table function known to SQL. It takes Arrow batches of sections."""
+    spark.udtf.register("section_pieces", F.udtf(
+        SectionPieces, returnType="piece_no INT, content STRING", useArrow=True))
+
+
 def pieces(section_rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunk texts, with the section columns in ``carry``. Splitting is JVM-side; only the sequential fill runs
-    in Python, one section at a time, in Arrow batches, with no shuffle."""
+    in Python, one section at a time, as a lateral table function, with no shuffle."""
     long_parts = F.transform(
         "units", lambda u: F.when(F.length(u) > V.CHUNK_TARGET, sentences(u)))
     ready = section_rows.select(
-        "paper_id", F.col("ordinal").alias("section_ordinal"), *carry, paragraphs(F.col("text"))
+        "paper_id", F.col("ordinal").cast("int").alias("section_ordinal"), *carry, paragraphs(F.col("text"))
         .alias("units")).withColumn("parts", long_parts)
-    kept = ["paper_id", "section_ordinal", *carry]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            packed = [pack(list(u), list(s)) for u, s in zip(pdf["units"], pdf["parts"])]
-            out = pdf[kept].assign(content=packed)
-            out["piece_no"] = [list(range(len(p))) for p in packed]
-            out = out.explode(["content", "piece_no"]).dropna(subset=["content"])
-            out["piece_no"] = out["piece_no"].astype("int32")
-            yield out[[*kept, "piece_no", "content"]]
-
-    schema = T.StructType([
-        section_rows.schema["paper_id"], T.StructField("section_ordinal", T.IntegerType()),
-        *[section_rows.schema[c] for c in carry],
-        T.StructField("piece_no", T.IntegerType()), T.StructField("content", T.StringType())])
-    return ready.mapInPandas(run, schema)
+    spark = section_rows.sparkSession
+    register(spark)
+    kept = ", ".join(f"s.{c}" for c in ("paper_id", "section_ordinal", *carry))
+    return spark.sql(
+        f"SELECT {kept}, p.piece_no, p.content FROM {{ready}} AS s, LATERAL section_pieces(s.units, s.parts) AS p",
+        ready=ready)
 
 
 SECTION_META = ("section_role", "page_start", "page_end")

@@ -189,6 +189,53 @@ def b20(v):
     return C.pieces(doc_sections(v))
 
 
+_BARE = "regexp_replace({0}, '[ \\t\\n\\r\\x0b\\x0c]+', '', 'g')"
+
+
+def bare(text):
+    """Text without white space: what no splitting, packing or merging may change."""
+    return F.regexp_replace(text, "[ \\t\\n\\r\\x0b\\x0c]+", "")
+
+
+@query("b20_pieces_cover_sections", f"""
+SELECT paper_id, ordinal AS section_ordinal, left({_BARE.format('text')}, 8) AS head,
+  right({_BARE.format('text')}, 12) AS tail, true AS covered, true AS sized, true AS ordered
+FROM doc_sections""")
+def b20_cover(v):
+    """Each section's pieces: they begin and end with it, hold all of it, overlap by no more than they may, have
+    allowed sizes and gapless numbers."""
+    sections = doc_sections(v).select(
+        "paper_id", F.col("ordinal").cast("int").alias("section_ordinal"), F.length(bare(F.col("text"))).alias("whole"))
+    text, size = bare(F.col("content")), F.length("content")
+    got = C.pieces(doc_sections(v)).groupBy("paper_id", "section_ordinal").agg(
+        F.left(F.min_by(text, "piece_no"), F.lit(8)).alias("head"), F.right(F.max_by(text, "piece_no"), F.lit(12)).alias("tail"),
+        F.sum(F.length(text)).alias("held"), F.count("*").alias("n"), F.max("piece_no").alias("last"),
+        F.min(size).alias("least"), F.max(size).alias("most"))
+    return got.join(sections, ["paper_id", "section_ordinal"]).select(
+        "paper_id", "section_ordinal", "head", "tail",
+        F.col("held").between(F.col("whole"), F.col("whole") + (F.col("n") - 1) * V.CHUNK_OVERLAP).alias("covered"),
+        ((F.col("least") > 0) & (F.col("most") <= V.CHUNK_MAX)).alias("sized"),
+        (F.col("last") == F.col("n") - 1).alias("ordered"))
+
+
+@query("b22_chunks_follow_sections", f"""
+SELECT paper_id, count(*) AS sections, left({_BARE.format('arg_min(text, ordinal)')}, 8) AS head,
+  right({_BARE.format('arg_max(text, ordinal)')}, 12) AS tail,
+  count(*) FILTER (section_role = 'references') AS hidden, min(page_start) AS page_start, max(page_end) AS page_end,
+  true AS ordered
+FROM doc_sections GROUP BY paper_id""")
+def b22_follow(v):
+    """Each paper's chunks from end to end: their sections in order, what is hidden, pages, gapless ordinals."""
+    rows = C.chunk_rows(C.pieces(doc_sections(v), C.SECTION_META))
+    text = bare(F.col("content"))
+    return rows.groupBy("paper_id").agg(
+        F.count_distinct("section_ordinal").alias("sections"), F.left(F.min_by(text, "ordinal"), F.lit(8)).alias("head"),
+        F.right(F.max_by(text, "ordinal"), F.lit(12)).alias("tail"),
+        F.count_distinct(F.when(~F.col("is_indexable"), F.col("section_ordinal"))).alias("hidden"),
+        F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"),
+        (F.max("ordinal") == F.count("*") - 1).alias("ordered"))
+
+
 @query("b22_chunks_end_to_end")
 def b22(v):
     return C.chunk_rows(C.pieces(doc_sections(v), C.SECTION_META))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column
 
 from quillmark.functions.shared import materialise
 from quillmark.schemas import TABLES
@@ -66,27 +67,21 @@ def replace_papers(
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw uploads as (path, content, page_count), empty files included.
 
-    Spark's file reader drops zero-length files while it splits its input, but
-    its listing has them: the names come from there, the content from a read,
-    and a name without content is an empty file.
+    Spark's file reader leaves zero-length files out of its splits, but its file index, which is listed in parallel,
+    has them. All its names become one array column in a single call; those that no split holds are the empty files.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     )
-    named = spark.createDataFrame([(f,) for f in _empty_files(spark, path)], "path STRING").select(
-        "path", F.lit(b"").alias("content"))
-    return files.select("path", "content").unionByName(named).withColumn(
+    empty = _indexed(files).join(files.select("path"), "path", "left_anti").select("path", F.lit(b"").alias("content"))
+    return files.select("path", "content").unionByName(empty).withColumn(
         "page_count", F.lit(None).cast("int"))
 
 
-def _empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Zero-length files under a folder, from the store's own recursive listing (names only)."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
-    found = []
-    while files.hasNext():
-        status = files.next()
-        name = status.getPath().getName()
-        if status.getLen() == 0 and not name.startswith(("_", ".")):
-            found.append(status.getPath().toString())
-    return found
+def _indexed(files: DataFrame) -> DataFrame:
+    """The names in the file index of a frame, written as the reader writes them."""
+    spark = files.sparkSession
+    names = Column(spark._jvm.org.apache.spark.sql.functions.lit(files._jdf.inputFiles()))
+    plain = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))  # an index has URIs
+    return spark.range(1).select(F.explode(names).alias("uri")).select(
+        F.regexp_replace(plain, "^file:///", "file:/").alias("path"))

@@ -130,3 +130,12 @@ def test_empty_text_has_a_fixed_direction(spark):
     out = {r.id: r.vector for r in C.hash_vectors(rows, "id", "text", 8).collect()}
     assert out[1] == out[2] == [1.0] + [0.0] * 7
     assert sum(x * x for x in out[3]) == pytest.approx(1.0)
+
+
+def test_table_function_in_sql(spark):
+    C.register(spark)
+    rows = spark.sql("""
+        SELECT s.id, p.piece_no, p.content FROM VALUES (1, array('a', 'b'), array(null, null)), (2, array(), array()),
+          (3, array(repeat('x', 1500)), array(array(repeat('x', 1500)))) AS s(id, units, parts),
+        LATERAL section_pieces(s.units, CAST(s.parts AS ARRAY<ARRAY<STRING>>)) AS p""").collect()
+    assert [(r.id, r.piece_no, len(r.content)) for r in sorted(rows)] == [(1, 0, 4), (3, 0, 1502)]  # the runt is folded

@@ -19,6 +19,17 @@ def test_intake_reads_raw_files_and_first_rule_wins(spark, tmp_path):
         "empty", "not_pdf", "too_large"]
 
 
+def test_empty_uploads_with_odd_names_are_listed(spark, tmp_path):
+    (tmp_path / "x y").mkdir()
+    names = ["x y/é b.pdf", "x y/c%20d+e.pdf", "plain.pdf"]
+    for name in names:
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "x y/full + one.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "_hidden").write_bytes(b"")
+    got = {r.path.split(str(tmp_path) + "/")[1]: r.reject_reason for r in M.intake(catalog.read_files(spark, str(tmp_path))).collect()}
+    assert got == {**dict.fromkeys(names, "empty"), "x y/full + one.pdf": None}
+
+
 def test_every_table_round_trips(spark):
     for name, table in TABLES.items():
         root = new_path(spark, name)
