@@ -198,7 +198,7 @@ def bare(text):
 
 
 @query("b20_pieces_cover_sections", f"""
-SELECT paper_id, ordinal AS section_ordinal, left({_BARE.format('text')}, 8) AS head,
+SELECT paper_id, ordinal AS section_ordinal, left({_BARE.format('text')}, 2) AS head,
   right({_BARE.format('text')}, 12) AS tail, true AS covered, true AS sized, true AS ordered
 FROM doc_sections""")
 def b20_cover(v):
@@ -208,7 +208,7 @@ def b20_cover(v):
         "paper_id", F.col("ordinal").cast("int").alias("section_ordinal"), F.length(bare(F.col("text"))).alias("whole"))
     text, size = bare(F.col("content")), F.length("content")
     got = C.pieces(doc_sections(v)).groupBy("paper_id", "section_ordinal").agg(
-        F.left(F.min_by(text, "piece_no"), F.lit(8)).alias("head"), F.right(F.max_by(text, "piece_no"), F.lit(12)).alias("tail"),
+        F.left(F.min_by(text, "piece_no"), F.lit(2)).alias("head"), F.right(F.max_by(text, "piece_no"), F.lit(12)).alias("tail"),
         F.sum(F.length(text)).alias("held"), F.count("*").alias("n"), F.max("piece_no").alias("last"),
         F.min(size).alias("least"), F.max(size).alias("most"))
     return got.join(sections, ["paper_id", "section_ordinal"]).select(
