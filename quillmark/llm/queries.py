@@ -172,7 +172,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix.deduplicate(documents(spark, sf_dir).select("doc_id", "text"), 400, keep_first=False)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes")).alias("removed_share"))
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Remove byte strings of some length that occur more than once, by longest previous factors.
 
 Windows of ``size`` bytes travel with the others around them that share a minimiser, so each bucket holds every
-place of its windows. There the strings are laid end to end and their suffixes are ranked by prefix doubling until
-``size`` bytes are told apart. Suffixes of one rank, in text order, are neighbours in the suffix array: the one
-before is the previous smaller position, with a factor of at least ``size`` bytes, and the first has none. With
-``keep_first`` only places with an earlier factor go; without, also the place a later factor points back to.
+place of its windows. There the strings are laid end to end and their suffixes are sorted by prefix doubling (the
+first ``size`` bytes decide). With the common prefixes of neighbours in that order, the previous and next smaller
+positions give each suffix its longest previous factor, cut at ``size`` bytes: where it has that length, an earlier
+copy exists and the bytes of the window go. The first place has none and stays. Without ``keep_first`` the longest
+factors at later positions are taken as well, so that all places of a repeated string go.
 
 Cases: null texts have no bytes; texts under ``size`` bytes keep all; matches never cross rows, and two rows with
 one doc_id are two texts; rows with a null doc_id come last; repeated rows are copies of each other and get the
@@ -43,32 +44,95 @@ def cutter(size: int, gram: int):
 
 
 def suffix_ranks(line: np.ndarray, size: int) -> np.ndarray:
-    """Equal numbers for positions with ``size`` equal bytes. Positions already alone get a number of their own
-    and are not sorted again. ``line`` must have ``size`` more bytes after the last position of interest."""
+    """The place of each suffix's group in the order of suffixes told apart by their first ``size`` bytes.
+
+    Prefix doubling: a rank is the index at which the group begins, so refining a group keeps it in its place, and
+    suffixes already alone are not sorted again. ``line`` must have ``size`` more bytes after the last position of
+    interest; positions nearer to its end sort as if zeros followed.
+    """
     n = len(line)
-    padded = np.concatenate((line, np.zeros(8, np.uint8))).astype(np.uint64)
-    keys = np.zeros(n, np.uint64)
     have = min(8, size)
-    for i in range(have):
-        keys = (keys << np.uint64(8)) | padded[i : i + n]
-    rank, active = _ranked(keys, np.arange(n), n)
-    while have < size:
+    rank, active = _refined(_words(line, have), np.arange(n), np.zeros(n, np.int64))
+    while have < size and len(active):
         step = min(have, size - have)
-        active = active[active + step < n]
-        if not len(active):
-            break
-        following = rank[active] * (2 * n) + rank[active + step]
-        fresh, still = _ranked(following, active, n)
-        rank = np.arange(n, 2 * n)
+        after = active + step
+        behind = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        fresh, still = _refined(behind.astype(np.uint64), active, rank[active])
         rank[active] = fresh
         active, have = still, have + step
     return rank
 
 
-def _ranked(keys: np.ndarray, where: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    several = counts[inverse] > 1
-    return np.where(several, inverse, n + where), where[several]
+def _words(line: np.ndarray, width: int = 8) -> np.ndarray:
+    """The next ``width`` bytes of each position as one number, zeros after the end."""
+    padded = np.concatenate((line, np.zeros(8, np.uint8))).astype(np.uint64)
+    keys = np.zeros(len(line), np.uint64)
+    for i in range(width):
+        keys = (keys << np.uint64(8)) | padded[i : i + len(line)]
+    return keys
+
+
+def _refined(keys: np.ndarray, where: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New group starts of positions ``where`` (in that order), and the positions that are not alone yet."""
+    order = np.lexsort((keys, group))
+    key, old = keys[order], group[order]
+    index = np.arange(len(order))
+    opens = np.concatenate(([True], old[1:] != old[:-1]))
+    parts = opens | np.concatenate(([True], key[1:] != key[:-1]))
+    start = np.maximum.accumulate(np.where(opens, index, 0))
+    first = np.maximum.accumulate(np.where(parts, index, 0))
+    fresh = np.empty(len(order), np.int64)
+    fresh[order] = old + first - start
+    lone = parts & np.concatenate((parts[1:], [True]))
+    return fresh, np.sort(where[order[~lone]])
+
+
+def common_prefixes(line: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of each pair of suffixes, at most ``most``; both must have as many bytes."""
+    words = _words(line)
+    length = np.zeros(len(one), np.int64)
+    left = np.arange(len(one))
+    for at in range(0, most, 8):
+        differ = words[one[left] + at] ^ words[two[left] + at]
+        same = differ == 0
+        length[left[same]] = at + 8
+        apart = differ[~same]
+        equal = np.zeros(len(apart), np.int64)
+        for byte in range(7):  # leading bytes that are equal
+            equal += (apart >> np.uint64(56 - 8 * byte) == 0)
+        length[left[~same]] = at + equal
+        left = left[same]
+        if not len(left):
+            break
+    return np.minimum(length, most)
+
+
+def smaller_factors(position: np.ndarray, lcp: np.ndarray, floor: int = 0) -> np.ndarray:
+    """Longest match of each suffix with one at a smaller position, by previous and next smaller positions.
+
+    ``position`` lists suffixes in suffix order, ``lcp[i]`` is the common prefix of suffix i - 1 and i (0 for the
+    first). Pointers to the left and to the right skip to their neighbour's pointer until they reach a smaller
+    position, keeping the least common prefix on the way; a match that falls under ``floor`` is given up and counts 0.
+    """
+    n = len(position)
+    best = np.zeros(n, np.int64)
+    for side in (1, -1):
+        order, common = (position, lcp) if side == 1 else (position[::-1], np.concatenate(([0], lcp[1:][::-1])))
+        point = np.arange(n) - 1
+        reach = common.copy()
+        active = np.flatnonzero((point >= 0) & (reach >= max(1, floor)))
+        reach[np.setdiff1d(np.arange(n), active, assume_unique=True)] = 0
+        while True:
+            active = active[order[point[active]] > order[active]]
+            if not len(active):
+                break
+            through = point[active]
+            least = np.minimum(reach[active], reach[through])
+            onward = point[through]
+            reach[active], point[active] = np.where((onward < 0) | (least < max(1, floor)), 0, least), onward
+            active = active[reach[active] > 0]
+        best = np.maximum(best, reach if side == 1 else reach[::-1])
+    return best
 
 
 def judge(size: int, keep_first: bool):
@@ -82,23 +146,27 @@ def judge(size: int, keep_first: bool):
         counts = lengths - size + 1
         string = np.repeat(np.arange(len(lengths)), counts)
         within = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
-        group = segments.dense(rank[(np.cumsum(lengths) - lengths)[string] + within])
-        times = np.bincount(group, weights=bucket.count[string]).astype(np.int64)
-        hit = times[group] > 1
+        start = (np.cumsum(lengths) - lengths)[string] + within
+        # suffixes in suffix order, and where in the whole corpus each has its first place
+        head = bucket.places[bucket.offset[:-1]][string]
+        place = np.empty(len(string), np.int64)
+        place[np.lexsort((head[:, 3] + within, head[:, 2], head[:, 1]))] = np.arange(len(string))
+        order = np.lexsort((place, rank[start]))
+        lcp = np.concatenate(([0], common_prefixes(line, start[order[:-1]], start[order[1:]], size)))
+        earlier, later = np.zeros(len(string), np.bool_), np.zeros(len(string), np.bool_)
+        earlier[order] = smaller_factors(place[order], lcp, size) >= size
+        again = bucket.count[string] > 1
+        if not keep_first:
+            later[order] = smaller_factors(-place[order], lcp, size) >= size
         edges = np.concatenate(([0], np.cumsum(counts)))
         out: list[list[np.ndarray]] = [[], [], [], []]
-        if keep_first:
-            head = bucket.places[bucket.offset[:-1]]
-            sort = np.lexsort((head[string, 3] + within, head[string, 2], head[string, 1], group))
-            leads = sort[np.concatenate(([True], group[sort][1:] != group[sort][:-1]))]
-            first = np.zeros(len(group), np.bool_)
-            first[leads] = True
-        for s in np.unique(string[hit]).tolist():
-            own = hit[edges[s] : edges[s + 1]]
+        for s in np.unique(string[earlier | later | again]).tolist():
+            span = slice(edges[s], edges[s + 1])
             spots = segments.places_of(bucket, s)
-            parts = [(spots, own)]
-            if keep_first:
-                parts = [(spots[:1], own & ~first[edges[s] : edges[s + 1]]), (spots[1:], own)]
+            if keep_first:  # all places of a string but its first have that one before them
+                parts = [(spots[:1], earlier[span]), (spots[1:], np.ones(counts[s], np.bool_))]
+            else:
+                parts = [(spots, earlier[span] | later[span] | again[span])]
             for rows, flags in parts:
                 for a, b in zip(*segments.spans(flags), strict=True):
                     out[0].append(rows[:, 1])

@@ -82,6 +82,26 @@ def test_suffix_ranks_tell_strings_apart():
                 assert (ranks[i] == ranks[j]) == (line[i : i + size].tobytes() == line[j : j + size].tobytes())
 
 
+def test_suffix_order_prefixes_and_previous_factors():
+    rng = np.random.default_rng(4)
+    for alphabet, n in ((2, 90), (3, 120), (26, 60)):
+        line = np.append(rng.integers(97, 97 + alphabet, n).astype(np.uint8), np.zeros(40, np.uint8))
+        text = line.tobytes()
+        ranks = suffix.suffix_ranks(line, 32)
+        order = np.lexsort((np.arange(n), ranks[:n]))
+        assert [text[i : i + 32] for i in order] == sorted(text[i : i + 32] for i in range(n))
+        common = lambda i, j: next(k for k in range(33) if k == 32 or text[i + k] != text[j + k])
+        lcp = np.concatenate(([0], suffix.common_prefixes(line, order[:-1], order[1:], 32)))
+        assert lcp[1:].tolist() == [common(i, j) for i, j in zip(order, order[1:])]
+        factors = np.empty(n, np.int64)
+        factors[order] = suffix.smaller_factors(order, lcp)
+        want = [max((common(i, j) for j in range(i)), default=0) for i in range(n)]
+        assert factors.tolist() == want
+        cut = np.empty(n, np.int64)
+        cut[order] = suffix.smaller_factors(order, lcp, 3)
+        assert cut.tolist() == [w if w >= 3 else 0 for w in want]
+
+
 def test_gram_hashes_cover_exactly_their_items():
     h = np.arange(40, dtype=np.uint64) % np.uint64(7)
     for size in (1, 2, 3, 5, 8, 13):
