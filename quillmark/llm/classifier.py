@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = marked.filter("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).union(
         marked.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
-    picked = docs.select("doc_id", text_of().cast("binary").alias("_text")).join(
-        F.broadcast(chosen), "doc_id")  # twice per_class rows at most
+    # twice per_class rows at most; a doc_id that many rows carry cannot bring more of them
+    picked = docs.select("doc_id", text_of().cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id").orderBy(
+        F.xxhash64("doc_id"), "doc_id", F.xxhash64("_text"), "quality").limit(2 * per_class)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

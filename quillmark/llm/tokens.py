@@ -112,6 +112,18 @@ class Encoder:
         return self.words[m[1]] + self.others[m[2]] if m[2] else self.words[m[1]]
 
 
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process. Workers run one task after another, so what one task has met need not be
+    encoded again by the next; it hangs on an imported module, as this one is loaded anew for each task."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Directly addressable code of unsigned 32-bit ids."""
     levels = []
@@ -180,7 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode every text, append ``end_id`` and write the segments in ascending doc_id order."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = Encoder(tokenizer).ids, TaskContext.get().partitionId(), 0
+        encode, part, seq = encoder(tokenizer).ids, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         names, pieces, ends, total = [], [], [], 0
         for batch in batches:

@@ -55,6 +55,18 @@ def test_shards_are_gapless(stages):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_columns_named_like_those_of_operators_are_carried(spark):
+    names = ("target", "copies", "copy", "source_size", "score", "_key", "_id", "_w", "n", "a b", "anomaly")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = docs.selectExpr("*", *[f"concat('{i}-', doc_id) AS `{c}`" for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, SMALL)
+        assert odd.columns == [*docs.columns, *names], name
+    rows = odd.collect()
+    assert rows and all(r[c] == f"{i}-{r['doc_id']}" for r in rows for i, c in enumerate(names))
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SMALL).count() == len(rows)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
