@@ -1,8 +1,10 @@
 """The corpus pipeline: filter by quality, drop near copies, decontaminate, mix sources, shard.
 
 Every stage works on all rows of the one before. Null texts count as empty; rows without a doc_id pass the near-copy
-stage untouched and are otherwise treated as single documents; extra columns are carried along; an empty table passes
-through as an empty one.
+stage untouched and are otherwise treated as single documents; rows repeated under one doc_id share its fate in the
+near-copy stage, and elsewhere are judged one by one; very long texts are read whole; ties fall to the smallest doc_id;
+an empty table passes through as an empty one. Columns other than doc_id, text and source are carried along under names
+of their own, so none can clash with what an operator adds; the last stage replaces size, text_crc32, shard and slot.
 """
 
 from __future__ import annotations
@@ -17,12 +19,20 @@ from quillmark.llm import classifier, decontaminate, mixing, near_copies, shardi
 from quillmark.llm.common import documents, text_of, word_count
 
 SHARDS = 16
+READ = ("doc_id", "text", "source")
+
+
+def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` keeps of ``docs``, with the columns of ``docs``; those that no operator reads are set aside."""
+    aside = {c: f"aside {i}" for i, c in enumerate(docs.columns) if c not in READ}
+    kept = work(docs.withColumnsRenamed(aside))
+    return kept.select(*[F.col(f"`{aside[c]}`").alias(c) if c in aside else F.col(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
     model = classifier.fit(docs, documents(spark, sf_dir, "labels"))
-    return classifier.score(docs, model).filter("score >= 0.5").select(*docs.columns)
+    return carried(docs, lambda rows: classifier.score(rows, model).filter("score >= 0.5"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +43,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.remove(docs, documents(spark, sf_dir, "benchmark")).select(*docs.columns)
+    benchmark = documents(spark, sf_dir, "benchmark")
+    return carried(docs, lambda rows: decontaminate.remove(rows, benchmark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate takes them."""
     sized = materialise(docs.select("doc_id", "source", word_count(text_of()).alias("size")), "mix-sizes")
     plan = materialise(mixing.rates(sized, mixing.targets(sized)), "mix-plan")
-    return mixing.mix(docs, plan).select(*docs.columns)
+    return carried(docs, lambda rows: mixing.mix(rows, plan))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
