@@ -43,53 +43,57 @@ def cutter(size: int, gram: int):
     return cut
 
 
-def suffix_ranks(line: np.ndarray, size: int) -> np.ndarray:
+def suffix_ranks(line: np.ndarray, size: int, words: np.ndarray | None = None) -> np.ndarray:
     """The place of each suffix's group in the order of suffixes told apart by their first ``size`` bytes.
 
     Prefix doubling: a rank is the index at which the group begins, so refining a group keeps it in its place, and
     suffixes already alone are not sorted again. ``line`` must have ``size`` more bytes after the last position of
-    interest; positions nearer to its end sort as if zeros followed.
+    interest; positions nearer to its end sort as if zeros followed. ``words``: ``words_of(line)``, if at hand.
     """
-    n = len(line)
-    have = min(8, size)
-    rank, active = _refined(_words(line, have), np.arange(n), np.zeros(n, np.int64))
+    n, have = len(line), min(8, size)
+    words = words_of(line) if words is None else words
+    rank, active = _refined(words >> np.uint64(64 - 8 * have), np.arange(n, dtype=np.int32), None, n)
     while have < size and len(active):
         step = min(have, size - have)
-        after = active + step
+        after = active + np.int32(step)
         behind = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        fresh, still = _refined(behind.astype(np.uint64), active, rank[active])
+        fresh, still = _refined(rank[active] * np.int64(n + 1) + behind, active, rank[active], n)
         rank[active] = fresh
         active, have = still, have + step
     return rank
 
 
-def _words(line: np.ndarray, width: int = 8) -> np.ndarray:
-    """The next ``width`` bytes of each position as one number, zeros after the end."""
-    padded = np.concatenate((line, np.zeros(8, np.uint8))).astype(np.uint64)
+def words_of(line: np.ndarray) -> np.ndarray:
+    """The next eight bytes of each position as one number, zeros after the end."""
+    padded = np.concatenate((line, np.zeros(8, np.uint8)))
     keys = np.zeros(len(line), np.uint64)
-    for i in range(width):
-        keys = (keys << np.uint64(8)) | padded[i : i + len(line)]
+    for i in range(8):
+        keys <<= np.uint64(8)
+        keys |= padded[i : i + len(line)]
     return keys
 
 
-def _refined(keys: np.ndarray, where: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """New group starts of positions ``where`` (in that order), and the positions that are not alone yet."""
-    order = np.lexsort((keys, group))
-    key, old = keys[order], group[order]
-    index = np.arange(len(order))
-    opens = np.concatenate(([True], old[1:] != old[:-1]))
-    parts = opens | np.concatenate(([True], key[1:] != key[:-1]))
-    start = np.maximum.accumulate(np.where(opens, index, 0))
+def _refined(keys: np.ndarray, where: np.ndarray, group: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """New group starts of positions ``where`` (in that order), and the positions that are not alone yet. ``keys``
+    order positions by their old group first; without groups all are one."""
+    order = np.argsort(keys)
+    key = keys[order]
+    index = np.arange(len(order), dtype=np.int32)
+    parts = np.concatenate(([True], key[1:] != key[:-1]))
+    del key
     first = np.maximum.accumulate(np.where(parts, index, 0))
-    fresh = np.empty(len(order), np.int64)
-    fresh[order] = old + first - start
-    lone = parts & np.concatenate((parts[1:], [True]))
-    return fresh, np.sort(where[order[~lone]])
+    if group is not None:
+        old = group[order]
+        opens = np.concatenate(([True], old[1:] != old[:-1]))
+        first += (old - np.maximum.accumulate(np.where(opens, index, 0))).astype(np.int32)
+    fresh = np.empty(len(order), np.int32)
+    fresh[order] = first
+    several = ~(parts & np.concatenate((parts[1:], [True])))
+    return fresh, np.sort(where[order[several]])
 
 
-def common_prefixes(line: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(words: np.ndarray, one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of each pair of suffixes, at most ``most``; both must have as many bytes."""
-    words = _words(line)
     length = np.zeros(len(one), np.int64)
     left = np.arange(len(one))
     for at in range(0, most, 8):
@@ -120,8 +124,9 @@ def smaller_factors(position: np.ndarray, lcp: np.ndarray, floor: int = 0) -> np
         order, common = (position, lcp) if side == 1 else (position[::-1], np.concatenate(([0], lcp[1:][::-1])))
         point = np.arange(n) - 1
         reach = common.copy()
-        active = np.flatnonzero((point >= 0) & (reach >= max(1, floor)))
-        reach[np.setdiff1d(np.arange(n), active, assume_unique=True)] = 0
+        live = (point >= 0) & (reach >= max(1, floor))
+        reach[~live] = 0
+        active = np.flatnonzero(live)
         while True:
             active = active[order[point[active]] > order[active]]
             if not len(active):
@@ -142,22 +147,27 @@ def judge(size: int, keep_first: bool):
             return [np.empty(0, np.int64)] * 4
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         line = np.frombuffer(b"".join(strings), np.uint8)
-        rank = suffix_ranks(line, size)
+        words = words_of(line)
+        rank = suffix_ranks(line, size, words)
         counts = lengths - size + 1
-        string = np.repeat(np.arange(len(lengths)), counts)
+        string = np.repeat(np.arange(len(lengths), dtype=np.int32), counts)
         within = np.arange(len(string)) - np.repeat(np.cumsum(counts) - counts, counts)
         start = (np.cumsum(lengths) - lengths)[string] + within
+        # a suffix alone in its group shares less than ``size`` bytes with every other: its factors count for nothing
+        own = rank[start]
+        kept = np.flatnonzero(np.bincount(own, minlength=len(line))[own] > 1)
+        start, own, inside = start[kept], own[kept], within[kept]
         # suffixes in suffix order, and where in the whole corpus each has its first place
-        head = bucket.places[bucket.offset[:-1]][string]
-        place = np.empty(len(string), np.int64)
-        place[np.lexsort((head[:, 3] + within, head[:, 2], head[:, 1]))] = np.arange(len(string))
-        order = np.lexsort((place, rank[start]))
-        lcp = np.concatenate(([0], common_prefixes(line, start[order[:-1]], start[order[1:]], size)))
+        head = bucket.places[bucket.offset[:-1]][string[kept]]
+        place = np.empty(len(kept), np.int64)
+        place[np.lexsort((head[:, 3] + inside, head[:, 2], head[:, 1]))] = np.arange(len(kept))
+        order = np.lexsort((place, own))
+        lcp = np.concatenate(([0], common_prefixes(words, start[order[:-1]], start[order[1:]], size)))[: len(kept)]
         earlier, later = np.zeros(len(string), np.bool_), np.zeros(len(string), np.bool_)
-        earlier[order] = smaller_factors(place[order], lcp, size) >= size
+        earlier[kept[order]] = smaller_factors(place[order], lcp, size) >= size
         again = bucket.count[string] > 1
         if not keep_first:
-            later[order] = smaller_factors(-place[order], lcp, size) >= size
+            later[kept[order]] = smaller_factors(-place[order], lcp, size) >= size
         edges = np.concatenate(([0], np.cumsum(counts)))
         out: list[list[np.ndarray]] = [[], [], [], []]
         for s in np.unique(string[earlier | later | again]).tolist():

@@ -91,7 +91,7 @@ def test_suffix_order_prefixes_and_previous_factors():
         order = np.lexsort((np.arange(n), ranks[:n]))
         assert [text[i : i + 32] for i in order] == sorted(text[i : i + 32] for i in range(n))
         common = lambda i, j: next(k for k in range(33) if k == 32 or text[i + k] != text[j + k])
-        lcp = np.concatenate(([0], suffix.common_prefixes(line, order[:-1], order[1:], 32)))
+        lcp = np.concatenate(([0], suffix.common_prefixes(suffix.words_of(line), order[:-1], order[1:], 32)))
         assert lcp[1:].tolist() == [common(i, j) for i, j in zip(order, order[1:])]
         factors = np.empty(n, np.int64)
         factors[order] = suffix.smaller_factors(order, lcp)
