@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.functions.shared import materialise
 from quillmark.functions.similarity import blocked_top_k
 from quillmark.operators import ann as A
 from quillmark.operators import retrieval as R
@@ -157,3 +158,23 @@ def test_out_of_scope_row_fails_the_job(spark):
 def test_empty_request_list_reads_nothing(views):
     none = views.user_paper_access.limit(0)
     assert R.scope(views.user_paper_access, requested=none).count() == 0
+
+
+def _sent_to_all(df):
+    """What the plan would send through the driver to every task: the first line below each broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [below for line, below in zip(lines, lines[1:]) if "BroadcastExchange" in line]
+
+
+def test_vectors_in_small_files_are_not_broadcast(spark):
+    """Vectors that are alike take a hundredth of their size in files, which is what Spark goes by."""
+    rows = materialise(spark.range(3000).select(
+        (F.col("id") % 100).alias("user_id"), "id", F.array_repeat(F.lit(0.5), 64).alias("vector")), "alike")
+    found = blocked_top_k(rows, rows.withColumnRenamed("id", "item"), ["user_id"], "id", "item", "vector", "vector", 1)
+    assert not [x for x in _sent_to_all(found) if "vec" in x]
+
+
+def test_tables_count_as_large_as_their_rows(spark, views):
+    ids = materialise(spark.range(700_000).select("id", (F.col("id") * 7).alias("other")), "ids")
+    twice = materialise(spark.range(3_000_000).select("id", (F.col("id") * 3).alias("third")), "more")
+    assert not _sent_to_all(twice.join(ids, "id"))
