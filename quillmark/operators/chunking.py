@@ -18,6 +18,7 @@ from quillmark import vocab as V
 from quillmark.functions import expr as X
 
 PAPER = ["paper_id"]
+PHRASES = 50_000  # rows of counted phrases that leave a task at a time
 _BLANKS = " \n\t\r\x0b\x0c"
 
 
@@ -25,8 +26,9 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
 
-def word_count(c: Column) -> Column:
-    return F.when(strip(c) == "", 0).otherwise(F.size(F.split(strip(c), r"\s+")))
+def at_most_words(c: Column, most: int) -> Column:
+    """Looks no further than the first word too many."""
+    return ~strip(c).rlike(rf"^\S++(?:\s++\S++){{{most}}}")
 
 
 def is_mathematics(title: Column) -> Column:
@@ -58,7 +60,7 @@ def rejoin_numbers(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("paper_id").orderBy("line_idx")
     body = strip(F.col("line"))
     titled = (
-        body.rlike(r"^\p{Lu}") & (word_count(F.col("line")) <= V.HEADING_WORDS)
+        body.rlike(r"^\p{Lu}") & at_most_words(F.col("line"), V.HEADING_WORDS)
         & ~body.rlike(r"[.,;]$") & ~is_mathematics(body)
     )
     number = F.regexp_extract("line", V.HEADING_NUMBER_ONLY, 1)
@@ -81,7 +83,7 @@ def _found(path: Column, title: Column) -> Column:
 def match_heading(line: Column) -> Column:
     """(path, title) when the line reads like a heading, else null."""
     s = strip(line)
-    plausible = (s != "") & (word_count(line) <= V.HEADING_WORDS) & ~(
+    plausible = (s != "") & at_most_words(line, V.HEADING_WORDS) & ~(
         s.rlike(r"[.,;:]$") & ~s.rlike(r"^\d"))
 
     def by(pattern: str) -> Column:
@@ -110,14 +112,15 @@ def mark_headings(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame
     if pages is None:
         marked = lines.withColumn("_styled", F.lit(False))
     else:
+        # one row a paper, joined by paper alone: lines stay where they have been dealt by paper
         styled = (
             pages.filter(strip(F.col("text")) != "")
             .select("paper_id", F.explode("headings").alias("_key"))
-            .withColumn("_key", strip(F.col("_key"))).filter(F.col("_key") != "").distinct().withColumn("_hit", F.lit(True))
+            .withColumn("_key", strip(F.col("_key"))).filter(F.col("_key") != "")
+            .groupBy("paper_id").agg(F.collect_set("_key").alias("_keys"))
         )
-        marked = lines.withColumn("_key", strip(F.col("line"))).join(
-            styled, ["paper_id", "_key"], "left").withColumn(
-            "_styled", F.coalesce("_hit", F.lit(False)))
+        marked = lines.join(styled, "paper_id", "left").withColumn(
+            "_styled", F.coalesce(F.array_contains("_keys", strip(F.col("line"))), F.lit(False)))
     line = F.col("line")
     return marked.withColumn(
         "heading", F.coalesce(match_heading(line), confirm_typography(line, F.col("_styled")))
@@ -261,18 +264,30 @@ def register(spark: SparkSession) -> None:
 
 def pieces(section_rows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunk texts, with the section columns in ``carry``. Splitting is JVM-side; only the sequential fill runs
-    in Python, one section at a time, as a lateral table function, with no shuffle."""
+    in Python, a batch of sections at a time, with no shuffle."""
     long_parts = F.transform(
         "units", lambda u: F.when(F.length(u) > V.CHUNK_TARGET, sentences(u)))
     ready = section_rows.select(
         "paper_id", F.col("ordinal").cast("int").alias("section_ordinal"), *carry, paragraphs(F.col("text"))
         .alias("units")).withColumn("parts", long_parts)
-    spark = section_rows.sparkSession
-    register(spark)
-    kept = ", ".join(f"s.{c}" for c in ("paper_id", "section_ordinal", *carry))
-    return spark.sql(
-        f"SELECT {kept}, p.piece_no, p.content FROM {{ready}} AS s, LATERAL section_pieces(s.units, s.parts) AS p",
-        ready=ready)
+    kept = ["paper_id", "section_ordinal", *carry]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, number, content = [], [], []
+            for row, (units, parts) in enumerate(zip(batch.column("units").to_pylist(), batch.column("parts").to_pylist())):
+                found = pack(units or [], parts or [])
+                of += [row] * len(found)
+                number += range(len(found))
+                content += found
+            at = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in kept), pa.array(number, pa.int32()), pa.array(content, pa.string())],
+                [*kept, "piece_no", "content"])
+
+    schema = T.StructType([*(ready.schema[c] for c in kept), T.StructField("piece_no", T.IntegerType()),
+                           T.StructField("content", T.StringType())])
+    return ready.mapInArrow(fill, schema)
 
 
 SECTION_META = ("section_role", "page_start", "page_end")
@@ -299,24 +314,62 @@ def chunk_rows(piece_rows: DataFrame, section_rows: DataFrame | None = None) ->
 _WORD = r"(?U)\b([A-Za-z][A-Za-z0-9-]{2,})\b"
 
 
-def candidate_counts(section_rows: DataFrame) -> DataFrame:
-    """Weighted counts of two- and three-word phrases per paper."""
+_HOLE = "."  # no word holds one
+
+
+def _phrases(sections: list[dict], most: int | None, least: int) -> list[tuple[str, int]]:
+    """Weighted counts of one paper's phrases; with ``most``, the best of them."""
+    by_weight: dict[int, Counter] = {}
+    for section in sections:
+        counts = by_weight.setdefault(section["weight"], Counter())
+        for run in section["words"].split(_HOLE):
+            a = run.split()
+            counts.update(map(" ".join, zip(a, a[1:])))
+            counts.update(map(" ".join, zip(a, a[1:], a[2:])))
+    total: dict[str, int] = {}
+    for weight, counts in by_weight.items():
+        for phrase, times in counts.items():
+            total[phrase] = total.get(phrase, 0) + weight * times
+    if most is None:
+        return [(p, n) for p, n in total.items() if n >= least]
+    return [(p, -n) for n, p in sorted((-n, p) for p, n in total.items() if n >= least)[:most]]
+
+
+def candidate_counts(section_rows: DataFrame, most: int | None = None, least: int = 0) -> DataFrame:
+    """Weighted counts of two- and three-word phrases per paper; with ``most``, the best of each paper.
+
+    A paper's words come together as they lie, by paper; its phrases are counted paper by paper, so that they are
+    neither shuffled nor held for a whole partition.
+    """
     words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(1)), F.lower)
-    src = section_rows.filter(F.col("section_role") != "references").select(
-        "paper_id", X.lookup(F.col("section_role"), V.ROLE_WEIGHT, 1).alias("weight"),
+    papers = section_rows.filter(F.col("section_role") != "references").select(
+        "paper_id", X.lookup(F.col("section_role"), V.ROLE_WEIGHT, 1).cast("int").alias("weight"),
         # a stop word leaves a hole, so no phrase runs across it
-        F.transform(words, lambda x: F.when(~x.isin(*V.STOP_WORDS), x)).alias("a"))
-    aligned = src.select(
-        "paper_id", "weight",
-        F.explode(F.arrays_zip(
-            "a", F.slice("a", F.lit(2), F.size("a")).alias("b"),
-            F.slice("a", F.lit(3), F.size("a")).alias("c"))).alias("z")
-    ).filter(F.col("z.a").isNotNull() & F.col("z.b").isNotNull())
-    two = F.concat_ws(" ", "z.a", "z.b")
-    three = F.when(F.col("z.c").isNotNull(), F.concat_ws(" ", "z.a", "z.b", "z.c"))
-    phrases = aligned.select("paper_id", "weight", F.explode(F.array(two, three)).alias("phrase"))
-    return phrases.filter(F.col("phrase").isNotNull()).groupBy("paper_id", "phrase").agg(
-        F.sum("weight").alias("score"))
+        F.array_join(F.transform(words, lambda x: F.when(~x.isin(*V.STOP_WORDS), x)), " ", _HOLE).alias("words")
+    ).groupBy("paper_id").agg(F.collect_list(F.struct("weight", "words")).alias("sections"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, phrases, scores = [], [], []
+            for row in range(batch.num_rows):
+                for phrase, score in _phrases(batch.column(1)[row].as_py(), most, least):
+                    of.append(row)
+                    phrases.append(phrase)
+                    scores.append(score)
+                if len(of) >= PHRASES or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(of, pa.int32())), pa.array(phrases, pa.string()),
+                         pa.array(scores, pa.int64())], ["paper_id", "phrase", "score"])
+                    of, phrases, scores = [], [], []
+
+    schema = T.StructType([papers.schema["paper_id"], T.StructField("phrase", T.StringType()),
+                           T.StructField("score", T.LongType())])
+    return papers.mapInArrow(count, schema)
+
+
+def concept_candidates(section_rows: DataFrame, most: int = V.MAX_CANDIDATES) -> DataFrame:
+    """Accepted phrases per paper. Only those that may be accepted leave the counting."""
+    return accept_candidates(candidate_counts(section_rows, 3 * most, 2), most)
 
 
 def accept_candidates(counts: DataFrame, most: int = V.MAX_CANDIDATES) -> DataFrame:

@@ -204,14 +204,17 @@ FROM doc_sections""")
 def b20_cover(v):
     """Each section's pieces: they begin and end with it, hold all of it, overlap by no more than they may, have
     allowed sizes and gapless numbers."""
-    sections = doc_sections(v).select(
-        "paper_id", F.col("ordinal").cast("int").alias("section_ordinal"), F.length(bare(F.col("text"))).alias("whole"))
+    sections = doc_sections(v).withColumn("whole", F.length(bare(F.col("text"))))
     text, size = bare(F.col("content")), F.length("content")
-    got = C.pieces(doc_sections(v)).groupBy("paper_id", "section_ordinal").agg(
-        F.left(F.min_by(text, "piece_no"), F.lit(2)).alias("head"), F.right(F.max_by(text, "piece_no"), F.lit(12)).alias("tail"),
-        F.sum(F.length(text)).alias("held"), F.count("*").alias("n"), F.max("piece_no").alias("last"),
-        F.min(size).alias("least"), F.max(size).alias("most"))
-    return got.join(sections, ["paper_id", "section_ordinal"]).select(
+    # only the ends and the length of a text travel; a section's own length comes with its pieces
+    ends = C.pieces(sections, ("whole",)).select(
+        "paper_id", "section_ordinal", "whole", "piece_no", F.left(text, F.lit(2)).alias("begin"),
+        F.right(text, F.lit(12)).alias("end"), F.length(text).alias("long"), size.alias("size"))
+    got = ends.groupBy("paper_id", "section_ordinal", "whole").agg(
+        F.min_by("begin", "piece_no").alias("head"), F.max_by("end", "piece_no").alias("tail"),
+        F.sum("long").alias("held"), F.count("*").alias("n"), F.max("piece_no").alias("last"),
+        F.min("size").alias("least"), F.max("size").alias("most"))
+    return got.select(
         "paper_id", "section_ordinal", "head", "tail",
         F.col("held").between(F.col("whole"), F.col("whole") + (F.col("n") - 1) * V.CHUNK_OVERLAP).alias("covered"),
         ((F.col("least") > 0) & (F.col("most") <= V.CHUNK_MAX)).alias("sized"),
@@ -228,9 +231,10 @@ def b22_follow(v):
     """Each paper's chunks from end to end: their sections in order, what is hidden, pages, gapless ordinals."""
     rows = C.chunk_rows(C.pieces(doc_sections(v), C.SECTION_META))
     text = bare(F.col("content"))
+    rows = rows.withColumns({"begin": F.left(text, F.lit(8)), "end": F.right(text, F.lit(12))})
     return rows.groupBy("paper_id").agg(
-        F.count_distinct("section_ordinal").alias("sections"), F.left(F.min_by(text, "ordinal"), F.lit(8)).alias("head"),
-        F.right(F.max_by(text, "ordinal"), F.lit(12)).alias("tail"),
+        F.count_distinct("section_ordinal").alias("sections"), F.min_by("begin", "ordinal").alias("head"),
+        F.max_by("end", "ordinal").alias("tail"),
         F.count_distinct(F.when(~F.col("is_indexable"), F.col("section_ordinal"))).alias("hidden"),
         F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"),
         (F.max("ordinal") == F.count("*") - 1).alias("ordered"))
@@ -304,7 +308,7 @@ taken AS (SELECT paper_id, list_reduce(list_transform(ps, lambda p: [p]), lambda
 SELECT paper_id, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS candidate_no,
   unnest(names) AS name FROM taken""")
 def b24a(v):
-    return C.accept_candidates(C.candidate_counts(doc_sections(v)))
+    return C.concept_candidates(doc_sections(v))
 
 
 

@@ -139,3 +139,39 @@ def test_table_function_in_sql(spark):
           (3, array(repeat('x', 1500)), array(array(repeat('x', 1500)))) AS s(id, units, parts),
         LATERAL section_pieces(s.units, CAST(s.parts AS ARRAY<ARRAY<STRING>>)) AS p""").collect()
     assert [(r.id, r.piece_no, len(r.content)) for r in sorted(rows)] == [(1, 0, 4), (3, 0, 1502)]  # the runt is folded
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def styled(spark):
+    return spark.createDataFrame(
+        [(p, n, f"Abstract\nOne fast graph walk of paper {p}.\n{n} Fast Walks\nfast graph walk, fast graph walk and more", ["Abstract"])
+         for p in range(20) for n in (1, 2)], "paper_id LONG, page_no INT, text STRING, headings ARRAY<STRING>")
+
+
+def test_lines_are_dealt_by_paper_once(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # lines and styled headings, each by paper; nothing is dealt anew for the sections and their phrases
+        for df in (C.sections(styled(spark)), C.candidate_counts(C.sections(styled(spark)))):
+            assert shuffles(df)[1] == 2
+        assert "Generate explode(arrays_zip" not in shuffles(C.candidate_counts(C.sections(styled(spark))))[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_only_the_best_phrases_leave_the_counting(spark):
+    sections = C.sections(styled(spark))
+    best = C.candidate_counts(sections, 3, 2)
+    assert best.groupBy("paper_id").count().agg(F.max("count")).first()[0] == 3
+    every = C.accept_candidates(C.candidate_counts(sections)).collect()
+    assert every and sorted(C.concept_candidates(sections).collect()) == sorted(every)
+
+
+def test_fill_needs_no_call_per_section(spark):
+    out = C.pieces(C.sections(styled(spark)), ("page_start",))
+    assert "MapInArrow" in shuffles(out)[0] and out.columns == ["paper_id", "section_ordinal", "page_start", "piece_no", "content"]
+    assert out.filter("piece_no IS NULL OR content = ''").count() == 0 and out.count() == 20 * 4
