@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.running import running
-from quillmark.functions.similarity import ORDER_DIGITS
+from quillmark.functions.similarity import Best, tag_codes, tiles
 
 SHELF = 1024  # rows of vectors that meet a block of queries in one task call
 QUERIES = 512
+SMALL_CELL = 64
 
 
 def units(column: pa.Array) -> np.ndarray:
@@ -48,30 +49,44 @@ def compare(k: int):
         if not (queries.num_rows and items.num_rows):
             return pa.table([queries.column("query_key").slice(0, 0), items.column("item_key").slice(0, 0),
                              pa.array([], pa.float64())], names=names)
+        items = items.sort_by("item_key")  # an item's place settles ties
         q = units(queries.column("vec").combine_chunks())
         x = items.column("unit").combine_chunks().flatten().to_numpy().reshape(items.num_rows, -1)
-        cell = items.column("cell").to_numpy()
         own = queries.column("probe").combine_chunks()
         row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
         probe = own.flatten().to_numpy()
-        # the pairs of (query, cell) as a matrix over the cells of the shelf
-        known, place = np.unique(cell, return_inverse=True)
+        wanted, held = tag_codes(queries.column("tag").to_numpy(zero_copy_only=False), items.column("tag").to_numpy(zero_copy_only=False))
+        tagged = (wanted >= 0).any()
+        # the pairs of (query, cell) over the cells of the shelf
+        known, place = np.unique(items.column("cell").to_numpy(), return_inverse=True)
         at = np.searchsorted(known, probe)
         real = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == probe)
-        may = np.zeros((len(q), len(known)), np.bool_)
-        may[row[real], at[real]] = True
-        sims = np.where(may[:, place], q @ x.T, -np.inf)
-        wanted = queries.column("tag").to_numpy(zero_copy_only=False)
-        filtered = np.array([t is not None for t in wanted])
-        if filtered.any():
-            clash = wanted[:, None] != items.column("tag").to_numpy(zero_copy_only=False)[None, :]
-            sims[filtered[:, None] & clash] = -np.inf
-        ranked, width = np.round(sims, ORDER_DIGITS), min(k, len(x))
-        # ties are settled by id once shelves meet, so all that equal the last one taken go on
-        edge = np.partition(ranked, len(x) - width, axis=1)[:, len(x) - width]
-        rows, cols = np.nonzero((ranked >= edge[:, None]) & np.isfinite(ranked))
+        row, at = row[real], at[real]
+        best = Best(len(q), k)
+
+        def meets(rows: np.ndarray, cols: np.ndarray, may: np.ndarray | None = None) -> None:
+            for r, c in tiles(rows, cols):
+                sims = q[r] @ x[c].T
+                if may is not None:
+                    sims[~may[r][:, place[c]]] = -np.inf
+                if tagged:
+                    sims[(wanted[r] >= 0)[:, None] & (wanted[r][:, None] != held[c][None, :])] = -np.inf
+                best.add(r, c, sims)
+
+        if len(x) < SMALL_CELL * len(known):  # many small cells: all at once, and what may not meet is left out
+            may = np.zeros((len(q), len(known)), np.bool_)
+            may[row, at] = True
+            meets(np.arange(len(q)), np.arange(len(x)), may)
+        else:  # each cell with the queries that look into it
+            row, at = row[order := np.argsort(at, kind="stable")], at[order]
+            inside = np.argsort(place, kind="stable")
+            for cell in np.unique(at):
+                mine = row[np.searchsorted(at, cell):np.searchsorted(at, cell, "right")]
+                first, end = np.searchsorted(place[inside], [cell, cell + 1])
+                meets(np.unique(mine), inside[first:end])
+        rows, cols, sims = best.settle()
         return pa.table([queries.column("query_key").take(pa.array(rows)), items.column("item_key").take(pa.array(cols)),
-                         pa.array(sims[rows, cols])], names=names)
+                         pa.array(sims)], names=names)
 
     return score
 

@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.shared import materialise, store
-from quillmark.functions.shelves import QUERIES, SHELF, lay, meet, shelf_of, units
+from quillmark.functions.shelves import SHELF, lay, meet, shelf_of, units
 from quillmark.operators.retrieval import best, exact_top_k
 
 MAX_CELLS = 4096
 PER_CELL = 64  # sample rows for each cell that the quantiser is fitted on
 TRIALS = 512  # sample queries the number of probes is measured with
 TARGET = 0.95
+SHELVES = 16  # the items lie on so many shelves at least, of SHELF rows or more, so that the work is spread
+LARGE_SHELF = QUERIES = 32768  # rows of a shelf at most, and of a block of queries: both travel a few times only
 ROUNDS_AT = 2  # each round looks into so many times the cells of the one before
 
 
@@ -96,7 +98,8 @@ def build(chunks: DataFrame, k: int = 8, tag: Column | None = None, cells: int |
 
     kind = items.schema["chunk_id"].dataType.simpleString()
     placed = materialise(items.mapInArrow(assign, f"chunk_id {kind}, tag string, cell int, unit array<double>"), "ann-cells")
-    laid = lay(placed.groupBy("cell").agg(F.count("*").alias("rows")), SHELF)
+    shelf = max(SHELF, min(LARGE_SHELF, -(-total // SHELVES)))
+    laid = lay(placed.groupBy("cell").agg(F.count("*").alias("rows")), shelf)
     known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
     cells_path = store(known.join(laid, "cell"), "ann-index-cells")
     table = spark.read.parquet(cells_path)

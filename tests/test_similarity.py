@@ -178,3 +178,31 @@ def test_tables_count_as_large_as_their_rows(spark, views):
     ids = materialise(spark.range(700_000).select("id", (F.col("id") * 7).alias("other")), "ids")
     twice = materialise(spark.range(3_000_000).select("id", (F.col("id") * 3).alias("third")), "more")
     assert not _sent_to_all(twice.join(ids, "id"))
+
+
+def test_rows_travel_to_few_blocks_where_all_meet(spark, monkeypatch):
+    from quillmark.functions import similarity as S
+
+    monkeypatch.setattr(S, "LARGE_BLOCK", 200)
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(900)], "id LONG, vector ARRAY<FLOAT>")
+    found = blocked_top_k(rows, rows.withColumnRenamed("id", "item"), [], "id", "item", "vector", "vector", 1,
+                          item_block=10, query_block=10)
+    # 900 rows are 90 blocks of 10; a row goes to no more than SPREAD blocks, and gives as many rows of its own
+    assert found.count() == 900 * S.SPREAD
+    assert found.filter("id = item").count() == 900
+
+
+def test_tiles_lose_no_neighbour(monkeypatch):
+    from quillmark.functions import similarity as S
+
+    monkeypatch.setattr(S, "TILE_ITEMS", 7)
+    monkeypatch.setattr(S, "TILE_PAIRS", 30)
+    sims = np.round(np.random.default_rng(5).normal(size=(23, 40)), 1)  # many ties
+    sims[3], sims[4, :38] = -np.inf, -np.inf
+    best = S.Best(23, 5)
+    for rows, cols in S.tiles(np.arange(23), np.arange(40)):
+        best.add(rows, cols, sims[np.ix_(rows, cols)])
+    row, col, sim = best.settle()
+    want = [(r, c) for r in range(23) for c in np.lexsort((np.arange(40), -sims[r]))[:5] if np.isfinite(sims[r, c])]
+    assert list(zip(row, col)) == want and (sim == sims[row, col]).all()
