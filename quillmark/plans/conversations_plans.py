@@ -168,10 +168,12 @@ LEFT JOIN decisions d ON d.turn_id = q.turn_id JOIN reader_preferences p ON p.us
 LEFT JOIN papers USING (paper_id)""")
 def j11(v):
     """Context rows for every answered turn."""
-    h = CP.hits(v)
-    roots = h.select(F.col("turn_id").alias("call_id"), "user_id", "concept_id")
+    requests = v.sql(_CONTEXT_REQUESTS)
+    h = CP.hits(v).join(requests.select("turn_id"), "turn_id", "left_semi")
+    # a concept's neighbours are the same for every turn that hits it
+    roots = M.live(v.concepts).select(F.col("concept_id").alias("call_id"), "user_id", "concept_id")
     related = M.neighbours(roots, v.edges, v.concepts).select(
-        F.col("call_id").alias("turn_id"), F.col("near").alias("concept_id"),
+        "user_id", F.col("near").alias("concept_id"),
         F.col("far").alias("related_id"), "relationship_type",
         F.col("confidence").alias("edge_confidence"))
     prefs = CP.H.preferences(v.users).select("user_id", "depth", "preferred_style")
@@ -179,7 +181,7 @@ def j11(v):
     timed = h.join(M.live(v.concepts).select("concept_id"), "concept_id", "left_semi").join(
         v.turns.select("turn_id", F.col("created_at").alias("at")), "turn_id")
     memory = asof.scored_at(timed, v.concept_history, v.concepts)
-    out = J.context_rows(v.sql(_CONTEXT_REQUESTS), v.messages, memory,
+    out = J.context_rows(requests, v.messages, memory,
                          related, decisions, prefs, v.papers)
     line = lambda m: F.concat(
         m["ordinal"].cast("string"), F.lit(":"), m["speaker"], F.lit(":"), m["content"])

@@ -100,3 +100,21 @@ def test_history_before_a_request(spark):
             else:
                 break
         assert got.get(turn, set()) == want, turn
+
+
+def test_requests_between_two_messages_share_one_history(spark):
+    said = [(1, i, START + timedelta(minutes=10 * i), "user", f"m{i}") for i in range(3)]
+    messages = spark.createDataFrame(said, "session_id INT, ordinal INT, created_at TIMESTAMP_NTZ, role STRING, content STRING")
+    asked = [(t, 7, 1, 5, START + timedelta(minutes=m)) for t, m in ((1, 0), (2, 11), (3, 12), (4, 13), (5, 99))]
+    requests = spark.createDataFrame(asked, "turn_id INT, user_id INT, session_id INT, paper_id INT, created_at TIMESTAMP_NTZ")
+    hits = spark.createDataFrame([(t, 7, 9, 1, 0.5) for t in (1, 4)], "turn_id INT, user_id INT, concept_id INT, rank_no INT, score DOUBLE")
+    related = spark.createDataFrame([(7, 9, i, "t", 0.1 * i) for i in range(5)],
+                                    "user_id INT, concept_id INT, related_id INT, relationship_type STRING, edge_confidence DOUBLE")
+    decisions = spark.createDataFrame([], "turn_id INT, suppressed_reason STRING")
+    out = J.context_rows(requests, messages, hits, related, decisions, spark.createDataFrame([(7, "normal")], "user_id INT, depth STRING"),
+                         spark.createDataFrame([(5, "title")], "paper_id INT, title STRING"))
+    got = {r.turn_id: r for r in out.collect()}
+    assert {t: [m.content for m in r.history or []] for t, r in got.items()} == {
+        1: [], 2: ["m0", "m1"], 3: ["m0", "m1"], 4: ["m0", "m1"], 5: ["m0", "m1", "m2"]}
+    assert {t: [[n.related_id for n in m.near] for m in r.memory or []] for t, r in got.items()} == {
+        1: [[4, 3, 2]], 2: [], 3: [], 4: [[4, 3, 2]], 5: []}
