@@ -126,16 +126,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     picked = docs.select("doc_id", text_of().cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id").orderBy(
         F.xxhash64("doc_id"), "doc_id", F.xxhash64("_text"), "quality").limit(2 * per_class)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
-            made = [pickle.dumps(weights(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "quality", "features"])
-
-    rows = picked.select("doc_id", "_text", F.col("quality").cast("int")).mapInArrow(
-        extract, "doc_id long, quality int, features binary").toPandas()
-    rows = rows.sort_values(["doc_id", "quality", "features"], ignore_index=True)
-    return train([pickle.loads(f) for f in rows["features"]], rows["quality"].to_numpy())
+            ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows += [(i, q, pickle.dumps(weights(t.as_py()))) for i, q, t in zip(ids, labels, batch.column(1))]
+        rows.sort()
+        model = train([pickle.loads(f) for *_, f in rows], np.array([q for _, q, _ in rows], np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.margins.tobytes()], pa.binary()), pa.array([model.bias])], ["margins", "bias"])
+
+    # the limit leaves one partition; only the finished model comes to the driver
+    made = picked.select("doc_id", "_text", F.col("quality").cast("int")).coalesce(1).mapInArrow(
+        learn, "margins binary, bias double").collect()
+    return Model(np.frombuffer(made[0]["margins"], np.float32), made[0]["bias"]) if made else train([], np.empty(0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

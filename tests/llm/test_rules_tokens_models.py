@@ -119,6 +119,16 @@ def test_classifier_learns_and_never_sees_held_out_rows(spark):
     assert {r["score"] for r in classifier.score(docs, blank).collect()} == {0.5}
 
 
+def test_only_the_finished_model_comes_to_the_driver(spark, monkeypatch):
+    base, got = "/root/testdata/sf0.001", []
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.append(collect(df)) or got[-1])
+    monkeypatch.setattr(type(docs), "toPandas", lambda df: pytest.fail("the sample came to the driver"))
+    model = classifier.fit(docs, labels)
+    assert [len(rows) for rows in got] == [1] and model.margins.any()
+
+
 def test_held_out_accuracy_on_the_given_tables(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
