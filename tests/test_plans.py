@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from quillmark.plans import views
 from suite_paths import ROOT, SMALL
 
 CHECKED = ("c1_authorised_scope", "c4_filtered_top_k", "d5_verify_answers", "e13_score_timeline",
@@ -33,3 +34,19 @@ def test_library_text():
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ("a5_insert_concepts", "a11_paper_removal", "h4_prior_paper", "h5_callback_decision"))
+def test_names_and_links_of_concepts_need_no_folded_evidence(spark, monkeypatch, name):
+    made, store = [], views.store
+    monkeypatch.setattr(views, "_stored_paths", {})
+    monkeypatch.setattr(views, "store", lambda df, label: made.append(label) or store(df, label))
+    entry.queries()[name](spark, SMALL)
+    assert not {"states", "concepts"} & set(made) and (made == [] or name != "a5_insert_concepts")
+
+
+def test_names_and_links_are_those_of_the_concepts(spark):
+    v = views.Views.of(spark, SMALL)
+    for part in (v.concept_names, v.concept_links):
+        whole = v.concepts.select(*part.columns)
+        assert part.count() == whole.count() and part.exceptAll(whole).isEmpty()
