@@ -83,12 +83,12 @@ def hits(v):
 
 
 def _decisions(v):
-    return H.decide(v.turns, v.users, hits(v), v.edges, v.concepts, R.scope(v.user_paper_access),
+    return H.decide(v.turns, v.users, hits(v), v.edges, v.concept_links, R.scope(v.user_paper_access),
                     v.concept_history)
 
 
 def _ranked(v):
-    return H.rank_candidates(hits(v), v.turns, v.edges, v.concepts, v.concept_history)
+    return H.rank_candidates(hits(v), v.turns, v.edges, v.concept_links, v.concept_history)
 
 
 add_stored("decisions", _decisions)
