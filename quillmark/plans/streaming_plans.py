@@ -87,10 +87,10 @@ FROM (SELECT a.*, k.paper_id, k.processing_status,
     row_number() OVER (PARTITION BY a.content_hash ORDER BY path) AS rn
   FROM acc a LEFT JOIN known_papers k USING (content_hash)) q GROUP BY content_hash""")
 def m3(v):
-    """Files arrive in several batches; every content is taken in once."""
-    path = S.new_path(v.spark, "uploads")
-    v.files.repartition(4, "path").write.parquet(path)
-    stream = v.spark.readStream.schema(v.files.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """Files arrive in four batches; every content is taken in once."""
+    path, width = S.new_path(v.spark, "uploads"), -(-v.spark.sparkContext.defaultParallelism // 4)
+    v.files.repartition(4 * width, "path").write.parquet(path)
+    stream = v.spark.readStream.schema(v.files.schema).option("maxFilesPerTrigger", width).parquet(path)
     _rocks(v)
     return S.drain(S.intake_stream(stream, v.known_papers), "m3").groupBy("content_hash").agg(
         F.count("*").alias("uploads"), F.count_if(F.col("action") == "ingest").alias("ingested"))
