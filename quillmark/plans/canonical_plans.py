@@ -94,20 +94,23 @@ FROM proposed_edges p WHERE source_concept_id <> target_concept_id AND NOT EXIST
 GROUP BY user_id, source_concept_id, target_concept_id, relationship_type"""
 
 
+# Nothing here reads what evidence gives a concept, so nothing is paired or folded for it.
+_SPARK_CANDIDATES = dialect(_CANDIDATES, _SPARK).replace("JOIN concepts", "JOIN concept_names")
+
+
 def _candidates(v):
-    base = v.sql(dialect(_CANDIDATES, _SPARK))
+    base = bare_candidates(v)
     vectors = C.hash_vectors(base, "candidate_no", "name", DIM)
     return base.join(vectors, "candidate_no")
 
 
 def bare_candidates(v):
-    return v.sql(dialect(_CANDIDATES, _SPARK))
+    return v.sql(_SPARK_CANDIDATES)
 
 
 def _named_concepts(v):
     """Concepts with a name key, and name vectors in place of passage vectors."""
-    keyed = v.concepts.drop("embedding").withColumn(
-        "normalized_name", X.name_key(F.col("canonical_name")))
+    keyed = v.concept_names.withColumn("normalized_name", X.name_key(F.col("canonical_name")))
     vectors = C.hash_vectors(keyed, "concept_id", "canonical_name", DIM)
     return keyed.join(vectors.withColumnRenamed("vector", "embedding"), "concept_id")
 
@@ -154,7 +157,7 @@ def g1(v):
 
 @query("g2_exact_match", "SELECT candidate_no, exact_id AS concept_id FROM exact_hits")
 def g2(v):
-    concepts = v.concepts.withColumn("normalized_name", X.name_key(F.col("canonical_name")))
+    concepts = v.concept_names.withColumn("normalized_name", X.name_key(F.col("canonical_name")))
     return G.exact_match(bare_candidates(v), concepts).select("candidate_no", "concept_id")
 
 
@@ -268,7 +271,7 @@ walk AS (SELECT concept_id, concept_id AS cur FROM m
 SELECT concept_id, cur AS survivor_id FROM walk WHERE NOT EXISTS (SELECT 1 FROM m
   WHERE m.concept_id = walk.cur AND m.merged_into_id IS NOT NULL)""")
 def g12(v):
-    return G.survivors(v.concepts)
+    return G.survivors(v.concept_links)
 
 
 @query("g12_long_merge_chains", """

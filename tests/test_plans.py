@@ -50,3 +50,12 @@ def test_names_and_links_are_those_of_the_concepts(spark):
     for part in (v.concept_names, v.concept_links):
         whole = v.concepts.select(*part.columns)
         assert part.count() == whole.count() and part.exceptAll(whole).isEmpty()
+
+
+@pytest.mark.parametrize("name", ("g2_exact_match", "g4_band_split", "g5_apply_verdicts", "g6_verdict_completeness"))
+def test_names_are_resolved_without_folded_evidence(spark, monkeypatch, name):
+    made, store = [], views.store
+    monkeypatch.setattr(views, "_stored_paths", {})
+    monkeypatch.setattr(views, "store", lambda df, label: made.append(label) or store(df, label))
+    entry.queries()[name](spark, SMALL)
+    assert not {"observations", "states", "concepts"} & set(made)
