@@ -90,3 +90,13 @@ def test_retention_filter_reaches_the_scan(views):
     text = turns._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(created_at), LessThan(created_at" in text
     assert "ReadSchema: struct<turn_id:bigint,created_at:timestamp_ntz>" in text
+
+
+def test_nulls_repeat_nothing_and_refer_to_nothing(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, None), (1, None), (None, 9), (None, 9), (2, 9)], "a LONG, b LONG")
+    assert M.audit_unique(rows, "t", ["a", "b"]).first()["violations"] == 1
+    parents = spark.createDataFrame([(1,), (None,)], "a LONG")
+    assert M.audit_reference(rows, "t", "a", parents, "a").first()["violations"] == 1
+    empty = rows.filter("false")
+    assert [M.audit_unique(empty, "t", ["a"]).first()["violations"],
+            M.audit_reference(empty, "t", "a", parents, "a").first()["violations"]] == [0, 0]

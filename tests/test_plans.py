@@ -59,3 +59,11 @@ def test_names_are_resolved_without_folded_evidence(spark, monkeypatch, name):
     monkeypatch.setattr(views, "store", lambda df, label: made.append(label) or store(df, label))
     entry.queries()[name](spark, SMALL)
     assert not {"observations", "states", "concepts"} & set(made)
+
+
+def test_the_audit_derives_no_column_that_it_does_not_check(spark, monkeypatch):
+    made, store = [], views.store
+    monkeypatch.setattr(views, "_stored_paths", {})
+    monkeypatch.setattr(views, "store", lambda df, label: made.append(label) or store(df, label))
+    entry.queries()["a9_constraint_audit"](spark, SMALL)
+    assert not {"turns", "user_paper_access", "concepts"} & set(made)
