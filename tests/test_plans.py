@@ -67,3 +67,11 @@ def test_the_audit_derives_no_column_that_it_does_not_check(spark, monkeypatch):
     monkeypatch.setattr(views, "store", lambda df, label: made.append(label) or store(df, label))
     entry.queries()["a9_constraint_audit"](spark, SMALL)
     assert not {"turns", "user_paper_access", "concepts"} & set(made)
+
+
+def test_tables_that_are_written_once_are_not_stored_before(spark, monkeypatch):
+    made, store = [], views.store
+    monkeypatch.setattr(views, "_stored_paths", {})
+    monkeypatch.setattr(views, "store", lambda df, label: made.append(label) or store(df, label))
+    entry.queries()["a1_all_tables"](spark, SMALL)
+    assert made == ["observations"]
